@@ -62,14 +62,13 @@ def merkle_tree(state: DataFrame, key: str, fields: Sequence[str | Column]) -> D
 
 def changed_leaves(current: DataFrame, saved: DataFrame) -> DataFrame:
     """(node): the leaves below nodes whose digests differ at every level above, or that only one tree has."""
+    digest = F.struct("d1", "d2", "rows").alias("digest")
     opened = None
     for n in range(DEPTH, -1, -1):
-        a = current.filter(F.col("level") == n).select("node", F.struct("d1", "d2", "rows").alias("a"))
-        b = saved.filter(F.col("level") == n).select("node", F.struct("d1", "d2", "rows").alias("b"))
+        nodes = current.filter(F.col("level") == n).select("node", digest).unionAll(saved.filter(F.col("level") == n).select("node", digest))
         if opened is not None:
-            a = a.join(opened, F.shiftright(a["node"], FAN_BITS) == opened["parent"], "left_semi")
-            b = b.join(opened, F.shiftright(b["node"], FAN_BITS) == opened["parent"], "left_semi")
-        differ = a.join(b, "node", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select("node")
+            nodes = nodes.join(opened, F.shiftright(nodes["node"], FAN_BITS) == opened["parent"], "left_semi")
+        differ = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("trees"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("trees < 2 OR low != high")
         opened = differ.select(F.col("node").alias("parent"))
     return opened.select(F.col("parent").alias("node"))
 
