@@ -5,8 +5,9 @@ coarse codebook, whose number is also the vector's list, and one of each of
 BOOKS codebooks of 256 trained on what the ones before leave over.  The codes
 come from a beam search.  A query's inner products with all codewords form
 a look-up table; the sum of a row's table entries, scaled by a stored norm,
-estimates the cosine.  The best candidates are ranked anew with the exact
-vectors.
+estimates the cosine.  What passes is screened by the signs of both vectors'
+differences from the list's codeword, and the rest is ranked anew with the
+exact vectors.
 
 Vectors that are equal number by number are searched once, as one class.
 """
@@ -45,6 +46,7 @@ class Books:
     fine: np.ndarray  # BOOKS * WORDS x dim
     gram: np.ndarray  # of fine with fine
     cross: np.ndarray  # of coarse with fine
+    blocks: np.ndarray  # tiles' width of each list, for about TILE rows or queries each
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -62,7 +64,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def train(sample: np.ndarray, lists: int, seed: int = 7) -> Books:
+def train(sample: np.ndarray, lists: int, n: int, seed: int = 7) -> Books:
     """Codebooks of unit vectors: the coarse one, then one after another on the residuals."""
     coarse = _kmeans(sample, lists, 6, seed)
     left = sample - coarse[np.argmax(sample @ coarse.T - 0.5 * (coarse * coarse).sum(1), axis=1)]
@@ -74,7 +76,9 @@ def train(sample: np.ndarray, lists: int, seed: int = 7) -> Books:
         left = left - c[np.argmax(left @ c.T - 0.5 * (c * c).sum(1), axis=1)]
         fine.append(c)
     fine = np.concatenate(fine).astype(np.float32)
-    return Books(coarse.astype(np.float32), fine, fine @ fine.T, coarse @ fine.T)
+    home = np.argmax(sample @ coarse.T - 0.5 * (coarse * coarse).sum(1), axis=1)
+    share = np.bincount(home, minlength=len(coarse)) / max(1, len(sample))
+    return Books(coarse.astype(np.float32), fine, fine @ fine.T, coarse @ fine.T, np.maximum(1, np.ceil(share * n / TILE)).astype(np.int32))
 
 
 def beam_codes(x: np.ndarray, home: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray]:
@@ -117,18 +121,54 @@ def estimate(q: np.ndarray, home: np.ndarray, codes: np.ndarray, scale: np.ndarr
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """A column of lists of DIM numbers as unit vectors."""
-    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float32)
-    return x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None].astype(np.float32)
+def _usable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, vectors, hashes) of an (id, v) batch's rows whose numbers are all there, finite and not all zero; two hashes of a vector's bytes."""
+    import xxhash
 
+    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(batch.num_rows, -1)
+    norm = np.einsum("ij,ij->i", x.astype(np.float64), x)
+    good = np.isfinite(norm) & (norm > 0)
+    x, ids = np.ascontiguousarray(x[good]), batch.column(0).to_numpy()[good]
+    raw = [xxhash.xxh3_128_digest(r.data) for r in x]
+    return ids, x, np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
 
-_ROW = pa.schema([("list", pa.int32()), ("query", pa.bool_()), ("id", pa.int64()), ("h0", pa.int64()), ("home", pa.int32()), ("data", pa.binary())])
-_ROW_SQL = "list int, query boolean, id long, h0 long, home int, data binary"
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.sqrt(np.einsum("ij,ij->i", x.astype(np.float64), x))[:, None]).astype(np.float32)
+
+
+def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            ids, _, h = _usable(b)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["id", "h0", "h1"])
+
+
+_ROW = pa.schema([("tile", pa.int64()), ("query", pa.bool_()), ("id", pa.int64()), ("h0", pa.int64()), ("home", pa.int32()), ("list", pa.int32()), ("data", pa.binary())])
+_ROW_SQL = "tile long, query boolean, id long, h0 long, home int, list int, data binary"
+
+
+def _signs(x: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed signs, squared length) of the differences from base."""
+    r = x - base
+    return np.packbits(r > 0, axis=1), np.einsum("ij,ij->i", r, r)
 
 
 def _enter(sent, entries: int):
-    """Each vector as a query in its own list, with itself in half precision, and in its nearest lists as a coded row."""
+    """Each vector as a query in its own list, with itself in half precision, and in its nearest lists as a coded row.
+
+    A list is cut into tiles of blocks of queries by blocks of rows: a query
+    goes to the tiles of its block, a row to those of its own.
+    """
+
+    def rows(lists, query, ids, h, home, data, books):
+        width = books.blocks[lists]
+        own = (h[:, 1].astype(np.uint64) % width.astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(ids)), width)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(width) - width, width)
+        q, x = (own[at], other) if query else (other, own[at])
+        tile = lists[at].astype(np.int64) << 40 | q << 20 | x
+        return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.full(len(at), query)), pa.array(ids[at]), pa.array(h[at, 0]), pa.array(home[at].astype(np.int32)), pa.array(lists[at].astype(np.int32)), pa.array([data[i] for i in at], pa.binary())], schema=_ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: Books = sent.value
@@ -136,71 +176,85 @@ def _enter(sent, entries: int):
         seen: set[int] = set()
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
-                b = whole.slice(start, 1000)
-                hashes = b.column(2).to_pylist()
+                ids, x, h = _usable(whole.slice(start, 1000))
                 new = []
-                for i, h in enumerate(hashes):  # equal vectors once per task
-                    if h not in seen:
-                        seen.add(h)
+                for i, k in enumerate(h[:, 0].tolist()):  # equal vectors once per task
+                    if k not in seen:
+                        seen.add(k)
                         new.append(i)
                 if not new:
                     continue
-                b = b.take(pa.array(new))
-                x = _matrix(b.column(1))
+                ids, x, h = ids[new], _unit(x[new]), h[new]
                 fit = x @ books.coarse.T - 0.5 * (books.coarse * books.coarse).sum(1)
-                top = np.argpartition(-fit, near - 1, axis=1)[:, :near]
+                top = np.argpartition(-fit, near - 1, axis=1)[:, :near].astype(np.int64)
                 home = np.argmax(fit, axis=1)
                 codes, scale = beam_codes(x, home, books)
-                ids, h0 = b.column(0), b.column(2)
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(np.ones(len(x), bool)), ids, h0, pa.array(home.astype(np.int32)), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], schema=_ROW)
+                yield rows(home, True, ids, h, home, [r.tobytes() for r in x.astype(np.float16)], books)
                 row = np.repeat(np.arange(len(x)), near)
-                blob = [c.tobytes() + s.tobytes() for c, s in zip(codes, scale)]
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(np.zeros(len(row), bool)), ids.take(pa.array(row)), h0.take(pa.array(row)), pa.array(home[row].astype(np.int32)), pa.array([blob[i] for i in row], pa.binary())], schema=_ROW)
+                lists = top.ravel()
+                signs, length = _signs(x[row], books.coarse[lists])
+                blob = np.concatenate([codes[row], scale[row, None].view(np.uint8), length.astype(np.float32)[:, None].view(np.uint8), signs], axis=1)
+                yield rows(lists, False, ids[row], h[row], home[row], [r.tobytes() for r in blob], books)
 
     return run
 
 
-def _unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), BOOKS + 4)
-    return raw[:, :BOOKS], raw[:, BOOKS:].copy().view(np.float32)[:, 0]
-
-
 def _search(sent, least: float, keep: int):
     """Candidates of the queries of a tile among its rows; tiles come sorted, so one is held at a time."""
 
     def tile(rows: list[tuple]) -> pa.RecordBatch | None:
         books: Books = sent.value
-        qs = {r[3]: r for r in rows if r[1]}  # equal vectors from several tasks once
-        xs = {r[3]: r for r in rows if not r[1]}
+        qs = {r[2]: r for r in rows if r[0]}  # equal vectors from several tasks once
+        xs = {r[2]: r for r in rows if not r[0]}
         if not qs or not xs:
             return None
-        qid, xid = (np.array([r[2] for r in d.values()]) for d in (qs, xs))
-        qh, xh = (np.array([r[3] for r in d.values()]) for d in (qs, xs))
+        qid, xid = (np.array([r[1] for r in d.values()]) for d in (qs, xs))
+        qh, xh = (np.array([r[2] for r in d.values()]) for d in (qs, xs))
         q = np.frombuffer(b"".join(r[5] for r in qs.values()), np.float16).reshape(len(qs), -1).astype(np.float32)
-        codes, scale = _unpack([r[5] for r in xs.values()])
-        home = np.array([r[4] for r in xs.values()])
-        a, b, s = [], [], []
-        step = max(1, (1 << 22) // len(xs))
+        blob = np.frombuffer(b"".join(r[5] for r in xs.values()), np.uint8).reshape(len(xs), -1)
+        codes, (scale, length) = blob[:, :BOOKS], blob[:, BOOKS : BOOKS + 8].copy().view(np.float32).T
+        home = np.array([r[3] for r in xs.values()])
+        base = books.coarse[rows[0][4]]
+        q_signs, q_length = _signs(q, base)
+        pack = lambda m: np.pad(m, ((0, 0), (0, -m.shape[1] % 8))).view(np.uint64)
+        q_signs, x_signs = pack(q_signs), pack(np.ascontiguousarray(blob[:, BOOKS + 8 :]))
+        place = {h: i for i, h in enumerate(qs)}
+        same = np.array([place.get(h, -1) for h in xs])  # rows that are at home here too, as vectors
+        dim = q.shape[1]
+        a, b = [], []
+        step = max(1, (1 << 21) // len(xs))
         for k in range(0, len(qs), step):
             e = estimate(q[k : k + step], home, codes, scale, books)
-            e[qh[k : k + step, None] == xh] = -9
-            if e.shape[1] > keep:
-                cut = -np.partition(-e, keep - 1, axis=1)[:, keep - 1 : keep]
-                i, j = np.nonzero((e >= cut) & (e >= least))
-            else:
-                i, j = np.nonzero(e >= least)
-            a.append(qid[k + i]), b.append(xid[j]), s.append(e[i, j])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in ((a, np.int64), (b, np.int64), (s, np.float32))], names=["q", "x", "estimate"])
+            i, j = np.nonzero(e >= least - MARGIN)
+            v = e[i, j]
+            i = i + k
+            fine = qh[i] != xh[j]
+            i, j, v = i[fine], j[fine], v[fine]
+            # |q - x|^2 is at most 2 - 2 least; how many signs may differ then, with 4.5 deviations to spare
+            lq, lx = q_length[i], length[j]
+            c = (lq + lx - (2 - 2 * least)) / np.maximum(2 * np.sqrt(lq * lx), 1e-9)
+            most = dim * np.arccos(np.clip(c, -1, 1)) / np.pi + 2.25 * math.sqrt(dim)
+            fine = np.bitwise_count(q_signs[i] ^ x_signs[j]).sum(axis=1) <= most
+            i, j, v = i[fine], j[fine], v[fine]
+            known = same[j] >= 0
+            v[known] = np.einsum("ij,ij->i", q[i[known]], q[same[j[known]]])
+            fine = v >= np.where(known, least - 0.002, least - MARGIN)
+            i, j, v = i[fine], j[fine], v[fine]
+            order = np.lexsort((-v, i))  # the best `keep` of each query
+            i, j, v = i[order], j[order], v[order]
+            first = np.searchsorted(i, i, "left")
+            fine = np.arange(len(i)) - first < keep
+            a.append(qid[i[fine]]), b.append(xid[j[fine]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (a, b)], names=["q", "x"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for tile_key, *r in zip(*cols):
-                if tile_key != key:
+            for at, *r in zip(*(c.to_pylist() for c in b.columns)):
+                if at != key:
                     if rows and (out := tile(rows)) is not None:
                         yield out
-                    key, rows = tile_key, []
+                    key, rows = at, []
                 rows.append(tuple(r))
         if rows and (out := tile(rows)) is not None:
             yield out
@@ -217,21 +271,43 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["a", "b", "similarity"])
 
 
+def _sift(rows: DataFrame, wanted: DataFrame, log2_bits: int = 26) -> DataFrame:
+    """Rows without most of those whose id is not wanted, by a Bloom filter of fixed size (8 MB), so that a join needn't shuffle every vector.
+
+    The filter is or-ed together by words of 64 bits; the more ids, the more
+    rows pass it, and none that is wanted is lost.
+    """
+    spark = rows.sparkSession
+    bit = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << log2_bits)) for seed in (3, 5)]))
+    words = wanted.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
+    table_ = np.zeros(1 << (log2_bits - 6), np.uint64)
+    table_[words.column("w").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(table_)
+    mask = F.array(*[F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << log2_bits)) for seed in (3, 5)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                at = b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)
+                hit = (sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(axis=1)
+                yield b.select([0, 1]).filter(pa.array(hit.astype(bool)))
+
+    return rows.select("id", "v", mask.alias("m")).mapInArrow(run, "id long, v array<float>")
+
+
 def usable(vectors: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
-    """(id, v, h0, h1): rows with an id and a vector of dim finite numbers that are not all zero; h0 and h1 are equal for equal vectors."""
+    """(id, v): rows with an id and a vector of dim numbers; those with nulls, NaN or infinities or only zeros are left out where vectors are read."""
     v = F.col(vector)
-    fine = v.isNotNull() & (F.size(v) == dim) & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.filter(F.col(key).isNotNull() & fine).select(F.col(key).cast("long").alias("id"), v.alias("v"), F.xxhash64(v).alias("h0"), F.xxhash64(F.lit(11), v).alias("h1"))
+    return vectors.filter(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) == dim)).select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("v"))
 
 
 def fit(rows: DataFrame, n: int, seed: int = 7, sample: int = TRAIN) -> Books:
     """Codebooks from about `sample` rows; the number of lists grows as the root of n."""
     part = rows if n <= sample else rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    got = part.select("v").toArrow().column(0).combine_chunks()
-    if not len(got):
-        return train(np.eye(1, DIM, dtype=np.float32), 1)
-    lists = 1 << max(0, round(math.log2(2 * math.sqrt(n)))) if n else 1
-    return train(_matrix(got), max(1, min(lists, len(got) // 8)))
+    got = [_usable(b)[1] for b in part.select("id", "v").toArrow().to_batches() if b.num_rows]
+    x = _unit(np.concatenate(got)) if sum(map(len, got)) else np.eye(1, DIM, dtype=np.float32)
+    lists = 1 << max(0, round(math.log2(2 * math.sqrt(max(1, n)))))
+    return train(x, max(1, min(lists, len(x) // 8)), n)
 
 
 def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, keep: int = KEEP) -> tuple[DataFrame, DataFrame]:
@@ -241,29 +317,18 @@ def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, kee
     members have none.  A class of any size takes part once in the search.
     """
     spark = rows.sparkSession
-    hashed = materialize(rows.select("id", "h0", "h1"))
+    hashed = materialize(rows.mapInArrow(_hash, "id long, h0 long, h1 long"))
     classes = hashed.groupBy("h0", "h1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     first = hashed.withColumn("position", F.row_number().over(Window.partitionBy("h0", "h1").orderBy("id"))).filter(F.col("position") <= K + 1).select("id", "position")
     members = materialize(hashed.join(classes, ["h0", "h1"]).select("id", "class_id", "size").join(first, "id", "left"))
-    n = members.count()
-    sent = spark.sparkContext.broadcast(fit(rows, n))
-    entered = rows.select("id", "v", "h0").mapInArrow(_enter(sent, entries), _ROW_SQL)
-    # lists are cut into tiles: a query is dealt to one block of queries, a row to one block of rows, and each meets all blocks of the other kind
-    entered = materialize(entered)
-    sizes = entered.groupBy("list", "query").agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.groupBy("list").agg(*[F.greatest(F.lit(1), F.ceil(F.coalesce(F.max(F.when(F.col("query") == side, F.col("n"))), F.lit(0)) / TILE)).cast("int").alias(name) for side, name in ((True, "qb"), (False, "xb"))])
-    block = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    dealt = entered.join(F.broadcast(blocks), "list")  # one row per list, of which there are about 2 sqrt(n)
-    other = F.when(F.col("query"), F.sequence(F.lit(0), F.col("xb") - 1)).otherwise(F.sequence(F.lit(0), F.col("qb") - 1))
-    dealt = dealt.withColumn("o", F.explode(other))
-    tile = F.when(F.col("query"), F.struct("list", block("qb").alias("q"), F.col("o").alias("x"))).otherwise(F.struct("list", F.col("o").alias("q"), block("xb").alias("x")))
-    dealt = dealt.select(F.xxhash64(tile).alias("tile"), *[c.name for c in _ROW])
-    found = dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(_search(sent, least - MARGIN, keep), "q long, x long, estimate float")
+    sent = spark.sparkContext.broadcast(fit(rows, members.count()))
+    entered = rows.mapInArrow(_enter(sent, entries), _ROW_SQL)
+    found = materialize(entered.repartition("tile").sortWithinPartitions("tile").mapInArrow(_search(sent, least, keep), "q long, x long"))
     cls = members.select(F.col("id"), "class_id")
     pairs = found.join(cls.select(F.col("id").alias("q"), F.col("class_id").alias("a")), "q").join(cls.select(F.col("id").alias("x"), F.col("class_id").alias("b")), "x")
     pairs = materialize(pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    exact = materialize(rows.select("id", "v").join(wanted, "id", "left_semi"))
+    exact = materialize(_sift(rows, wanted).join(wanted, "id", "left_semi"))
     both = pairs.join(exact.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(exact.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     half = materialize(both.select("a", "b", "va", "vb").mapInArrow(_exact, "a long, b long, similarity double").filter(F.col("similarity") >= least))
     links = half.unionAll(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
