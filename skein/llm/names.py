@@ -217,8 +217,8 @@ def same_organisation(a: dict, b: dict) -> bool:
     return len(few) > 1 or len(left) <= 1
 
 
-def _keys(kind: str, name: str) -> list[tuple[str, str]]:
-    """(suffix key, refinement) of a name: each suffix of each word that can tell names apart, with the initials of the other words."""
+def _keys(kind: str, name: str) -> list[tuple[str, str, str]]:
+    """(suffix key, refinement, next letter) of a name: each suffix of each word that can tell names apart, with the initials of the other words, and the letter that would lengthen the suffix."""
     if kind == "PERSON":
         readings = person(name)
         heads = {s: {x for g in gs[:1] for x in ({g[0]} | {f[0] for f in _FULL.get(g, ())})} or {""} for s, gs, _ in readings}
@@ -231,17 +231,17 @@ def _keys(kind: str, name: str) -> list[tuple[str, str]]:
     for w, refine in heads.items():
         for form, v in (("+", w), ("-", w[::-1])):
             for n in range(min(MIN_SUFFIX, len(v)), len(v) + 1):
-                out += [(f"{kind[0]}{form}{v[len(v) - n:]}", r) for r in refine]
+                out += [(f"{kind[0]}{form}{v[len(v) - n:]}", r, v[len(v) - n - 1 : len(v) - n]) for r in refine]
     return list(dict.fromkeys(out))
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        reps, keys, refinements = [], [], []
+        reps, keys, refinements, longer = [], [], [], []
         for rep, kind, name in zip(*(c.to_pylist() for c in b.columns)):
-            for k, r in _keys(kind, name):
-                reps.append(rep), keys.append(k), refinements.append(r)
-        yield pa.RecordBatch.from_pydict({"rep": pa.array(reps, pa.int64()), "key": pa.array(keys, pa.string()), "refine": pa.array(refinements, pa.string())})
+            for k, r, x in _keys(kind, name):
+                reps.append(rep), keys.append(k), refinements.append(r), longer.append(x)
+        yield pa.RecordBatch.from_pydict({"rep": pa.array(reps, pa.int64()), "key": pa.array(keys, pa.string()), "refine": pa.array(refinements, pa.string()), "longer": pa.array(longer, pa.string())})
 
 
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,14 +256,18 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs within each tile; rows come sorted by tile."""
+    """Pairs within each tile; rows come sorted by tile.
+
+    Two names are compared under the longest suffix that they share: where
+    the same letter lengthens both, they meet under the longer suffix, too.
+    """
 
     def tile(rows: list[tuple]) -> tuple[list[int], list[int]]:
         a_out, b_out = [], []
-        parsed = [(rep, side, kind, person(name) if kind == "PERSON" else organisation(name)) for rep, side, kind, name in rows]
-        for i, (ra, sa, ka, pa_) in enumerate(parsed):
-            for rb, sb, kb, pb in parsed[i + 1 :]:
-                if ra == rb or ka != kb or (sa == sb and sa != 0):
+        parsed = [(rep, side, longer, kind, person(name) if kind == "PERSON" else organisation(name)) for rep, side, longer, kind, name in rows]
+        for i, (ra, sa, la, ka, pa_) in enumerate(parsed):
+            for rb, sb, lb, kb, pb in parsed[i + 1 :]:
+                if (la and la == lb) or ra == rb or ka != kb or (sa == sb and sa != 0):
                     continue
                 if (same_person if ka == "PERSON" else same_organisation)(pa_, pb):
                     a_out.append(min(ra, rb)), b_out.append(max(ra, rb))
@@ -302,18 +306,18 @@ def variant_classes(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     folded = materialize(src.select(F.col("id").cast("long").alias("id"), "kind", "name").mapInArrow(_fold_batches, "id long, kind string, name string"))
     classes = materialize(folded.groupBy("kind", "name").agg(F.min("id").alias("rep")))
     members = folded.join(classes, ["kind", "name"]).select("id", F.col("rep").alias("class_id"))
-    index = materialize(classes.select("rep", "kind", "name").mapInArrow(_index, "rep long, key string, refine string"))
+    index = materialize(classes.select("rep", "kind", "name").mapInArrow(_index, "rep long, key string, refine string, longer string"))
     common = index.groupBy("key").agg(F.count_distinct("rep").alias("n"))
     refined = index.join(common.filter("n > 1"), "key")
-    refined = refined.withColumn("key", F.when(F.col("n") > COMMON, F.concat_ws("|", "key", "refine")).otherwise(F.col("key"))).select("key", "rep").distinct()
+    refined = refined.withColumn("key", F.when(F.col("n") > COMMON, F.concat_ws("|", "key", "refine")).otherwise(F.col("key"))).select("key", "rep", "longer").distinct()
     sizes = refined.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
     placed = refined.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     # tile (i, j) compares block i with block j: a row of block i goes to every tile that names i
-    dealt = placed.select("rep", "key", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = placed.select("rep", "key", "longer", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    dealt = dealt.select(tile.alias("tile"), "rep", side.alias("side")).join(classes.select("rep", "kind", "name"), "rep")
-    links = dealt.select("tile", "rep", "side", "kind", "name").repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare, "a long, b long").distinct()
+    dealt = dealt.select(tile.alias("tile"), "rep", side.alias("side"), "longer").join(classes.select("rep", "kind", "name"), "rep")
+    links = dealt.select("tile", "rep", "side", "longer", "kind", "name").repartition("tile").sortWithinPartitions("tile").mapInArrow(_compare, "a long, b long").distinct()
     return members, links
 
 
