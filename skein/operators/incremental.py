@@ -67,7 +67,8 @@ def changed_leaves(current: DataFrame, saved: DataFrame) -> DataFrame:
     for n in range(DEPTH, -1, -1):
         nodes = current.filter(F.col("level") == n).select("node", digest).unionAll(saved.filter(F.col("level") == n).select("node", digest))
         if opened is not None:
-            nodes = nodes.join(opened, F.shiftright(nodes["node"], FAN_BITS) == opened["parent"], "left_semi")
+            # parents are unique; an inner join, unlike a semi join, is not pushed into both sides of the union
+            nodes = nodes.join(opened, F.shiftright(nodes["node"], FAN_BITS) == opened["parent"]).drop("parent")
         differ = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("trees"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("trees < 2 OR low != high")
         opened = differ.select(F.col("node").alias("parent"))
     return opened.select(F.col("parent").alias("node"))
