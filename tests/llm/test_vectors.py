@@ -69,3 +69,29 @@ def test_codes_approximate():
     e = V.estimate(x[:200], home, codes, scale, books)
     exact = x[:200] @ x.T
     assert np.corrcoef(e.ravel(), exact.ravel())[0, 1] > 0.9
+
+
+def test_nearest_recall_on_the_whole_table(spark, sf):
+    rows = [(r.id, np.array(r.embedding, np.float64)) for r in table(spark, sf, "chunks").select("id", "embedding").collect() if r.embedding is not None and len(r.embedding) == V.DIM and any(r.embedding)]
+    ids = np.array([i for i, _ in rows])
+    x = np.stack([v / np.linalg.norm(v) for _, v in rows])
+    got = {}
+    for r in V.p6_knn(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.id, r.similarity)
+    hits = n = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = np.round(x @ x[i], 6)
+        s[i] = -2
+        best = set(ids[np.lexsort((ids, -s))[:5]].tolist())
+        hits += len(best & {a for a, _ in got[ids[i]].values()})
+        n += 5
+        assert sorted(got[ids[i]]) == [1, 2, 3, 4, 5]
+    assert hits >= 0.9 * n
+    assert set(got) == set(ids[ids % 20 == 0].tolist())
+
+
+def test_nearest_with_odd_vectors(odd):
+    _, df = odd
+    got = V.nearest(df, "id", "embedding", df["id"].isin([0, 1000, 2000, 2003])).collect()
+    assert {r.query_id for r in got} == {0, 1000} and {r.id for r in got if r.query_id == 1000} == {1001, 1002, 1003, 1004, 1005}
+    assert V.nearest(df.limit(0), "id", "embedding", df["id"] == 1).count() == 0
