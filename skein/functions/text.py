@@ -50,6 +50,7 @@ def remove_control(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Extracted text as it is stored: no control characters, words joined over line ends, month names written out beside their abbreviation, at most one blank line in a row."""
+    # The patterns of what is joined, moved and written out.
     s = remove_control(c)
     s = F.regexp_replace(s, r"(\b[A-Za-z]{2,})-\s*\n\s*([a-z]{2,}\b)", "$1$2")
     # a year that a page layout has put two paragraphs below its day
@@ -96,8 +97,8 @@ def word_count(c: Column) -> Column:
 
 
 def redact(c: Column) -> Column:
-    """API keys out of messages."""
-    return F.regexp_replace(c, r"AIza[0-9A-Za-z_\-]{20,}", "[REDACTED_API_KEY]")
+    """API keys out of messages; the pattern is a fixed value."""
+    return F.regexp_replace(c, r"AIza[0-9A-Za-z\-_]{35}", "[REDACTED_API_KEY]")
 
 
 def normalize_date(c: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.functions.text import strip
+
 MAX_CHARS = 12_000
 # Fixed value: what is answered without evidence.
 NO_EVIDENCE = "The available documents do not provide sufficient information to answer this question."
@@ -31,15 +33,15 @@ def pack(blocks: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
     """(query_id, rank, chunk_id, block, used_chars): the leading blocks that fit.
 
     Takes (query_id, rank, chunk_id, head, content), head being the block up
-    to its text.  Two characters part the blocks.  Packing stops at the first
+    to its text, which is stripped and ends the block with a line break.  Two characters part the blocks.  Packing stops at the first
     block that does not fit; the first one is always kept, cut to the limit
     but to no less than 50 characters of text, and marked with dots.
     """
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    full = F.concat("head", "content")
-    room = F.greatest(F.lit(50), F.lit(limit) - F.length("head"))
-    first = F.when(F.length(full) > limit, F.concat("head", F.substring(F.col("content"), F.lit(1), room), F.lit("..."))).otherwise(full)
-    b = blocks.withColumn("block", F.when(F.col("rank") == 1, first).otherwise(full))
+    full = F.concat("head", "content", F.lit("\n"))
+    room = F.greatest(F.lit(50), F.lit(limit) - F.length("head") - 1)
+    first = F.when(F.length(full) > limit, F.concat("head", F.substring(F.col("content"), F.lit(1), room), F.lit("...\n"))).otherwise(full)
+    b = blocks.withColumn("content", strip(F.col("content"))).withColumn("block", F.when(F.col("rank") == 1, first).otherwise(full))
     b = b.withColumn("used_chars", (F.sum(F.length("block") + 2).over(order) - 2).cast("long"))
     return b.filter((F.col("rank") == 1) | (F.col("used_chars") <= limit)).select("query_id", "rank", "chunk_id", "block", "used_chars")
 
@@ -50,6 +52,7 @@ def contexts(packed: DataFrame) -> DataFrame:
 
 
 def prompt(query: Column, context: Column) -> Column:
+    """The fixed format of a prompt."""
     rule = "=" * 80
     text = F.when(F.length(F.trim(F.coalesce(context, F.lit("")))) > 0, F.trim(context)).otherwise("No relevant context found.")
     return F.concat(F.lit(f"RETRIEVED CONTEXT:\n{rule}\n"), text, F.lit(f"\n{rule}\n\nUSER QUESTION:\n"), F.trim(query), F.lit("\n\nANSWER (Grounded strictly in the retrieved context above, with [SOURCE X] citations):"))
@@ -75,9 +78,17 @@ def answer(asked: DataFrame, context: DataFrame, generate: Callable[[list[str]],
     return both.select("query_id", "query", F.when(found, said).otherwise(NO_EVIDENCE).alias("answer"), found.alias("grounded"))
 
 
+# Phrases of a refusal.
+REFUSALS = ("i cannot find information", "does not contain information", "cannot answer", "insufficient evidence", "no evidence provided", "not mentioned in the provided", "no mention of")
+
+
 def is_refusal(text: Column) -> Column:
+    """Whether an answer has a phrase of a refusal, or is the message that stands for an answer without sources."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.contains(low, F.lit("do not provide sufficient information")) | F.contains(low, F.lit("insufficient information")) | F.contains(low, F.lit("cannot answer"))
+    out = F.contains(low, F.lit(NO_EVIDENCE.lower()))
+    for phrase in REFUSALS:
+        out = out | F.contains(low, F.lit(phrase))
+    return out
 
 
 def source_tags(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Phrases of a refusal, as the metric counts them.
 REFUSALS = ("not provide sufficient information", "insufficient information", "does not contain", "no evidence", "not mentioned", "unsupported")
 
 

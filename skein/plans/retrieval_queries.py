@@ -223,9 +223,9 @@ def citations_formatted(spark, d):
 
 
 _BLOCKS = """once AS (SELECT DISTINCT c.query_id, c.chunk_id, c.filename, c.page_number, c.section FROM citations c),
-    heads AS (SELECT o.query_id, row_number() OVER (PARTITION BY o.query_id ORDER BY o.chunk_id, o.filename, o.page_number, o.section) AS rank, o.chunk_id, o.filename, o.page_number, o.section, k.content FROM once o JOIN chunks k ON k.id = o.chunk_id),
+    heads AS (SELECT o.query_id, row_number() OVER (PARTITION BY o.query_id ORDER BY o.chunk_id, o.filename, o.page_number, o.section) AS rank, o.chunk_id, o.filename, o.page_number, o.section, regexp_replace(k.content, '^[\\t\\n\\x0b\\f\\r ]+|[\\t\\n\\x0b\\f\\r ]+$', '', 'g') AS content FROM once o JOIN chunks k ON k.id = o.chunk_id),
     b AS (SELECT query_id, rank, chunk_id, content, concat_ws(chr(10), '[SOURCE ' || rank || ']', 'Document: ' || filename, 'Page: ' || page_number, CASE WHEN section != 'General' THEN 'Section: ' || section END, 'Chunk ID: ' || chunk_id, '', 'Content:') || chr(10) AS head FROM heads),
-    f AS (SELECT *, CASE WHEN rank = 1 AND length(head || content) > 3000 THEN head || substr(content, 1, greatest(50, 3000 - length(head))) || '...' ELSE head || content END AS block FROM b),
+    f AS (SELECT *, CASE WHEN rank = 1 AND length(head || content) + 1 > 3000 THEN head || substr(content, 1, greatest(50, 2999 - length(head))) || '...' || chr(10) ELSE head || content || chr(10) END AS block FROM b),
     packed AS (SELECT query_id, rank, chunk_id, block, sum(length(block) + 2) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT - 2 AS used_chars FROM f QUALIFY rank = 1 OR used_chars <= 3000)"""
 
 

@@ -9,7 +9,7 @@ from skein.functions.text import document_key
 
 SUPPORTED = ("txt", "md", "pdf")
 # Kinds of question.
-CATEGORIES = ("vector_favored", "entity_relationship", "multi_hop_relationship", "comparison", "aggregation", "temporal", "policy_access", "no_evidence")
+CATEGORIES = ("direct_factual", "entity_relationship", "multi_hop_relationship", "comparison", "multiple_source_chunks", "vector_favored", "graph_favored", "no_evidence")
 
 CHUNK_SCHEMA = "chunk_id string, document_id string, text string, metadata struct<document_name:string,file_type:string,page_number:int,section:string,chunk_index:int,char_count:int,word_count:int>, embedding array<float>"
 QUESTION_SCHEMA = "id string, question string, category string, expected_answer string, expected_entities array<string>, expected_relationships array<struct<source:string,type:string,target:string>>, expected_source_chunks array<int>, expected_pages array<struct<document_id:int,page_number:int>>, notes string"
