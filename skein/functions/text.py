@@ -55,10 +55,13 @@ def normalize_text(c: Column) -> Column:
     s = F.regexp_replace(s, r"(\b[A-Za-z]{2,})-\s*\n\s*([a-z]{2,}\b)", "$1$2")
     # a year that a page layout has put two paragraphs below its day
     s = F.regexp_replace(s, r"(\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s*\d{1,2}),?\s*\n\n([^\n]+(?:\n[^\n]+)?)\n\n(20\d\d)\b", "$1, $3\n\n$2")
+    plain = s
     for m in MONTHS:
         if m != "May":
             short = "(Sept|Sep)" if m == "September" else f"({m[:3]})"
             s = F.regexp_replace(s, rf"(?i)\b{short}\b\.?\s*(\d{{1,2}}),?\s*((?:19|20)\d\d)\b", f"{m} $2, $3 ($1. $2, $3)")
+    # few texts have an abbreviated month; the others skip its eleven patterns
+    s = F.when(plain.rlike(r"(?i)\b(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)\b\.?\s*\d"), s).otherwise(plain)
     return strip(F.regexp_replace(s, r"\n{3,}", "\n\n"))
 
 

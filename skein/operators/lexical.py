@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.functions.text import tokens
 from skein.session import materialize
 
 K1, B = 1.5, 0.75
+#: Most terms, over all queries, of one call, and most cells of the table of terms by queries; every worker holds them.
+MAX_QUERY_TERMS, MAX_CELLS = 200_000, 1 << 25
 
 
 def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
@@ -37,25 +46,87 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def _count(sent):
+    """Per text its length in tokens, and the query terms in it with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = sent.value
+        find, get = re.compile(r"\b[a-z0-9_-]+\b").findall, number.get
+        for b in batches:
+            lengths, terms, counts, offsets = [], [], [], [0]
+            for t in b.column(1):
+                words = find((t.as_py() or "").lower())
+                lengths.append(len(words))
+                own = Counter(i for i in map(get, words) if i is not None)
+                terms += own.keys()
+                counts += own.values()
+                offsets.append(len(terms))
+            at = pa.array(offsets, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(at, pa.array(terms, pa.int32())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int32()))], names=["id", "dl", "terms", "tfs"])
+
+    return run
+
+
+def _score(sent, k: int, k1: float, b: float):
+    """The k best texts of each query in each part of a batch: one matrix product of term weights and query counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, asked, avgdl = sent.value
+        for whole in batches:
+            step = max(16, min(1000, (1 << 23) // len(weight)))
+            for start in range(0, whole.num_rows, step):
+                part = whole.slice(start, step)
+                n = part.num_rows
+                size = np.diff(part.column(2).offsets.to_numpy())
+                row = np.repeat(np.arange(n), size)
+                term, tf = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy().astype(np.float64)
+                dl = part.column(1).to_numpy()[row]
+                w = np.zeros((n, len(weight)))
+                w[row, term] = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+                s = (w @ asked).T
+                ids = part.column(0)
+                order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+                best = order[np.argsort(-np.round(s[:, order], 9), axis=1, kind="stable")[:, :k]]
+                value = np.take_along_axis(s, best, 1)
+                q, col = np.nonzero(value > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), ids.take(pa.array(best[q, col])), pa.array(value[q, col])], names=["q", "id", "raw"])
+
+    return run
+
+
 def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score, rank): for each query its k best texts of positive score.
 
     Statistics are over the whole corpus; `allowed` (ids) narrows the
     candidates only.  Ties go to the smaller id.  Blank queries, unknown
-    terms and k <= 0 give no rows.  Postings are cut to the queries' terms
-    before anything is counted per text, and the k best are cut map-side.
+    terms and k <= 0 give no rows.  The queries are a stated set whose size is
+    checked; each text is read once and leaves its counts of the queries'
+    terms, and only each batch's k best texts per query are shuffled.
     """
+    spark = corpus.sparkSession
     terms = query_terms(queries, query_key, query_text)
-    if k <= 0:
-        terms = terms.filter(F.lit(False))
-    posted = materialize(postings(corpus, key, text).join(terms.select("term").distinct(), "term", "left_semi"))
-    df = term_stats(posted)
-    stats = corpus_stats(corpus, text)
-    n, avgdl = stats.first() if k > 0 else (0, 0.0)
-    weight = idf(F.lit(float(n)), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(avgdl or 1.0))))
-    scored = posted.join(df, "term").select("id", "term", weight.alias("w"))
+    rows = [] if k <= 0 else terms.limit(MAX_QUERY_TERMS + 1).collect()
+    if len(rows) > MAX_QUERY_TERMS:
+        raise ValueError(f"more than {MAX_QUERY_TERMS} query terms; call once per part")
+    number = {t: i for i, t in enumerate(dict.fromkeys(r.term for r in rows))}
+    names = {q: i for i, q in enumerate(dict.fromkeys(r.query_id for r in rows))}
+    if len(number) * len(names) > MAX_CELLS:
+        raise ValueError(f"{len(number)} terms by {len(names)} queries; call once per part")
+    kind = corpus.schema[key].dataType.simpleString()
+    src = corpus if rows else corpus.limit(0)
+    counted = materialize(src.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_count(spark.sparkContext.broadcast(number)), f"id {kind}, dl int, terms array<int>, tfs array<int>"))
+    n, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    df = np.zeros(max(1, len(number)))
+    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():
+        df[r.t] = r.df
+    weight = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    asked = np.zeros((len(weight), max(1, len(names))))
+    for r in rows:
+        asked[number[r.term], names[r.query_id]] = r.qtf
     if allowed is not None:
-        scored = scored.join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
-    total = scored.join(terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("w")).alias("raw")).filter("raw > 0")
-    best = Window.partitionBy("query_id").orderBy(F.round("raw", 9).desc(), "id")
-    return total.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "id", F.round("raw", 4).alias("score"), "rank")
+        counted = counted.join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
+    sent = spark.sparkContext.broadcast((weight, asked, max(total / max(1, n), 1e-9)))
+    found = counted.select("id", "dl", "terms", "tfs").mapInArrow(_score(sent, max(k, 1), k1, b), f"q int, id {kind}, raw double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("raw", 9).desc(), "id"))).filter(F.col("rank") <= k)
+    back = spark.createDataFrame([(i, q) for q, i in names.items()], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", queries.schema[query_key].dataType)]))
+    return ranked.join(F.broadcast(back), "q").select("query_id", "id", F.round("raw", 4).alias("score"), "rank")

@@ -276,8 +276,9 @@ def sentence_units(spark, d):
     return table(spark, d, "documents").filter(t.isNotNull()).select("doc_id", F.size(T.sentences(t)).alias("n_sentences"), F.size(T.paragraphs(t)).alias("n_paragraphs"))
 
 
+# RE2's word boundary knows ASCII letters only, so the letters around a hyphen are spelled out; twice, as neighbouring matches share one.
 _MONTH_SQL = reduce(lambda s, m: f"regexp_replace({s}, '\\b({'Sept|Sep' if m == 'September' else m[:3]})\\b\\.?[\\t\\n\\x0b\\f\\r ]*(\\d{{1,2}}),?[\\t\\n\\x0b\\f\\r ]*((?:19|20)\\d\\d)\\b', '{m} \\2, \\3 (\\1. \\2, \\3)', 'gi')", [m for m in T.MONTHS if m != "May"],
-    "regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '(\\b[A-Za-z]{2,})-[\\t\\n\\x0b\\f\\r ]*\\n[\\t\\n\\x0b\\f\\r ]*([a-z]{2,}\\b)', '\\1\\2', 'g'), '(\\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\.?[\\t\\n\\x0b\\f\\r ]*\\d{1,2}),?[\\t\\n\\x0b\\f\\r ]*\\n\\n([^\\n]+(?:\\n[^\\n]+)?)\\n\\n(20\\d\\d)\\b', '\\1, \\3\n\n\\2', 'g')")
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '(^|[^\\p{L}\\p{N}_])([A-Za-z]{2,})-[\\t\\n\\x0b\\f\\r ]*\\n[\\t\\n\\x0b\\f\\r ]*([a-z]{2,})([^\\p{L}\\p{N}_]|$)', '\\1\\2\\3\\4', 'g'), '(^|[^\\p{L}\\p{N}_])([A-Za-z]{2,})-[\\t\\n\\x0b\\f\\r ]*\\n[\\t\\n\\x0b\\f\\r ]*([a-z]{2,})([^\\p{L}\\p{N}_]|$)', '\\1\\2\\3\\4', 'g'), '(\\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\\.?[\\t\\n\\x0b\\f\\r ]*\\d{1,2}),?[\\t\\n\\x0b\\f\\r ]*\\n\\n([^\\n]+(?:\\n[^\\n]+)?)\\n\\n(20\\d\\d)\\b', '\\1, \\3\n\n\\2', 'g')")
 
 
 @query(f"SELECT doc_id, sha256({_STRIPS.format(f'''regexp_replace({_MONTH_SQL}, '{chr(92)}n{{3,}}', chr(10) || chr(10), 'g')''')}) AS normalized_sha FROM documents WHERE text IS NOT NULL")
