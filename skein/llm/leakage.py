@@ -27,7 +27,7 @@ ERRORS = 1
 MAX_ITEM_CHARS = 64_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
-_HYPHEN = re.compile(r"(?<=[^\W\d_])-[^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
+_HYPHEN = re.compile(r"-(?<=[^\W\d_]-)[^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
 
 
 def words(text: str | None) -> list[str]:
