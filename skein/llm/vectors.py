@@ -9,6 +9,10 @@ estimates the cosine.  What passes is screened by the signs of both vectors'
 differences from the list's codeword, and the rest is ranked anew with the
 exact vectors.
 
+Codewords can't order what lies close around them, so vectors near a codeword
+of a dense list are compared with all that can be similar to them, by exact
+products.
+
 Vectors that are equal number by number are searched once, as one class.
 """
 
@@ -34,8 +38,12 @@ TRAIN = 16_384
 BOOKS, WORDS, BEAM = 7, 256, 4
 #: Lists in which each row is entered; a query looks into the one it is nearest to.
 ENTRIES = 4
-#: How far below the wanted similarity an estimate may lie, and how many candidates a query keeps per tile.
-MARGIN, KEEP = 0.15, 32
+#: How far below the wanted similarity an estimate may lie.
+MARGIN = 0.15
+#: A list is dense if its vectors lie about this near to its codeword; dense lists with codewords within MERGED of another's form a group.
+DENSE, MERGED = 0.5, 0.75
+#: More than two float32 products of unit vectors of DIM numbers can be wrong by together.
+ERROR = 5e-5
 #: Queries and rows that one tile holds; larger lists are split into tiles.
 TILE = 8_192
 
@@ -46,7 +54,10 @@ class Books:
     fine: np.ndarray  # BOOKS * WORDS x dim
     gram: np.ndarray  # of fine with fine
     cross: np.ndarray  # of coarse with fine
-    blocks: np.ndarray  # tiles' width of each list, for about TILE rows or queries each
+    blocks: np.ndarray  # tiles' width of each list, then of each dense group, for about TILE rows or queries each
+    dense: np.ndarray  # the dense lists, group by group
+    begin: np.ndarray  # where each group begins there
+    group: np.ndarray  # of each list, or -1
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -64,7 +75,36 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def train(sample: np.ndarray, lists: int, n: int, seed: int = 7) -> Books:
+def _dense_groups(coarse: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dense, begin, group) of Books; a codeword's length tells how near the unit vectors that it is the mean of are."""
+    group = np.full(len(coarse), -1)
+    dense = np.flatnonzero((coarse * coarse).sum(1) >= 1 - DENSE**2)
+    dense = dense[np.argsort(-share[dense], kind="stable")]
+    groups = 0
+    for c in dense:
+        if group[c] < 0:
+            free = dense[group[dense] < 0]
+            group[free[((coarse[free] - coarse[c]) ** 2).sum(1) <= MERGED**2]] = groups
+            groups += 1
+    dense = dense[np.argsort(group[dense], kind="stable")]
+    return dense, np.searchsorted(group[dense], np.arange(groups)), group
+
+
+def in_dense(fit: np.ndarray, home: np.ndarray, books: Books, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(own, meets) of unit vectors: the dense group of those within DENSE of their codeword, else -1, and by group whether a vector can be similar to such a one.
+
+    If a vector's cosine with one within DENSE of a codeword is at least
+    `least`, its own distance from that codeword is at most DENSE and the chord.
+    """
+    if not len(books.dense):
+        return np.full(len(fit), -1), np.zeros((len(fit), 0), bool)
+    least_fit = lambda far: (1 - far * far) / 2
+    own = np.where(fit[np.arange(len(fit)), home] >= least_fit(DENSE), books.group[home], -1)
+    near = fit[:, books.dense] >= least_fit(DENSE + math.sqrt(max(0.0, 2 - 2 * least))) - ERROR
+    return own, np.logical_or.reduceat(near, books.begin, axis=1)
+
+
+def train(sample: np.ndarray, lists: int, n: int, seed: int = 7, least: float = 0.85) -> Books:
     """Codebooks of unit vectors: the coarse one, then one after another on the residuals."""
     coarse = _kmeans(sample, lists, 6, seed)
     left = sample - coarse[np.argmax(sample @ coarse.T - 0.5 * (coarse * coarse).sum(1), axis=1)]
@@ -76,9 +116,14 @@ def train(sample: np.ndarray, lists: int, n: int, seed: int = 7) -> Books:
         left = left - c[np.argmax(left @ c.T - 0.5 * (c * c).sum(1), axis=1)]
         fine.append(c)
     fine = np.concatenate(fine).astype(np.float32)
-    home = np.argmax(sample @ coarse.T - 0.5 * (coarse * coarse).sum(1), axis=1)
+    near = sample @ coarse.T - 0.5 * (coarse * coarse).sum(1)
+    home = np.argmax(near, axis=1)
     share = np.bincount(home, minlength=len(coarse)) / max(1, len(sample))
-    return Books(coarse.astype(np.float32), fine, fine @ fine.T, coarse @ fine.T, np.maximum(1, np.ceil(share * n / TILE)).astype(np.int32))
+    books = Books(coarse.astype(np.float32), fine, fine @ fine.T, coarse @ fine.T, np.zeros(0), *_dense_groups(coarse, share))
+    once = list({r.tobytes(): i for i, r in enumerate(sample)}.values())  # equal vectors meet once
+    meets = in_dense(near[once], home[once], books, least)[1].sum(axis=0) / max(1, len(sample))
+    books.blocks = np.maximum(1, np.ceil(np.concatenate([share, meets]) * n / TILE)).astype(np.int32)
+    return books
 
 
 def beam_codes(x: np.ndarray, home: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray]:
@@ -154,9 +199,37 @@ def _signs(x: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(r > 0, axis=1), np.einsum("ij,ij->i", r, r)
 
 
-def _enter(sent, entries: int):
+def _best(q: np.ndarray, x: np.ndarray, k: int, same: np.ndarray, least: float = -2.0, digits: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine): for each of the unit vectors q the k best of x with at least `least`, and what equals the last in so many digits.
+
+    same holds the key of each of q and x; equal ones don't meet.  float32
+    products leave out what is lower by more than their error, float64 decides.
+    """
+    qk, xk = same[: len(q)], same[len(q) :]
+    x32, out = x.astype(np.float32), []
+    for at in range(0, len(q), 256):
+        part = q[at : at + 256]
+        e = part.astype(np.float32) @ x32.T
+        e[qk[at : at + 256, None] == xk] = -9
+        low = np.partition(e, -k, axis=1)[:, -k] if e.shape[1] > k else np.full(len(e), -2, np.float32)
+        i, j = np.nonzero((e >= np.maximum(low, least)[:, None] - ERROR) & (e > -3))
+        v = (part @ x.T)[i, j] if len(i) > e.size // 64 else np.einsum("ij,ij->i", part[i], x[j])
+        shown = np.round(v, digits)
+        order = np.lexsort((-shown, i))
+        i, j, v, shown = i[order], j[order], v[order], shown[order]
+        last = np.searchsorted(i, i, "left") + k - 1
+        ends = np.minimum(last, len(i) - 1)
+        fine = (v >= least - 1e-9) & ((last >= len(i)) | (i[ends] != i) | (shown >= shown[ends]))
+        out.append((at + i[fine], j[fine], v[fine]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _enter(sent, entries: int, least: float):
     """Each vector as a query in its own list, with itself in half precision, and in its nearest lists as a coded row.
 
+    One within DENSE of the codeword of a dense list is a query of that list's
+    group instead; whatever can be similar to such ones is a row there, in
+    full, and asks for them in turn if it is no query there or elsewhere (home -1).
     A list is cut into tiles of blocks of queries by blocks of rows: a query
     goes to the tiles of its block, a row to those of its own.
     """
@@ -184,10 +257,22 @@ def _enter(sent, entries: int):
                         new.append(i)
                 if not new:
                     continue
-                ids, x, h = ids[new], _unit(x[new]), h[new]
+                ids, raw, h = ids[new], x[new], h[new]
+                x = _unit(raw)
                 fit = x @ books.coarse.T - 0.5 * (books.coarse * books.coarse).sum(1)
-                top = np.argpartition(-fit, near - 1, axis=1)[:, :near].astype(np.int64)
                 home = np.argmax(fit, axis=1)
+                own, meets = in_dense(fit, home, books, least)
+                at = np.flatnonzero(own >= 0)
+                if len(at):
+                    yield rows(len(books.coarse) + own[at], True, ids[at], h[at], home[at], [raw[i].tobytes() for i in at], books)
+                at, groups = np.nonzero(meets)
+                if len(at):
+                    yield rows(len(books.coarse) + groups, False, ids[at], h[at], np.where(own[at] < 0, -1, home[at]), [raw[i].tobytes() for i in at], books)
+                rest = np.flatnonzero(own < 0)
+                if not len(rest):
+                    continue
+                ids, x, h, fit, home = ids[rest], x[rest], h[rest], fit[rest], home[rest]
+                top = np.argpartition(-fit, near - 1, axis=1)[:, :near].astype(np.int64)
                 codes, scale = beam_codes(x, home, books)
                 yield rows(home, True, ids, h, home, [r.tobytes() for r in x.astype(np.float16)], books)
                 row = np.repeat(np.arange(len(x)), near)
@@ -199,8 +284,29 @@ def _enter(sent, entries: int):
     return run
 
 
-def _search(sent, least: float, keep: int):
-    """Candidates of the queries of a tile among its rows; tiles come sorted, so one is held at a time."""
+def _search(sent, least: float, k: int):
+    """Candidates of the queries of a tile among its rows; tiles come sorted, so one is held at a time.
+
+    A tile of a dense group gives the k best, with their cosines (s).  In other
+    tiles all that passes the estimates and signs goes on, but for pairs whose
+    cosine is known here and surely below the query's k-th best.
+    """
+    names = ["q", "x", "s"]
+
+    def dense(qs: list[tuple], xs: list[tuple]) -> pa.RecordBatch:
+        def unit(part):
+            m = np.frombuffer(b"".join(r[5] for r in part), np.float32).reshape(len(part), -1).astype(np.float64)
+            return m / np.sqrt((m * m).sum(1))[:, None]
+
+        q, x = unit(qs), unit(xs)
+        (qid, qh), (xid, xh) = (np.array([r[1:3] for r in part]).T for part in (qs, xs))
+        i, j, s = _best(q, x, k, np.concatenate([qh, xh]), least)
+        a, b, c = [qid[i]], [xid[j]], [s]
+        asks = np.flatnonzero([r[3] < 0 for r in xs])
+        if len(asks):
+            i, j, s = _best(x[asks], q, k, np.concatenate([xh[asks], qh]), least)
+            a.append(xid[asks[i]]), b.append(qid[j]), c.append(s)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(m)) for m in (a, b, c)], names=names)
 
     def tile(rows: list[tuple]) -> pa.RecordBatch | None:
         books: Books = sent.value
@@ -208,6 +314,8 @@ def _search(sent, least: float, keep: int):
         xs = {r[2]: r for r in rows if not r[0]}
         if not qs or not xs:
             return None
+        if rows[0][4] >= len(books.coarse):
+            return dense(list(qs.values()), list(xs.values()))
         qid, xid = (np.array([r[1] for r in d.values()]) for d in (qs, xs))
         qh, xh = (np.array([r[2] for r in d.values()]) for d in (qs, xs))
         q = np.frombuffer(b"".join(r[5] for r in qs.values()), np.float16).reshape(len(qs), -1).astype(np.float32)
@@ -223,11 +331,11 @@ def _search(sent, least: float, keep: int):
         dim = q.shape[1]
         a, b = [], []
         step = max(1, (1 << 21) // len(xs))
-        for k in range(0, len(qs), step):
-            e = estimate(q[k : k + step], home, codes, scale, books)
+        for start in range(0, len(qs), step):
+            e = estimate(q[start : start + step], home, codes, scale, books)
             i, j = np.nonzero(e >= least - MARGIN)
             v = e[i, j]
-            i = i + k
+            i = i + start
             fine = qh[i] != xh[j]
             i, j, v = i[fine], j[fine], v[fine]
             # |q - x|^2 is at most 2 - 2 least; how many signs may differ then, with 4.5 deviations to spare
@@ -239,13 +347,17 @@ def _search(sent, least: float, keep: int):
             known = same[j] >= 0
             v[known] = np.einsum("ij,ij->i", q[i[known]], q[same[j[known]]])
             fine = v >= np.where(known, least - 0.002, least - MARGIN)
-            i, j, v = i[fine], j[fine], v[fine]
-            order = np.lexsort((-v, i))  # the best `keep` of each query
-            i, j, v = i[order], j[order], v[order]
-            first = np.searchsorted(i, i, "left")
-            fine = np.arange(len(i)) - first < keep
+            i, j, v, known = i[fine], j[fine], v[fine], known[fine]
+            ki, kv = i[known], v[known]
+            order = np.lexsort((-kv, ki))
+            ki, kv = ki[order], kv[order]
+            last = np.arange(len(ki)) - np.searchsorted(ki, ki, "left") == k - 1
+            low = np.full(len(qs), -2.0)
+            low[ki[last]] = kv[last]
+            fine = ~known | (v >= low[i] - 0.0025)  # more than half precision can be wrong by
             a.append(qid[i[fine]]), b.append(xid[j[fine]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (a, b)], names=["q", "x"])
+        a, b = (np.concatenate(c).astype(np.int64) for c in (a, b))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.float64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -301,16 +413,16 @@ def usable(vectors: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFra
     return vectors.filter(F.col(key).isNotNull() & v.isNotNull() & (F.size(v) == dim)).select(F.col(key).cast("long").alias("id"), v.cast("array<float>").alias("v"))
 
 
-def fit(rows: DataFrame, n: int, seed: int = 7, sample: int = TRAIN) -> Books:
+def fit(rows: DataFrame, n: int, seed: int = 7, sample: int = TRAIN, least: float = 0.85) -> Books:
     """Codebooks from about `sample` rows; the number of lists grows as the root of n."""
     part = rows if n <= sample else rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     got = [_usable(b)[1] for b in part.select("id", "v").toArrow().to_batches() if b.num_rows]
     x = _unit(np.concatenate(got)) if sum(map(len, got)) else np.eye(1, DIM, dtype=np.float32)
     lists = 1 << max(0, round(math.log2(2 * math.sqrt(max(1, n)))))
-    return train(x, max(1, min(lists, len(x) // 8)), n)
+    return train(x, max(1, min(lists, len(x) // 8)), n, least=least)
 
 
-def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, keep: int = KEEP) -> tuple[DataFrame, DataFrame]:
+def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, k: int = K) -> tuple[DataFrame, DataFrame]:
     """(members, links) of `usable` rows: members (id, class_id, size, position), links (a, b, similarity) both ways, between classes of at least that exact cosine.
 
     position counts the members of a class by id from 1 to K + 1; further
@@ -321,16 +433,21 @@ def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, kee
     classes = hashed.groupBy("h0", "h1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     first = hashed.withColumn("position", F.row_number().over(Window.partitionBy("h0", "h1").orderBy("id"))).filter(F.col("position") <= K + 1).select("id", "position")
     members = materialize(hashed.join(classes, ["h0", "h1"]).select("id", "class_id", "size").join(first, "id", "left"))
-    sent = spark.sparkContext.broadcast(fit(rows, members.count()))
-    entered = rows.mapInArrow(_enter(sent, entries), _ROW_SQL)
-    found = materialize(entered.repartition("tile").sortWithinPartitions("tile").mapInArrow(_search(sent, least, keep), "q long, x long"))
+    sent = spark.sparkContext.broadcast(fit(rows, members.count(), least=least))
+    entered = rows.mapInArrow(_enter(sent, entries, least), _ROW_SQL)
+    found = materialize(entered.repartition("tile").sortWithinPartitions("tile").mapInArrow(_search(sent, least, k), "q long, x long, s double"))
     cls = members.select(F.col("id"), "class_id")
     pairs = found.join(cls.select(F.col("id").alias("q"), F.col("class_id").alias("a")), "q").join(cls.select(F.col("id").alias("x"), F.col("class_id").alias("b")), "x")
-    pairs = materialize(pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    pairs = pairs.filter("a != b")
+    sure = pairs.filter("s IS NOT NULL").groupBy("a", "b").agg(F.max("s").alias("similarity"))
+    sure = sure.withColumn("r", F.rank().over(Window.partitionBy("a").orderBy(F.round("similarity", 9).desc()))).filter(F.col("r") <= k)
+    sides = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(pairs.filter("s IS NULL").select(*sides).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     exact = materialize(_sift(rows, wanted).join(wanted, "id", "left_semi"))
     both = pairs.join(exact.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(exact.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    half = materialize(both.select("a", "b", "va", "vb").mapInArrow(_exact, "a long, b long, similarity double").filter(F.col("similarity") >= least))
+    half = both.select("a", "b", "va", "vb").mapInArrow(_exact, "a long, b long, similarity double").unionAll(sure.select(*sides, "similarity"))
+    half = materialize(half.filter(F.col("similarity") >= least).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     links = half.unionAll(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     return members, links
 
@@ -343,7 +460,7 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, k: in
     neighbours in the class; only for smaller classes are the neighbouring
     classes' first members added, so no class is paired out.
     """
-    members, links = neighbour_classes(usable(vectors, key, vector, dim), least)
+    members, links = neighbour_classes(usable(vectors, key, vector, dim), least, k=k)
     first = members.filter(F.col("position").isNotNull())
     inside = members.filter("size > 1").join(first.select("class_id", F.col("id").alias("n"), F.col("position").alias("p")), "class_id").filter(F.col("id") != F.col("n"))
     inside = inside.filter((F.col("p") <= k) | F.coalesce(F.col("position") <= k, F.lit(False))).select("id", "n")

@@ -95,3 +95,21 @@ def test_nearest_with_odd_vectors(odd):
     got = V.nearest(df, "id", "embedding", df["id"].isin([0, 1000, 2000, 2003])).collect()
     assert {r.query_id for r in got} == {0, 1000} and {r.id for r in got if r.query_id == 1000} == {1001, 1002, 1003, 1004, 1005}
     assert V.nearest(df.limit(0), "id", "embedding", df["id"] == 1).count() == 0
+
+
+def near_copies(n, share, cosine, seed=11):
+    """n vectors, a share of them with about this cosine to each other."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, V.DIM)) / np.sqrt(V.DIM)
+    hot = int(n * share)
+    centre = r.normal(size=V.DIM)
+    x[:hot] = np.sqrt(cosine) * centre / np.linalg.norm(centre) + np.sqrt(1 - cosine) * x[:hot]
+    return [(i, [float(y) for y in v]) for i, v in enumerate(x.astype(np.float32))]
+
+
+@pytest.mark.parametrize("cosine", [0.87, 0.98])
+def test_a_third_of_near_copies(spark, monkeypatch, cosine):
+    monkeypatch.setattr(V, "TILE", 512)
+    rows = near_copies(4500, 1 / 3, cosine)
+    got = {tuple(r) for r in V.similar_pairs(spark.createDataFrame(rows, "id long, embedding array<float>").repartition(8), "id", "embedding", 0.85).collect()}
+    assert got == brute(rows, 0.85)
