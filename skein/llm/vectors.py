@@ -182,6 +182,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt(np.einsum("ij,ij->i", x.astype(np.float64), x))[:, None]).astype(np.float32)
 
 
+def _unit64(data: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(data), np.float32).reshape(len(data), -1).astype(np.float64)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
 def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -294,11 +299,7 @@ def _search(sent, least: float, k: int):
     names = ["q", "x", "s"]
 
     def dense(qs: list[tuple], xs: list[tuple]) -> pa.RecordBatch:
-        def unit(part):
-            m = np.frombuffer(b"".join(r[5] for r in part), np.float32).reshape(len(part), -1).astype(np.float64)
-            return m / np.sqrt((m * m).sum(1))[:, None]
-
-        q, x = unit(qs), unit(xs)
+        q, x = (_unit64([r[5] for r in part]) for part in (qs, xs))
         (qid, qh), (xid, xh) = (np.array([r[1:3] for r in part]).T for part in (qs, xs))
         i, j, s = _best(q, x, k, np.concatenate([qh, xh]), least)
         a, b, c = [qid[i]], [xid[j]], [s]
@@ -471,48 +472,17 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, k: in
     return pairs.select(F.least("id", "n").alias("id_a"), F.greatest("id", "n").alias("id_b")).distinct()
 
 
-def _block(sent, k: int, keep: int):
-    """The k best rows of each query of a tile.
-
-    A quarter of the rows passes by the look-up table's estimates (of the
-    approximation itself, which orders far rows better than the unbiased
-    ones), `keep` of those by estimates and signs together, and they are
-    ranked anew by the exact vectors.
-    """
+def _block(k: int):
+    """The k best rows of each query of a tile, and what equals the last in 6 digits, of all its rows."""
 
     def tile(rows: list[tuple]) -> pa.RecordBatch | None:
-        books: Books = sent.value
         qs, xs = [r for r in rows if r[0]], [r for r in rows if not r[0]]
         if not qs or not xs:
             return None
-        matrix = lambda part: np.frombuffer(b"".join(r[2] for r in part), np.float32).reshape(len(part), -1)
-        q, x = matrix(qs), matrix(xs)
-        qid, xid = np.array([r[1] for r in qs]), np.array([r[1] for r in xs])
-        home = np.argmax(x @ books.coarse.T - 0.5 * (books.coarse * books.coarse).sum(1), axis=1)
-        codes = np.concatenate([beam_codes(x[i : i + 1000], home[i : i + 1000], books)[0] for i in range(0, len(x), 1000)])
-        plain = np.ones(len(x), np.float32)
-        mean = books.coarse.mean(axis=0)
-        pad = lambda m: np.pad(m, ((0, 0), (0, -m.shape[1] % 8))).view(np.uint64)
-        qs_, xs_ = (pad(_signs(m, mean)[0]) for m in (q, x))
-        a, b, s = [], [], []
-        step = 256
-        for i in range(0, len(q), step):
-            e = estimate(q[i : i + step], home, codes, plain, books)
-            e[qid[i : i + step, None] == xid] = -9
-            n = min(max(keep, e.shape[1] // 4), e.shape[1])
-            near = np.argpartition(-e, n - 1, axis=1)[:, :n]
-            e = np.take_along_axis(e, near, 1)
-            differ = np.bitwise_count(qs_[i : i + step, None] ^ xs_[near]).sum(axis=2, dtype=np.int32)
-            both = e / max(float(e[e > -9].std()) if (e > -9).any() else 0.0, 1e-9) - differ / max(float(differ.std()), 1e-9)
-            n = min(keep, n)
-            near = np.take_along_axis(near, np.argpartition(-both, n - 1, axis=1)[:, :n], 1)
-            exact = np.einsum("id,ijd->ij", q[i : i + step], x[near])
-            exact[qid[i : i + step, None] == xid[near]] = -9
-            order = np.lexsort((xid[near], -np.round(exact, 6)), axis=1)[:, :k]
-            near, exact = np.take_along_axis(near, order, 1), np.take_along_axis(exact, order, 1)
-            row, col = np.nonzero(exact > -2)
-            a.append(qid[i + row]), b.append(xid[near[row, col]]), s.append(exact[row, col])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in ((a, np.int64), (b, np.int64), (s, np.float64))], names=["query_id", "id", "similarity"])
+        q, x = (_unit64([r[2] for r in part]) for part in (qs, xs))
+        qid, xid = (np.array([r[1] for r in part], np.int64) for part in (qs, xs))
+        i, j, s = _best(q, x, k, np.concatenate([qid, xid]), digits=6)
+        return pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(xid[j]), pa.array(s)], names=["query_id", "id", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -529,21 +499,18 @@ def _block(sent, k: int, keep: int):
     return run
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, asked, k: int = K, keep: int = 256, dim: int = DIM) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, asked, k: int = K, dim: int = DIM) -> DataFrame:
     """(query_id, id, similarity, rank): for the rows that satisfy `asked` the k most similar other rows, of all rows.
 
-    The stated queries meet all rows, in blocks of TILE by TILE; in each block
-    the `keep` best candidates of a query are ranked anew exactly, and the
-    blocks' k best are merged.  Unlike `similar_pairs` this does not rely on a
+    The stated queries meet all rows, in blocks of TILE by TILE, by exact
+    products, and the blocks' k best are merged.  Unlike `similar_pairs` this does not rely on a
     query and its neighbour being near one codeword, so it also finds far
     neighbours; its cost is queries times rows.  Ties go to the smaller id.
     """
-    spark = vectors.sparkSession
     ids = vectors.filter(asked).select(F.col(key).cast("long").alias("id"))
     rows = usable(vectors, key, vector, dim)
     mine = usable(vectors.filter(asked), key, vector, dim)
     n, m = rows.count(), ids.count()
-    sent = spark.sparkContext.broadcast(fit(rows, n))
     wide, high = max(1, -(-n // TILE)), max(1, -(-m // TILE))
 
     def pack(query: bool):
@@ -552,7 +519,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, asked, k: int = K, keep:
                 if b.num_rows:
                     i, x, h = _usable(b)
                     own = (h[:, 1].astype(np.uint64) ^ i.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-                    yield pa.RecordBatch.from_arrays([pa.array((own % np.uint64(high if query else wide)).astype(np.int32)), pa.array(i), pa.array([r.tobytes() for r in _unit(x)], pa.binary())], names=["own", "id", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array((own % np.uint64(high if query else wide)).astype(np.int32)), pa.array(i), pa.array([r.tobytes() for r in x], pa.binary())], names=["own", "id", "data"])
 
         return run
 
@@ -560,7 +527,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, asked, k: int = K, keep:
     q = mine.mapInArrow(pack(True), kind).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda j: F.col("own") * wide + j)).alias("tile"), F.lit(True).alias("query"), "id", "data")
     x = rows.mapInArrow(pack(False), kind).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(high - 1)), lambda j: j * wide + F.col("own"))).alias("tile"), F.lit(False).alias("query"), "id", "data")
     dealt = q.unionByName(x).repartition(wide * high, "tile").sortWithinPartitions("tile")
-    best = dealt.mapInArrow(_block(sent, k, keep), "query_id long, id long, similarity double")
+    best = dealt.mapInArrow(_block(k), "query_id long, id long, similarity double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
 

@@ -113,3 +113,15 @@ def test_a_third_of_near_copies(spark, monkeypatch, cosine):
     rows = near_copies(4500, 1 / 3, cosine)
     got = {tuple(r) for r in V.similar_pairs(spark.createDataFrame(rows, "id long, embedding array<float>").repartition(8), "id", "embedding", 0.85).collect()}
     assert got == brute(rows, 0.85)
+
+
+def test_nearest_among_a_third_of_near_copies(spark):
+    rows = near_copies(6000, 1 / 3, 0.93)
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(8)
+    got = {(r.query_id, r.rank): r.id for r in V.nearest(df, "id", "embedding", df["id"] % 20 == 0).collect()}
+    x = np.stack([np.array(v) for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    s = np.round(x[::20] @ x.T, 6)
+    s[np.arange(len(s)), np.arange(len(s)) * 20] = -2
+    want = {(20 * i, n + 1): int(b) for i, row in enumerate(s) for n, b in enumerate(np.lexsort((np.arange(len(x)), -row))[:5])}
+    assert got == want
