@@ -199,8 +199,8 @@ _RERANKED = f"""cand AS (SELECT b.query_id, b.id, b.rank AS initial_rank, e.ques
     rr AS (SELECT query_id, id, reranker_score, row_number() OVER (PARTITION BY query_id ORDER BY reranker_score DESC, initial_rank, id) AS rank, initial_rank FROM sc QUALIFY rank <= 8)"""
 
 
-def _reranked(spark, d):
-    found = _bm25(spark, d, 25)
+def _reranked(spark, d, found=None):
+    found = _bm25(spark, d, 25) if found is None else found
     c = found.join(questions(spark, d).withColumnRenamed("text", "query"), "query_id").join(table(spark, d, "chunks").select("id", F.col("content").alias("text")), "id")
     return rerank.rerank(c)
 
@@ -249,10 +249,17 @@ def provenance_badges(spark, d):
     return table(spark, d, "citations").select("query_id", "chunk_id", context.provenance_badge(F.col("retrieved_by")).alias("badge")).distinct()
 
 
+def _evidence(spark, d):
+    """(query_id, id, rank): the fused lexical and dense candidates, then what only the graph branch finds."""
+    found = fusion.rrf([("vector", _vector(spark, d)), ("bm25", _bm25(spark, d))], top_k=rerank.CANDIDATES)
+    fused = fusion.fuse_evidence(found, _graph_branch(spark, d), allowed_chunks(spark, d))
+    return fused.select("query_id", "id", F.coalesce("vector_rank", F.lit(rerank.CANDIDATES) + F.col("graph_rank")).alias("rank"))
+
+
 @query()
 def rag_answer(spark, d):
-    """The whole path: candidates, reranking, packing, and the stand-in answer or the refusal, for every question."""
-    r = _reranked(spark, d).select("query_id", F.col("id").alias("chunk_id"), "rank")
+    """The whole path: lexical, dense and graph candidates, reranking, packing, and the stand-in answer or the refusal, for every question."""
+    r = _reranked(spark, d, _evidence(spark, d)).select("query_id", F.col("id").alias("chunk_id"), "rank")
     c = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "page_number", "section", "content")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "filename")
     k = r.join(c, "chunk_id").join(docs, "document_id")
