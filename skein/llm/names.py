@@ -218,10 +218,13 @@ def same_organisation(a: dict, b: dict) -> bool:
 
 
 def _keys(kind: str, name: str) -> list[tuple[str, str, str]]:
-    """(suffix key, refinement, next letter) of a name: each suffix of each word that can tell names apart, with the initials of the other words, and the letter that would lengthen the suffix."""
+    """(suffix key, refinement, next letter) of a name: each suffix of each word that can tell names apart, with the letters by which the other words can meet their variants, and the letter that would lengthen the suffix."""
     if kind == "PERSON":
-        readings = person(name)
-        heads = {s: {x for g in gs[:1] for x in ({g[0]} | {f[0] for f in _FULL.get(g, ())})} or {""} for s, gs, _ in readings}
+        heads: dict[str, set[str]] = {}
+        for s, gs, _ in person(name):
+            # same_given accepts swapped first letters, so the second counts, too
+            heads.setdefault(s, set()).update(*({g[0], *(g[1] if len(g) >= 4 else "")} | {f[0] for f in _FULL.get(g, ())} for g in gs[:1]))
+        heads = {s: hs or {""} for s, hs in heads.items()}
     else:
         o = organisation(name)
         heads = {w: {x[0] for x in o["words"] if x is not w} or {""} for w in o["words"] if len(w) >= 5}
@@ -300,7 +303,8 @@ def variant_classes(names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Null, blank and letterless names and null ids take no part.  Classes are
     compared, not rows, so a spelling that a third of all rows share counts
-    once.  All pairs of classes that share a key are compared.
+    once.  All pairs of classes that share a key are compared, but for persons
+    under a common key whose first given names can't be one.
     """
     src = names.filter(F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("kind").isin("PERSON", "ORGANIZATION"))
     folded = materialize(src.select(F.col("id").cast("long").alias("id"), "kind", "name").mapInArrow(_fold_batches, "id long, kind string, name string"))

@@ -66,3 +66,18 @@ def test_common_keys_are_tiled_and_repeats_kept(spark, monkeypatch):
 def test_empty(spark):
     members, links = N.variant_classes(spark.createDataFrame([], "id long, kind string, name string"))
     assert members.count() == 0 and links.count() == 0
+
+
+def test_swapped_first_letters_under_a_common_surname(spark):
+    names = ["Mila Zorbrook", "Imla Zorbrook"] + [f"{a}{b}{a}{b} Zorbrook" for a in "BCDFGHJKL" for b in "aeiouyrtw"]
+    rows = [(i, "PERSON", n) for i, n in enumerate(names)]
+    assert len(rows) > N.COMMON
+    _, links = N.variant_classes(spark.createDataFrame(rows, "id long, kind string, name string"))
+    assert (0, 1) in {tuple(r) for r in links.collect()}
+
+
+@pytest.mark.parametrize("a,b", [("Mila", "Imla"), ("William", "Iwlliam"), ("Bill", "Iwlliam"), ("R", "Bob"), ("Sam", "Samantha")])
+def test_refinements_keep_what_may_be_one_given_name(a, b):
+    assert N.same_given(a.lower(), b.lower())
+    refinements = [{r for k, r, _ in N._keys("PERSON", f"{x} Zorbrook") if k == "P+zorbrook"} for x in (a, b)]
+    assert refinements[0] & refinements[1]
