@@ -109,7 +109,7 @@ def _edges(window: int, overlap: int):
                 heads.append([start + p for p in boundaries(text, 0, min(overlap, len(text)))])
                 # the last matches may be cut short by the window's end, which the pattern looks one past
                 tails.append([start + p for p in boundaries(text, window, len(text))[:-2]] if len(text) > window else [])
-            yield pa.RecordBatch.from_pydict({"key": b.column(0), "n": b.column(1), "head": pa.array(heads, pa.list_(pa.int64())), "tail": pa.array(tails, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"row": b.column(0), "n": b.column(1), "head": pa.array(heads, pa.list_(pa.int64())), "tail": pa.array(tails, pa.list_(pa.int64()))})
 
     return run
 
@@ -120,35 +120,37 @@ def encode(docs: DataFrame, key: str, text: str, path: str | None = None, window
     Texts of up to one window are encoded where they are read.  Longer ones
     are spread over tasks window by window; if some neighbouring windows of a
     text share no boundary (one pre-token fills the overlap), that text is
-    encoded as a whole.  Keys must be unique among texts longer than a
-    window; null keys are kept for shorter ones and dropped for longer ones.
+    encoded as a whole.  Every row gives one row, whether its key is null or
+    repeated or not.
     """
     path = path or vocabulary_path()
     src = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     short = src.filter(F.length("text") <= window).mapInArrow(_encode_batches(path), "key long, ids array<int>")
-    long = _encode_long(src.filter((F.length("text") > window) & F.col("key").isNotNull()), path, window, overlap)
+    long = _encode_long(src.filter(F.length("text") > window), path, window, overlap)
     return short.unionByName(long).withColumnRenamed("key", key)
 
 
 def _encode_long(src: DataFrame, path: str, window: int, overlap: int) -> DataFrame:
     last = F.floor((F.length("text") - 1) / window).cast("int")
-    windows = src.select("key", F.explode(F.sequence(F.lit(0), last)).alias("n"), "text")
-    windows = windows.select("key", "n", F.substring(F.col("text"), F.col("n") * window + 1, F.lit(window + overlap)).alias("text"))
-    windows = materialize(windows.repartition("key", "n"))
-    edges = materialize(windows.mapInArrow(_edges(window, overlap), "key long, n int, head array<long>, tail array<long>"))
-    before = edges.select("key", (F.col("n") + 1).alias("n"), F.col("tail").alias("_tail"))
+    # the row's own number stands for it, as keys may be null or repeated
+    windows = src.select(F.monotonically_increasing_id().alias("row"), "key", "text").select("row", "key", F.explode(F.sequence(F.lit(0), last)).alias("n"), "text")
+    windows = windows.select("row", "n", F.substring(F.col("text"), F.col("n") * window + 1, F.lit(window + overlap)).alias("text"), "key")
+    windows = materialize(windows.repartition("row", "n"))
+    edges = materialize(windows.select("row", "n", "text").mapInArrow(_edges(window, overlap), "row long, n int, head array<long>, tail array<long>"))
+    before = edges.select("row", (F.col("n") + 1).alias("n"), F.col("tail").alias("_tail"))
     shared = F.array_min(F.array_intersect("head", "_tail"))
-    cuts = edges.join(before, ["key", "n"], "left").select("key", "n", F.when(F.col("n") == 0, F.lit(0).cast("long")).otherwise(shared).alias("cut"))
-    whole = Window.partitionBy("key")
-    cuts = cuts.select("key", "n", "cut", F.min(F.col("cut").isNotNull()).over(whole).alias("stitched"), F.lead("cut").over(whole.orderBy("n")).alias("next"))
+    cuts = edges.join(before, ["row", "n"], "left").select("row", "n", F.when(F.col("n") == 0, F.lit(0).cast("long")).otherwise(shared).alias("cut"))
+    whole = Window.partitionBy("row")
+    cuts = cuts.select("row", "n", "cut", F.min(F.col("cut").isNotNull()).over(whole).alias("stitched"), F.lead("cut").over(whole.orderBy("n")).alias("next"))
     origin = F.col("n").cast("long") * window
     low = F.when(F.col("stitched"), F.col("cut")).otherwise(origin)
     # the last window's own part ends with its text
     high = F.when(F.col("stitched") & F.col("next").isNotNull(), F.col("next")).otherwise(origin + window)
-    own = windows.join(cuts, ["key", "n"]).select("key", "n", F.when(F.col("stitched"), F.col("n")).otherwise(0).alias("run"), F.substring(F.col("text"), (low - origin + 1).cast("int"), (high - low).cast("int")).alias("text"))
-    pieces = own.groupBy("key", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("text"))
-    coded = pieces.mapInArrow(_encode_batches(path), "key long, run int, ids array<int>")
-    return coded.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"])).alias("ids"))
+    own = windows.join(cuts, ["row", "n"]).select("row", "n", F.when(F.col("stitched"), F.col("n")).otherwise(0).alias("run"), F.substring(F.col("text"), (low - origin + 1).cast("int"), (high - low).cast("int")).alias("text"))
+    pieces = own.groupBy("row", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("text"))
+    coded = pieces.mapInArrow(_encode_batches(path), "row long, run int, ids array<int>")
+    ids = coded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return ids.join(windows.filter("n = 0").select("row", "key"), "row").select("key", "ids")
 
 
 def decode(coded: DataFrame, key: str, ids: str = "ids", path: str | None = None) -> DataFrame:

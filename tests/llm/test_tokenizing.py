@@ -40,3 +40,11 @@ def test_empty_table_and_null_key(spark):
     assert T.encode(empty, "doc_id", "text").collect() == []
     nulls = spark.createDataFrame([(None, "abc"), (None, None)], "doc_id long, text string")
     assert sorted(len(r.ids) for r in T.encode(nulls, "doc_id", "text").collect()) == [0, 1]
+
+
+def test_null_and_repeated_keys_of_long_texts(spark):
+    rows = [(None, TEXTS[6]), (None, TEXTS[10]), (1, TEXTS[6]), (1, TEXTS[9]), (1, TEXTS[9]), (1, "short"), (None, None)]
+    enc = T.encoder(T.vocabulary_path())
+    want = sorted((str(k), enc.encode_ordinary(t or "")) for k, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((str(r.doc_id), list(r.ids)) for r in T.encode(df, "doc_id", "text", window=256, overlap=64).collect()) == want
