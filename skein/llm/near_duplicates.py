@@ -31,7 +31,7 @@ from skein.sources.tables import table
 SIMILARITY = 0.6
 MIN_WORDS = 20
 SHINGLE = 2
-TABLES = 16
+TABLES = 32
 BITS = 23
 D = 2
 #: Bits of the sketch that candidates are screened with, and how many of them texts of similarity 0.6 may differ in (expected 25.6, deviation 4.5).

@@ -86,3 +86,15 @@ def test_whole_table_recall(spark, sf):
     want = brute(rows)
     got = {tuple(r) for r in N.p7_found(spark, sf).collect()}
     assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_pairs_near_the_threshold(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(600):
+        base = [f"v{r.randrange(10**6)}" for _ in range(100)]
+        other = [f"w{r.randrange(10**6)}" if i % 8 == 3 and i < 96 else w for i, w in enumerate(base)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    got = found(spark, rows)
+    assert set(got) <= {(2 * k, 2 * k + 1) for k in range(600)}
+    assert len(got) >= 0.97 * 600, len(got)
