@@ -33,8 +33,6 @@ LABELLED = 20_000
 MIN_DOCS, MIN_SUPPORT = 3, 8
 #: Least share of an item's documents that have the subject, and how many times the subject's own share that must be.
 CONFIDENCE, LIFT = 0.4, 2.0
-#: Items of one sentence that take part in itemsets of more than one item; the most telling are kept.
-LONGEST = 6
 #: Share of a document's sentences that makes a subject.
 SHARE = 0.25
 
@@ -93,7 +91,7 @@ def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _baskets(sent):
-    """Per sentence its most telling items, without words of a telling pair that holds them, and its document's subjects."""
+    """Per sentence its telling items, without words of a telling pair that holds them, and its document's subjects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, float] = sent.value
@@ -103,7 +101,7 @@ def _baskets(sent):
                 for ws in sentences(t.as_py()):
                     got = [x for x in items_of(ws) if x in best]
                     inside = {w for x in got if " " in x for w in x.split()}
-                    got = sorted((x for x in got if x not in inside), key=lambda x: (-best[x], x))[:LONGEST]
+                    got = sorted((x for x in got if x not in inside), key=lambda x: (-best[x], x))
                     if len(got) > 1:
                         out.append(got + c)
             yield pa.RecordBatch.from_pydict({"items": pa.array(out, pa.list_(pa.string()))})

@@ -58,3 +58,15 @@ def test_labels_agree_with_the_whole_table(spark, sf):
     for r in S.p10_found(spark, sf).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     assert sum(bool(got.get(d, set()) & s) for d, s in labels.items()) >= 0.6 * len(labels)
+
+
+def test_baskets_are_whole():
+    import types
+
+    import pyarrow as pa
+
+    words = [f"word{chr(97 + i)}" for i in range(10)]
+    batch = pa.RecordBatch.from_pydict({"text": [" ".join(words) + "."], "c": [["=x"]]})
+    best = {w: 0.5 + i / 100 for i, w in enumerate(words)}
+    (out,) = S._baskets(types.SimpleNamespace(value=best))(iter([batch]))
+    assert sorted(out.column(0).to_pylist()[0]) == sorted([*words, "=x"])
