@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,16 @@ def get_session(app: str = "skein", cpus: int | str = "*", **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new temporary folder."""
+    """The folder in spark.checkpoint.dir.
+
+    Where it is unset, a local session (one process) gets a temporary folder;
+    on a cluster that folder would be another one on every machine, so it
+    raises.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,10 +56,21 @@ def materialize(df: DataFrame, *, partition_by: list[str] | None = None) -> Data
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_drop, spark, path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that materialize has written and release has not yet removed.
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def release() -> None:
+    """Remove all intermediate tables written so far; whoever keeps a session for long calls it when results are stored."""
+    while _written:
+        _drop(*_written.pop())
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
