@@ -1,17 +1,24 @@
 """Encoding texts with a byte-level BPE vocabulary.
 
-Long texts are cut into overlapping windows that are pre-tokenised on their
-own.  The pre-token pattern never looks back, so from any position that is a
+A text is cut into overlapping windows that are pre-tokenised on their own.
+The pre-token pattern never looks back, so from any position that is a
 pre-token boundary in two windows on, both agree; such a position in their
 overlap is where the windows are stitched, and the pieces between stitches
-are encoded by themselves.  Windows that never agree are joined and encoded
-as one piece, so the ids always equal those of the whole text.
+are encoded by themselves.  Where two windows don't agree (one pre-token fills
+their overlap) the first is made twice as long, so the ids always equal those
+of the whole text.
+
+A text's windows are stitched in the task that reads it; those of texts beyond
+SPREAD code points are first dealt to many tasks, by wider windows of the
+same kind.
 """
 
 from __future__ import annotations
 
 import builtins
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +29,9 @@ from skein.session import materialize
 from skein.sources.tables import table
 
 #: Code points of a window's own part, and of its overlap with the next one.
-WINDOW, OVERLAP = 32_768, 1_024
+WINDOW, OVERLAP = 2_048, 256
+#: Code points of the windows by which a text is dealt to several tasks.
+SPREAD = 1 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -63,7 +72,37 @@ def _pattern():
     return _cache()["pattern"]
 
 
-def _encode_batches(path: str):
+def stitches(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list[int]:
+    """Where the windows of a text agree on a pre-token boundary, in order, with 0 first and the text's length last."""
+    split, n = _pattern().findall, len(text)
+    ends = lambda low, high: list(accumulate(map(len, split(text[low:high])), initial=low))
+
+    cuts, low = [0], window
+    own = ends(0, low + overlap)
+    while low < n:
+        after = ends(low, low + window + overlap)
+        # the last matches may be cut short by the window's end, which the pattern looks one past
+        own = own[bisect_left(own, low) : None if own[-1] == n else -2]
+        both = set(own).intersection(after[: bisect_right(after, low + overlap)])
+        if both:
+            cuts.append(min(both))
+            own, low = after, low + window
+        else:
+            low += low - cuts[-1]
+            own = ends(cuts[-1], low + overlap)
+    return [*cuts, n]
+
+
+def encode_text(enc, text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list[int]:
+    """The ids of a text, piece by piece between its stitches."""
+    cuts = stitches(text, window, overlap)
+    out: list[int] = []
+    for a, b in zip(cuts, cuts[1:]):
+        out += enc.encode_ordinary(text[a:b])
+    return out
+
+
+def _encode_batches(path: str, window: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
@@ -72,7 +111,7 @@ def _encode_batches(path: str):
             ids = []
             for t in b.columns[-1]:
                 t = t.as_py()
-                ids.append(pa.array(enc.encode_ordinary(t) if t else [], pa.int32()))
+                ids.append(pa.array(encode_text(enc, t, window, overlap) if t else [], pa.int32()))
             offsets = pa.array(_sums(len(x) for x in ids), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays(ids) if ids else pa.array([], pa.int32()))
             yield pa.RecordBatch.from_arrays([*keys, lists], names=[*b.schema.names[:-1], "ids"])
@@ -114,23 +153,20 @@ def _edges(window: int, overlap: int):
     return run
 
 
-def encode(docs: DataFrame, key: str, text: str, path: str | None = None, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+def encode(docs: DataFrame, key: str, text: str, path: str | None = None, window: int = WINDOW, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """(key, ids): the token ids of each text, without special tokens; an empty list for an empty or null text.
 
-    Texts of up to one window are encoded where they are read.  Longer ones
-    are spread over tasks window by window; if some neighbouring windows of a
-    text share no boundary (one pre-token fills the overlap), that text is
-    encoded as a whole.  Every row gives one row, whether its key is null or
-    repeated or not.
+    Every row gives one row, whether its key is null or repeated or not.
     """
     path = path or vocabulary_path()
     src = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    short = src.filter(F.length("text") <= window).mapInArrow(_encode_batches(path), "key long, ids array<int>")
-    long = _encode_long(src.filter(F.length("text") > window), path, window, overlap)
-    return short.unionByName(long).withColumnRenamed("key", key)
+    here = src.filter(F.length("text") <= spread).mapInArrow(_encode_batches(path, window, overlap), "key long, ids array<int>")
+    return here.unionByName(_encode_spread(src.filter(F.length("text") > spread), path, window, overlap, spread)).withColumnRenamed("key", key)
 
 
-def _encode_long(src: DataFrame, path: str, window: int, overlap: int) -> DataFrame:
+def _encode_spread(src: DataFrame, path: str, window: int, overlap: int, spread: int) -> DataFrame:
+    """Texts window by window of `spread`: the boundaries in the overlaps are found by many tasks and joined, then each piece is encoded; a text of which some windows share none is encoded by one task."""
+    inside, window = window, spread
     last = F.floor((F.length("text") - 1) / window).cast("int")
     # the row's own number stands for it, as keys may be null or repeated
     windows = src.select(F.monotonically_increasing_id().alias("row"), "key", "text").select("row", "key", F.explode(F.sequence(F.lit(0), last)).alias("n"), "text")
@@ -148,7 +184,7 @@ def _encode_long(src: DataFrame, path: str, window: int, overlap: int) -> DataFr
     high = F.when(F.col("stitched") & F.col("next").isNotNull(), F.col("next")).otherwise(origin + window)
     own = windows.join(cuts, ["row", "n"]).select("row", "n", F.when(F.col("stitched"), F.col("n")).otherwise(0).alias("run"), F.substring(F.col("text"), (low - origin + 1).cast("int"), (high - low).cast("int")).alias("text"))
     pieces = own.groupBy("row", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "").alias("text"))
-    coded = pieces.mapInArrow(_encode_batches(path), "row long, run int, ids array<int>")
+    coded = pieces.mapInArrow(_encode_batches(path, inside, overlap), "row long, run int, ids array<int>")
     ids = coded.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("run", "ids"))), lambda x: x["ids"])).alias("ids"))
     return ids.join(windows.filter("n = 0").select("row", "key"), "row").select("key", "ids")
 

@@ -1,4 +1,8 @@
+from itertools import accumulate
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from skein.llm import tokenizing as T
 
@@ -16,8 +20,23 @@ def docs(spark):
 def test_ids_equal_those_of_whole_texts(docs):
     """Windows far smaller than in production, so that nearly every text is stitched."""
     enc = T.encoder(T.vocabulary_path())
-    got = {r.doc_id: list(r.ids) for r in T.encode(docs, "doc_id", "text", window=256, overlap=64).collect()}
-    assert got == {k: (enc.encode_ordinary(t) if t else []) for k, t in TEXTS.items()}
+    for spread in (256, 700, 1 << 20):
+        got = {r.doc_id: list(r.ids) for r in T.encode(docs, "doc_id", "text", window=128, overlap=64, spread=spread).collect()}
+        assert got == {k: (enc.encode_ordinary(t) if t else []) for k, t in TEXTS.items()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab 1'st\n.é漢\t"), max_size=400), st.integers(1, 40), st.integers(0, 12))
+def test_stitches_are_boundaries_of_the_whole_text(text, window, overlap):
+    cuts = T.stitches(text, window, overlap)
+    assert set(cuts) <= {0, *accumulate(map(len, T._pattern().findall(text)))} and cuts == sorted(cuts) and cuts[-1] == len(text)
+    enc = T.encoder(T.vocabulary_path())
+    assert T.encode_text(enc, text, window, overlap) == enc.encode_ordinary(text)
+
+
+def test_ordinary_texts_are_stitched():
+    assert len(T.stitches("It's an ordinary text of a few words. " * 200)) > 3
+    assert T.stitches("a" * 9_000) == [0, 9_000]
 
 
 def test_equal_to_the_other_library(docs):
@@ -31,7 +50,7 @@ def test_equal_to_the_other_library(docs):
 
 
 def test_round_trip(docs):
-    coded = T.encode(docs, "doc_id", "text", window=256, overlap=64)
+    coded = T.encode(docs, "doc_id", "text", window=256, overlap=64, spread=1024)
     assert {r.doc_id: r.text for r in T.decode(coded, "doc_id").collect()} == {k: t or "" for k, t in TEXTS.items()}
 
 
@@ -47,4 +66,4 @@ def test_null_and_repeated_keys_of_long_texts(spark):
     enc = T.encoder(T.vocabulary_path())
     want = sorted((str(k), enc.encode_ordinary(t or "")) for k, t in rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((str(r.doc_id), list(r.ids)) for r in T.encode(df, "doc_id", "text", window=256, overlap=64).collect()) == want
+    assert sorted((str(r.doc_id), list(r.ids)) for r in T.encode(df, "doc_id", "text", window=256, overlap=64, spread=512).collect()) == want
