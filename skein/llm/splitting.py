@@ -2,8 +2,9 @@
 
 Dynamic programming over boundary positions: the cuts of a text are those of
 least total cost, where a cut costs more the less natural its boundary is,
-and a piece costs more the further its length is from an even share and the
-less of the wanted overlap fits.  No piece exceeds the limit.
+and a piece costs more the further its length is from an even share.  No
+piece exceeds the limit; of every piece but the first, room for the overlap is
+kept free.
 """
 
 from __future__ import annotations
@@ -69,89 +70,109 @@ def _hard(ends: np.ndarray, starts: np.ndarray, kinds: np.ndarray, n: int, size:
     return e[o], s[o], k[o]
 
 
+def _programme(bounds: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, size: int, reserve: int) -> list[tuple[int, int]] | None:
+    """The cheapest pieces (start, end) from 0 to n between the given boundaries, the first of at most `size`, the others of at most size - reserve; None if no pieces reach the end."""
+    ends, starts, kinds = bounds
+    at = np.concatenate([[0], starts])  # where a piece may start
+    stop = np.concatenate([ends, [n]])  # where it may end
+    cut = np.array([*(PENALTY[k] for k in kinds), 0.0])
+    share = n / -(-n // max(1, size - reserve))
+    m = len(stop)
+    cost, back = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=np.int64)
+    cost[0] = 0.0
+    low = 0  # the first start in reach
+    for i in range(m):
+        while low <= i and stop[i] - at[low] > (size - reserve if low else size):
+            low += 1
+        c = cost[low : i + 1] + cut[i] + ((stop[i] - at[low : i + 1] - share) / share) ** 2 * 4
+        if not len(c) or not np.isfinite(c.min()):
+            return None  # later ends are out of reach, too
+        j = int(np.argmin(c))
+        cost[i + 1], back[i + 1] = c[j], low + j
+    pieces, i = [], m
+    while i > 0:
+        pieces.append((int(at[back[i]]), int(stop[i - 1])))
+        i = int(back[i])
+    return pieces[::-1]
+
+
+def cut_level(text: str, size: int = SIZE) -> int:
+    """Number of the first level at whose boundaries the programme reaches the end of a cleaned text; the last one if only hard cuts do."""
+    for level in range(4):
+        if _programme(_bounds(text, level), len(text), size, 0) is not None:
+            return level
+    return 4
+
+
 def plan(text: str, size: int = SIZE, overlap: int = OVERLAP) -> tuple[str, list[tuple[int, int]]]:
     """(level, pieces) of a cleaned text: level names the coarsest boundaries with which all parts fit, pieces are (start, end) without overlap.
 
-    The programme runs over the boundaries of one level after another until
-    it reaches the end of the text; at the level where it does, all finer
-    boundaries but that level's are unneeded.
+    The pieces leave room for the overlap, so they may need finer boundaries
+    than the level's.
     """
+    if overlap >= size:
+        raise ValueError("the overlap must be smaller than the size")
     n = len(text)
     if n <= size:
         return LEVELS[0], [(0, n)]
-    share = n / -(-n // max(1, size - overlap))
-    for level in range(len(LEVELS)):
-        ends, starts, kinds = _bounds(text, level)
-        if level == 4:
-            ends, starts, kinds = _hard(ends, starts, kinds, n, size)
-        gaps = np.concatenate([ends, [n]]) - np.concatenate([[0], starts])
-        if gaps.max() > size:
-            continue  # unreachable: a part between neighbouring boundaries is over the size
-        at = np.concatenate([[0], starts])  # where a piece may start
-        stop = np.concatenate([ends, [n]])  # where it may end
-        cut = np.array([*(PENALTY[k] for k in kinds), 0.0])
-        m = len(stop)
-        cost, back = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=np.int64)
-        cost[0] = 0.0
-        low = 0
-        for i in range(m):
-            while stop[i] - at[low] > size:
-                low += 1
-            length = stop[i] - at[low : i + 1]
-            lost = np.where(at[low : i + 1] > 0, np.maximum(0, overlap - (size - length)) / max(1, overlap), 0.0)
-            c = cost[low : i + 1] + cut[i] + ((length - share) / share) ** 2 * 4 + lost
-            j = int(np.argmin(c))
-            cost[i + 1], back[i + 1] = c[j], low + j
-        pieces, i = [], m
-        while i > 0:
-            pieces.append((int(at[back[i]]), int(stop[i - 1])))
-            i = int(back[i])
-        return LEVELS[level], pieces[::-1]
-    raise AssertionError("hard cuts always fit")
-
-
-def with_overlap(text: str, pieces: list[tuple[int, int]], size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """The pieces' texts, each led by up to `overlap` characters of what stands before it, from a word's start."""
+    first = cut_level(text, size)
+    for level in range(first, 4):
+        pieces = _programme(_bounds(text, level), n, size, overlap)
+        if pieces is not None:
+            return LEVELS[first], pieces
+    return LEVELS[first], _programme(_hard(*_bounds(text, 4), n, size - overlap), n, size, overlap)
+
+
+def with_overlap(text: str, pieces: list[tuple[int, int]], overlap: int = OVERLAP) -> list[str]:
+    """The pieces' texts, each led by the `overlap` characters that stand before it, from the next word's start on; a word longer than the overlap is repeated in part."""
     out = []
     for start, end in pieces:
-        low = max(0, start - overlap, end - size) if start else 0
-        if low < start and low > 0 and not text[low - 1].isspace():
+        low = max(0, start - overlap)
+        if 0 < low < start and not text[low - 1].isspace():
             m = _WORD.search(text, low, start)
-            if m:
-                low = m.end()  # at a word's start; a word longer than the overlap is repeated in part
+            if m and m.end() < start:
+                low = m.end()
         while low < start and text[low].isspace():
             low += 1
         out.append(text[low:end])
     return out
 
 
-def _worker(size: int, overlap: int, pieces_too: bool):
+def _levels(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cuts, numbers, texts = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = clean(t)
-                if len(t) <= size:
-                    continue
-                level, pieces = plan(t, size, overlap)
-                if pieces_too:
-                    out = with_overlap(t, pieces, size, overlap)
-                    ids += [i] * len(out)
-                    cuts += [level] * len(out)
-                    numbers += range(len(out))
-                    texts += out
-                else:
+            ids, cuts = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                t = clean(t.as_py())
+                if len(t) > size:
                     ids.append(i)
-                    cuts.append(level)
-            cols = {"id": pa.array(ids, pa.int64()), "cut_at": pa.array(cuts, pa.string())}
-            if pieces_too:
-                cols |= {"piece": pa.array(numbers, pa.int32()), "content": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_pydict(cols)
+                    cuts.append(LEVELS[cut_level(t, size)])
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "cut_at": pa.array(cuts, pa.string())})
+
+    return run
+
+
+def _pieces(size: int, overlap: int):
+    """Each row as often as its last column, the content, has pieces, with the piece's number and text instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, numbers, texts = [], [], []
+            for i, t in enumerate(b.columns[-1]):
+                t = out = t.as_py()
+                if t is not None and len(t) > size and len(t := clean(t)) > size:
+                    out = with_overlap(t, plan(t, size, overlap)[1], overlap)
+                out = out if isinstance(out, list) else [out]
+                rows += [i] * len(out)
+                numbers += range(len(out))
+                texts += out
+            kept = [c.take(pa.array(rows, pa.int64())) for c in b.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "piece", "content"])
 
     return run
 
 
-def split_levels(chunks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def split_levels(chunks: DataFrame, size: int = SIZE) -> DataFrame:
     """(id, cut_at) of every chunk whose stripped content is over the size.
 
     Null, empty and short contents give no row; repeated rows give repeated
@@ -159,7 +180,7 @@ def split_levels(chunks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
     first, so only oversized texts reach Python.
     """
     long = chunks.filter(F.length("content") > size).select(F.col("id").cast("long").alias("id"), "content")
-    return long.mapInArrow(_worker(size, overlap, False), "id long, cut_at string")
+    return long.mapInArrow(_levels(size), "id long, cut_at string")
 
 
 def split_chunks(chunks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -168,17 +189,16 @@ def split_chunks(chunks: DataFrame, size: int = SIZE, overlap: int = OVERLAP) ->
     Other chunks pass unchanged as piece 0, null and blank ones too.
     chunk_index counts anew from 0 in each document, in the order of the old
     chunk_index (nulls first), then id.  Chunks with a null document_id are
-    numbered as one document.
+    numbered as one document.  Rows are told apart by a number of their own,
+    so null and repeated ids keep their rows.
     """
-    long = chunks.filter(F.length("content") > size)
-    cut = materialize(long.select(F.col("id").cast("long").alias("id"), "content").mapInArrow(_worker(size, overlap, True), "id long, cut_at string, piece int, content string"))
-    per = cut.groupBy("id").agg((F.max("piece") + 1).cast("long").alias("_pieces"))
-    base = chunks.select("id", "document_id", "page_number", "chunk_index").join(per, "id", "left").withColumn("_pieces", F.coalesce("_pieces", F.lit(1).cast("long")))
-    order = [F.col("chunk_index").asc_nulls_first(), F.col("id").asc()]
-    placed = materialize(running_total(base, ["document_id"], order, "_pieces", "_first"))
-    whole = chunks.select("id", "content").join(per, "id", "left_anti").withColumn("piece", F.lit(0))
-    pieces = whole.unionByName(cut.select("id", "content", "piece"))
-    return pieces.join(placed, "id").select("id", "document_id", "page_number", "piece", (F.col("_first") + F.col("piece")).cast("int").alias("chunk_index"), "content")
+    src = chunks.select(F.monotonically_increasing_id().alias("_row"), F.col("id").cast("long").alias("id"), F.col("document_id").cast("long").alias("document_id"), F.col("page_number").cast("int").alias("page_number"), F.col("chunk_index").cast("int").alias("_old"), "content")
+    kind = "_row long, id long, document_id long, page_number int, _old int, piece int, content string"
+    cut = materialize(src.mapInArrow(_pieces(size, overlap), kind))
+    order = [F.col("_old").asc_nulls_first(), F.col("id").asc_nulls_first(), F.col("_row").asc(), F.col("piece").asc()]
+    base = cut.select("_row", "id", "document_id", "_old", "piece", F.lit(1).cast("long").alias("_one"))
+    placed = running_total(base, ["document_id"], order, "_one", "chunk_index").select("_row", "piece", F.col("chunk_index").cast("int").alias("chunk_index"))
+    return cut.join(placed, ["_row", "piece"]).select("id", "document_id", "page_number", "piece", "chunk_index", "content")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

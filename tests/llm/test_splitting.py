@@ -53,6 +53,9 @@ def test_levels_pieces_and_overlap(spark):
             assert not whole[at:a].strip() and r.content.endswith(whole[a:b])
             lead = r.content[: len(r.content) - (b - a)]
             assert len(lead) <= 150 and whole[a - len(lead) : a] == lead
+            if a:  # the whole overlap, from the first word's start in it; of a single long word the end
+                starts = [k for k in range(max(0, a - 150), a) if not whole[k].isspace() and (k == 0 or whole[k - 1].isspace())]
+                assert len(lead) == (a - starts[0] if starts else len(whole[max(0, a - 150) : a].lstrip()))
             at = b
         assert not whole[at:].strip()
     for d in range(3):
@@ -62,6 +65,24 @@ def test_levels_pieces_and_overlap(spark):
         assert order == sorted(order)
 
 
+def test_null_and_repeated_ids(spark):
+    long = "A sentence of some words. " * 60
+    rows = [(1, 5, long, 1, 0, None, 0)] * 2 + [(None, 5, long, 2, 1, None, 0), (None, None, "short", None, None, None, 0), (2, 5, None, 3, None, None, 0)]
+    got = S.split_chunks(spark.createDataFrame(rows, CHUNKS)).collect()
+    n = len(S.plan(S.clean(long))[1])
+    assert len(got) == 3 * n + 2 and sorted(r.chunk_index for r in got if r.document_id == 5) == list(range(3 * n + 1))
+    assert [r.content for r in got if r.id == 2] == [None] and [r.content for r in got if r.document_id is None] == ["short"]
+    one = [r.piece for r in sorted((r for r in got if r.id == 1), key=lambda r: r.chunk_index)]
+    assert one == [*range(n), *range(n)]
+
+
+def test_overlap_as_large_as_the_size():
+    import pytest
+
+    with pytest.raises(ValueError):
+        S.plan("a b c", 10, 10)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], CHUNKS)
     assert S.split_levels(df).count() == 0 and S.split_chunks(df).count() == 0
