@@ -74,15 +74,15 @@ def changed_leaves(current: DataFrame, saved: DataFrame) -> DataFrame:
     return opened.select(F.col("parent").alias("node"))
 
 
-def changed_keys(states: DataFrame) -> DataFrame:
-    """(key): keys of `latest_state` whose `now` differs from their `then`, found by descending two trees."""
-    states = materialize(states)
-    fields = states.schema["now_fields"].dataType.names
-    now = materialize(merkle_tree(states.filter("has_now"), "key", [F.col(f"now_fields.{f}") for f in fields]))
-    then = materialize(merkle_tree(states.filter("has_then"), "key", [F.col(f"then_fields.{f}") for f in fields]))
-    leaves = changed_leaves(now, then)
-    inside = states.withColumn("_leaf", F.shiftright(F.col("key").cast("long"), LEAF_BITS)).join(leaves, F.col("_leaf") == leaves["node"], "left_semi")
-    return inside.filter(~F.col("has_then") | ~F.col("now_fields").eqNullSafe(F.col("then_fields"))).select("key")
+def changed_rows(current: DataFrame, current_tree: DataFrame, saved: DataFrame, saved_tree: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """Rows of `current` that `saved` lacks; of either table only the rows in leaves whose digests differ are read on."""
+    leaves = changed_leaves(current_tree, saved_tree)
+    inside = lambda df: df.join(leaves, F.shiftright(F.col(key).cast("long"), LEAF_BITS) == leaves["node"], "left_semi")
+    old = inside(saved).select(*[F.col(c).alias(f"_o_{c}") for c in (key, *fields)])
+    on = F.lit(True)
+    for c in (key, *fields):
+        on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    return inside(current).join(old, on, "left_anti")
 
 
 def read_up_to(runs: DataFrame):
@@ -98,11 +98,13 @@ def read_up_to(runs: DataFrame):
 
 
 class MerkleStore:
-    """A folder that holds, for each published version, the output and the tree that it was made from.
+    """A folder that holds, for each published version, a run's output, the state that it has read, and that state's tree.
 
     A version counts once the pointer file names it, and the pointer is
-    replaced by one atomic rename; a run that dies earlier leaves the old
-    version in force, so its records are taken again, once.
+    replaced by one atomic rename.  A run that dies earlier leaves the old
+    version in force, so its records are taken again, once; of one that dies
+    later the output is published, and `outputs` finds it.  Versions form a
+    chain; folders outside of it, of runs that died, are never read.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -114,57 +116,69 @@ class MerkleStore:
         conf = self.spark._jsc.hadoopConfiguration()
         return jvm, jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf), conf
 
-    def version(self) -> str | None:
+    def _note(self, name: str) -> dict | None:
+        """Content of a small file."""
         jvm, fs, _ = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if not fs.exists(p):
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")):
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])["version"]
+        return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
+
+    def _write_note(self, name: str, content: dict) -> None:
+        jvm, fs, _ = self._fs()
+        stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+        stream.write(bytearray(json.dumps(content).encode()))
+        stream.close()
+
+    def version(self) -> str | None:
+        return (self._note("CURRENT") or {}).get("version")
+
+    def _read(self, part: str, version: str | None) -> DataFrame | None:
+        v = version or self.version()
+        return self.spark.read.parquet(f"{self.path}/{v}/{part}") if v else None
+
+    def tree(self, version: str | None = None) -> DataFrame | None:
+        return self._read("tree", version)
 
-    def tree(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/{v}/tree") if v else None
+    def state(self, version: str | None = None) -> DataFrame | None:
+        return self._read("state", version)
 
-    def output(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.parquet(f"{self.path}/{v}/output") if v else None
+    def output(self, version: str | None = None) -> DataFrame | None:
+        """What the run of a version, by default the last one, has made of the records that it took."""
+        return self._read("output", version)
 
-    def publish(self, output: DataFrame, tree: DataFrame) -> str:
+    def versions(self, after: str | None = None) -> list[str]:
+        """Published versions after a given one, oldest first, so that a reader that has seen `after` misses and repeats none."""
+        out, v = [], self.version()
+        while v and v != after:
+            out.append(v)
+            v = self._note(f"{v}/NOTE")["before"]
+        return out[::-1]
+
+    def publish(self, output: DataFrame, state: DataFrame, tree: DataFrame, before: str | None) -> str:
+        """Make output, state and tree the current version, all or none; raises if another run has published since `before` was read."""
         jvm, fs, conf = self._fs()
         v = f"v{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
-        output.write.parquet(f"{self.path}/{v}/output")
-        tree.write.parquet(f"{self.path}/{v}/tree")
+        for df, part in ((output, "output"), (state, "state"), (tree, "tree")):
+            df.write.parquet(f"{self.path}/{v}/{part}")
+        self._write_note(f"{v}/NOTE", {"before": before})
+        self._write_note(f"{v}/POINTER", {"version": v})
+        if self.version() != before:
+            raise RuntimeError("another run has published meanwhile")
         Path = jvm.org.apache.hadoop.fs.Path
-        new = Path(f"{self.path}/.CURRENT-{v}")
-        stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps({"version": v}).encode()))
-        stream.close()
         over = self.spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        jvm.org.apache.hadoop.fs.FileContext.getFileContext(Path(self.path).toUri(), conf).rename(new, Path(f"{self.path}/CURRENT"), over)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(Path(self.path).toUri(), conf).rename(Path(f"{self.path}/{v}/POINTER"), Path(f"{self.path}/CURRENT"), over)
         return v
 
     def run(self, state: DataFrame, key: str, fields: Sequence[str], process) -> DataFrame:
-        """Process the rows of `state` in changed leaves, and publish output and tree together.
+        """Take the rows of `state` that the saved state lacks, and publish what `process` makes of them together with state and tree; returns the published output.
 
-        Rows of a changed leaf that are equal to the last output's rows are
-        left out, so every added or changed row is processed exactly once.
-        Removed keys are not reported.
+        Every added or changed row is taken exactly once.  Rows of leaves whose
+        digests agree with the saved tree's are not looked at.  Removed keys are
+        not reported.
         """
-        state = materialize(state)
+        before = self.version()
+        state = materialize(state.select(key, *fields))
         current = materialize(merkle_tree(state, key, fields))
-        saved, before = self.tree(), self.output()
-        wanted = [key, *fields]
-        if saved is None:
-            changed = state
-        else:
-            leaves = changed_leaves(current, saved)
-            inside = state.join(leaves, F.shiftright(F.col(key).cast("long"), LEAF_BITS) == leaves["node"], "left_semi")
-            on = F.lit(True)
-            old = before.select(*[F.col(c).alias(f"_o_{c}") for c in wanted])
-            for c in wanted:
-                on = on & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-            changed = inside.join(old, on, "left_anti")
-        done = materialize(process(changed))
-        self.publish(state.select(*wanted), current)
-        return done
+        changed = state if before is None else changed_rows(state, current, self.state(before), self.tree(before), key, fields)
+        return self.output(self.publish(process(changed), state, current, before))

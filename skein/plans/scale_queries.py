@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import incremental, skew
+from skein.session import materialize
 from skein.sources.tables import table
 
 PROGRESS_FIELDS = ("status", "attempts")
@@ -16,16 +17,24 @@ def p2_states(spark: SparkSession, d: str) -> DataFrame:
     return incremental.latest_state(table(spark, d, "chunk_progress"), "chunk_id", PROGRESS_FIELDS, "updated_at", "loaded_at", F.col("loaded_at") <= F.lit(upto).cast("timestamp"))
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """(chunk_id): chunks that were added or changed since the last successful run."""
-    return incremental.changed_keys(p2_states(spark, d)).select(F.col("key").alias("chunk_id"))
+def p2_changes(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id, status, attempts, is_new): what the next run has to take, with its state.
 
+    The tables say what the succeeded runs have read, not what they saved, so
+    their version is published first; the next run descends from its tree.
+    """
+    states = materialize(p2_states(spark, d))
+    side = lambda s: states.filter(f"has_{s}").select(F.col("key").alias("chunk_id"), *[F.col(f"{s}_fields.{f}").alias(f) for f in PROGRESS_FIELDS])
+    store = incremental.MerkleStore(spark)
+    store.run(side("then"), "chunk_id", PROGRESS_FIELDS, lambda rows: rows.limit(0))
+    seen = store.state().select("chunk_id", F.lit(False).alias("is_new"))
+    take = lambda rows: rows.join(seen, "chunk_id", "left").select("chunk_id", *PROGRESS_FIELDS, F.coalesce("is_new", F.lit(True)).alias("is_new"))
+    return store.run(side("now"), "chunk_id", PROGRESS_FIELDS, take)
 
-def p2_changes(spark: SparkSession, d: str) -> DataFrame:
-    """(chunk_id, status, attempts, is_new): what the next run has to take, with its state."""
-    states = incremental.materialize(p2_states(spark, d))
-    changed = incremental.changed_keys(states)
-    return states.join(changed, "key").select(F.col("key").alias("chunk_id"), "now_fields.status", F.col("now_fields.attempts").alias("attempts"), (~F.col("has_then")).alias("is_new"))
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(chunk_id): chunks that were added or changed since the last successful run."""
+    return p2_changes(spark, d).select("chunk_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

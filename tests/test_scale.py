@@ -21,7 +21,10 @@ def states(spark, rows, upto):
 
 
 def changed(spark, rows, upto):
-    return sorted(r.key for r in incremental.changed_keys(states(spark, rows, upto)).collect())
+    s = states(spark, rows, upto)
+    side = lambda x: s.filter(f"has_{x}").select("key", f"{x}_fields.*")
+    tree = lambda x: incremental.merkle_tree(side(x), "key", ["status", "attempts"])
+    return sorted(r.key for r in incremental.changed_rows(side("now"), tree("now"), side("then"), tree("then"), "key", ["status", "attempts"]).collect())
 
 
 def test_changes_late_rows_repeats_and_nulls(spark):
@@ -74,9 +77,49 @@ def test_store_survives_a_failed_run(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         store.run(make(b), "id", ["v"], fails)
-    assert seen(store.run(make(b), "id", ["v"], lambda c: c)) == {7: "new", 8: None, 1000: "more"}
+    first = store.version()
+    # the run dies after it has published: its output is found, and its records are not taken again
+    publish = store.publish
+
+    def dies(*args):
+        publish(*args)
+        raise RuntimeError("lost")
+
+    store.publish = dies
+    with pytest.raises(RuntimeError):
+        store.run(make(b), "id", ["v"], lambda c: c)
+    store.publish = publish
+    assert seen(store.output()) == {7: "new", 8: None, 1000: "more"} and seen(store.state()) == b
     assert seen(store.run(make(b), "id", ["v"], lambda c: c)) == {}
-    assert seen(store.output()) == b
+    assert [seen(store.output(v)) for v in store.versions(first)] == [{7: "new", 8: None, 1000: "more"}, {}]
+    # it dies before: the version in force stays, and the records are taken by the next run
+    c = b | {9: "again"}
+    note = store._write_note
+
+    def full(name, content):
+        raise OSError("disk full")
+
+    store._write_note = full
+    with pytest.raises(OSError):
+        store.run(make(c), "id", ["v"], lambda x: x)
+    store._write_note = note
+    assert seen(store.state()) == b and seen(store.run(make(c), "id", ["v"], lambda x: x)) == {9: "again"}
+
+
+def test_store_refuses_a_version_made_from_an_older_one(spark, tmp_path):
+    store = incremental.MerkleStore(spark, f"file://{tmp_path}/store")
+    df = spark.createDataFrame([(1, "a")], "id long, v string")
+    store.run(df, "id", ["v"], lambda c: c)
+    with pytest.raises(RuntimeError):
+        store.publish(df, df, df, None)
+
+
+def test_only_rows_of_changed_leaves_are_read_on(spark):
+    make = lambda d: spark.createDataFrame(sorted(d.items()), "id long, v string")
+    a = {i: "x" for i in range(0, 100_000, 7)}
+    tree = lambda d: incremental.merkle_tree(make(d), "id", ["v"])
+    leaves = incremental.changed_leaves(tree(a | {700: "y"}), tree(a)).collect()
+    assert [r.node for r in leaves] == [700 >> incremental.LEAF_BITS]
 
 
 def test_tree_aggregate_with_a_hot_key_and_nulls(spark):
