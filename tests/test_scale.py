@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.functions.ranking import competition_rank, running_total
+from skein.functions.ranking import competition_ranks, running_total
 from skein.operators import incremental, skew
 
 T0 = dt.datetime(2025, 1, 1)
@@ -142,6 +142,23 @@ def test_running_total_and_ranks(spark):
     df = spark.createDataFrame(rows, "g string, o int, w int")
     got = {x.o: x.before for x in running_total(df, ["g"], [F.col("o").asc()], "w", "before").collect()}
     assert got == {o: sum(w2 for g2, o2, w2 in rows if g2 == g and o2 < o) for g, o, w in rows}
-    scores = spark.createDataFrame([("q", 3.0), ("q", 5.0), ("q", 3.0), ("q", None), ("z", None), ("z", None)], "g string, s double")
-    ranks = {(x.g, x.s): x.r for x in competition_rank(scores, ["g"], "s", "r").collect()}
-    assert ranks == {("q", 5.0): 1, ("q", 3.0): 2, ("q", None): 2, ("z", None): 1}
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_competition_ranks(spark, parts):
+    """Groups and ties that span partitions, nulls, and an own column _r."""
+    r = random.Random(6)
+    rows = [("a" if i % 3 else r.choice(["b", "c", None]), i, r.choice([5.0, 5.0, 5.0, 1.5, 2.5, float(i), None]), "x") for i in range(300)]
+    rows += [("ties", i, 4.0, "x") for i in range(100)] + [("nulls", i, None, "x") for i in range(40)] + [("hot", i, None if i > 50 else 7.0, "x") for i in range(100)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    df = spark.createDataFrame(rows, "g string, i int, s double, more string")
+    got = {(x.g, x.i): x.rank for x in competition_ranks(df, ["g"], "s", ["i"], "rank").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = {}
+    for g, i, s, _ in rows:
+        own = [x[2] for x in rows if x[0] == g and x[2] is not None]
+        mine = s if s is not None else min(own, default=0)
+        want[g, i] = 1 + sum(x > mine for x in own)
+    assert got == want
+    assert competition_ranks(df.limit(0), ["g"], "s", ["i"], "rank").count() == 0
