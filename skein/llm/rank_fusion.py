@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.ranking import competition_rank
+from skein.functions.ranking import competition_ranks
 from skein.session import materialize
 from skein.sources.tables import table
 
@@ -21,19 +21,16 @@ def fuse_scores(items: DataFrame, group: str, item: str, scores: Sequence[str],
     rank; a missing score (null or NaN) counts as the lowest of its group.
     An item that stands in a group more than once counts once, with the row
     that is newest by `newest`, then greatest by its scores.  Rows with a
-    null group or item are dropped.  The ranks come from range-partitioned
-    running totals, so one group may hold any share of the rows.
+    null group or item are dropped.  The ranks come from range partitions, so
+    one group, or one score within it, may hold any share of the rows.
     """
     known = [F.when(F.isnan(F.col(s)), None).otherwise(F.col(s).cast("double")).alias(s) for s in scores]
     lead = [F.col(newest).alias("_at")] if newest else []
     rows = items.filter(F.col(group).isNotNull() & F.col(item).isNotNull())
     once = rows.groupBy(F.col(group).alias("_group"), F.col(item).alias("_item")).agg(F.max(F.struct(*lead, *known)).alias("_r"))
-    once = materialize(once.select("_group", "_item", *[F.col(f"_r.{s}").alias(s) for s in scores]))
-    fused, total = once, F.lit(0.0)
+    fused, total = once.select("_group", "_item", *[F.col(f"_r.{s}").alias(s) for s in scores]), F.lit(0.0)
     for s in scores:
-        ranks = competition_rank(once, ["_group"], s, f"rank_{s}").select(F.col("_group").alias("_g"), F.col(s).alias("_s"), f"rank_{s}")
-        # both sides are keyed by (group, score); equal scores are one row on the right
-        fused = fused.join(ranks, (F.col("_group") == F.col("_g")) & F.col(s).eqNullSafe(F.col("_s"))).drop("_g", "_s")
+        fused = competition_ranks(materialize(fused), ["_group"], s, ["_item"], f"rank_{s}")
         total = total + F.lit(1.0) / (F.lit(float(k)) + F.col(f"rank_{s}"))
     return fused.select(F.col("_group").alias(group), F.col("_item").alias(item), *[f"rank_{s}" for s in scores], total.alias("fused"))
 
