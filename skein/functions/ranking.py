@@ -61,18 +61,3 @@ def competition_ranks(df: DataFrame, keys: Sequence[str], value: str, unique: Se
     ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_ahead", "_begin", F.coalesce(F.max(low).over(group), F.lit(1)).alias("_lowest"))
     rank = F.when(v.isNull(), F.col("_lowest")).when(F.col("_r") == 1, F.col("_begin")).otherwise(F.col("_ahead") + F.col("_r"))
     return local.join(ends, [*same, F.col("_part") == F.col("_p")]).select(*df.columns, rank.cast("long").alias(out))
-
-
-def competition_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """One row per (keys, value) with its rank: 1 plus the number of rows with a greater value.
-
-    Ties share a rank.  A null value has no value of its own: it counts as
-    the lowest of its group, so it shares the rank of the lowest value, or
-    rank 1 where every value is null.
-    """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, keys, [F.col(value).desc_nulls_last()], "_n", "_ahead")
-    ranked = ranked.withColumn(out, (F.col("_ahead") + 1).cast("long"))
-    known = ranked.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max(out).alias("_last"))
-    nulls = ranked.filter(F.col(value).isNull()).join(known, list(keys), "left").withColumn(out, F.coalesce("_last", F.lit(1).cast("long")))
-    return ranked.filter(F.col(value).isNotNull()).select(*keys, value, out).unionByName(nulls.select(*keys, value, out))
