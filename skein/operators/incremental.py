@@ -62,14 +62,16 @@ def merkle_tree(state: DataFrame, key: str, fields: Sequence[str | Column]) -> D
 
 def changed_leaves(current: DataFrame, saved: DataFrame) -> DataFrame:
     """(node): the leaves below nodes whose digests differ at every level above, or that only one tree has."""
-    digest = F.struct("d1", "d2", "rows").alias("digest")
+    digest = ("d1", "d2", "rows")
     opened = None
     for n in range(DEPTH, -1, -1):
-        nodes = current.filter(F.col("level") == n).select("node", digest).unionAll(saved.filter(F.col("level") == n).select("node", digest))
+        nodes = current.filter(F.col("level") == n).select("node", *digest).unionAll(saved.filter(F.col("level") == n).select("node", *digest))
         if opened is not None:
             # parents are unique; an inner join, unlike a semi join, is not pushed into both sides of the union
             nodes = nodes.join(opened, F.shiftright(nodes["node"], FAN_BITS) == opened["parent"]).drop("parent")
-        differ = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("trees"), F.min("digest").alias("low"), F.max("digest").alias("high")).filter("trees < 2 OR low != high")
+        # number by number, which hash aggregation can do
+        sides = [f(c).alias(f"{n_}_{c}") for c in digest for n_, f in (("low", F.min), ("high", F.max))]
+        differ = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("trees"), *sides).filter("trees < 2 OR " + " OR ".join(f"low_{c} != high_{c}" for c in digest))
         opened = differ.select(F.col("node").alias("parent"))
     return opened.select(F.col("parent").alias("node"))
 
