@@ -48,3 +48,21 @@ def heavy_ends(edges: DataFrame, share: float = 0.02) -> DataFrame:
     per = edges_per_side(edges)
     total = per.groupBy("side").agg(F.sum("n_edges").alias("total"))  # two rows
     return per.join(F.broadcast(total), "side").filter(F.col("entity_id").isNotNull() & (F.col("n_edges") >= F.lit(share) * F.col("total"))).select("side", "entity_id")
+
+
+#: Keys that hold at least one row in so many are hot, so there are at most so many of them.
+HOT = 10_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, keys: Sequence[str], size: str = "size") -> DataFrame:
+    """Rows joined with `classes`, which has one row for each of their keys and in `size` how many rows have it.
+
+    Hot keys, of which there are at most HOT, are joined by broadcast, so that
+    no task gathers their rows; the others by a shuffle.  Null keys match
+    nothing.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) >= max(2, total / HOT)
+    few = F.broadcast(classes.filter(hot))
+    rest = rows.join(few.select(*keys), list(keys), "left_anti").join(classes.filter(~hot), list(keys))
+    return rows.join(few, list(keys)).unionByName(rest)
