@@ -27,7 +27,7 @@ def found(spark, rows, **kw):
 
 
 def test_golay_code_covers_every_word_once():
-    g = N._golay(2)
+    g = N._golay(3)
     words = np.random.default_rng(1).integers(0, 1 << 23, 5000).astype(np.uint32)
     anchors = np.unique((words ^ g.leader[g.syndrome(words)]))
     assert (g.syndrome(anchors) == 0).all()
@@ -36,9 +36,9 @@ def test_golay_code_covers_every_word_once():
     row, near = g.near(words)
     homes = g.home(words)
     assert all(homes[i] in near[row == i] for i in range(50))
-    assert abs(len(row) / len(words) - 21.75) < 0.2
-    # any word within two bits is replicated to the home of the other
-    other = words ^ np.uint32(0b100000010000)
+    assert abs(len(row) / len(words) - 71.04) < 0.5
+    # any word within three bits is replicated to the home of the other
+    other = words ^ np.uint32(0b100000010001)
     r, a = g.near(other)
     assert all(homes[i] in a[r == i] for i in range(200))
 
@@ -65,16 +65,40 @@ def test_edits_copies_and_odd_texts(spark):
     assert len(got) == len(set(got)) and set(got) <= want and len(set(got) & want) >= 0.98 * len(want)
 
 
-def test_groups_of_anchors_find_the_same(spark, monkeypatch):
+def test_hot_blocks_dealt_by_anchors_find_the_same(spark, monkeypatch):
+    """A third of the rows are near-copies of one text, so their blocks are hot; here they are dealt to several tasks."""
     r = random.Random(8)
     vocabulary = [f"v{i}" for i in range(2000)]
-    rows = []
+    hot = r.choices(vocabulary, k=80)
+    rows = [(500 + i, edited(r, hot, 2)) for i in range(80)]
     for k in range(80):
         base = r.choices(vocabulary, k=60)
         rows += [(2 * k, " ".join(base)), (2 * k + 1, edited(r, base, 3))]
     one = found(spark, rows)
-    monkeypatch.setattr(N, "GROUP_ROWS", 40)
-    assert found(spark, rows) == one and len(one) >= 78
+    want = brute(rows)
+    assert set(one) <= want and len(one) >= 0.99 * len(want)
+    dealt = []
+    blocks = N._hot_blocks
+    monkeypatch.setattr(N, "HOT_BLOCK", 20)
+    monkeypatch.setattr(N, "SAMPLE", 1)
+    monkeypatch.setattr(N, "_hot_blocks", lambda classes: dealt.append(blocks(classes)) or dealt[-1])
+    assert found(spark, rows) == one
+    assert len(dealt[0][0]) > 10 and dealt[0][1].max() >= 128
+
+
+def test_compare_in_steps_finds_the_same(monkeypatch):
+    r = np.random.default_rng(3)
+    n = 6000
+    e = np.empty(n, N._ENTRY)
+    e["rep"] = r.permutation(n)
+    prints = r.integers(0, 1 << 23, 40).astype(np.uint64)[r.integers(0, 40, n)] ^ (np.uint64(1) << r.integers(0, 23, n).astype(np.uint64))
+    block = np.where(r.random(n) < 0.3, 7, r.integers(0, 900, n)).astype(np.uint64)
+    e["word"] = block << np.uint64(24) | np.uint64(1 << 23) | prints
+    whole = set(zip(*(x.tolist() for x in N.compare(e, 3))))
+    monkeypatch.setattr(N, "STEP", 100)
+    assert set(zip(*(x.tolist() for x in N.compare(e, 3)))) == whole
+    want = {(min(e["rep"][i], e["rep"][j]), max(e["rep"][i], e["rep"][j])) for b in np.unique(block) for i, j in itertools.combinations(np.flatnonzero(block == b), 2) if np.bitwise_count(prints[i] ^ prints[j]) <= 3}
+    assert whole == want
 
 
 def test_empty(spark):
