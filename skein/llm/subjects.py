@@ -1,62 +1,80 @@
 """Subject areas of documents by class-association rules.
 
 Sentences of labelled documents are the transactions: their words and pairs of
-neighbouring words, and the document's subjects as class items.  Frequent
-itemsets are mined with parallel frequent-pattern growth; those that hold a
-class give rules "items -> subject".  A rule that no longer tells more than a
-shorter one is dropped.  A sentence's evidence for a subject is the
-calibrated log-odds of the rules that match it, weighed by the subjects that
-the rest of its document is about.
+neighbouring words, weighed by the document's subjects.  Parallel
+frequent-pattern growth mines the itemsets with their weight of each subject:
+items are counted in parallel and ranked, each sentence is dealt to the groups
+of its items up to the last item of the group, and every group grows its own
+tree.  An itemset that tells a subject is a rule; a rule that tells no more than
+a rule on a part of its items is dropped.  The rules' odds are calibrated on
+labelled documents that were held out.  A sentence's evidence for a subject is
+that of its strongest matching rule, weighed by the subjects that the rest of
+its document is about.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.session import materialize
+from skein.session import materialize, shuffle_partitions
 from skein.sources.tables import table
 
-#: Labelled documents that rules are mined from; with more, a hash of the id chooses about so many.
-LABELLED = 20_000
+#: Labelled documents that rules are mined from; with more, a hash of the id chooses about so many.  One in HELD_OUT of them is for calibration.
+LABELLED, HELD_OUT = 20_000, 5
 #: Documents in which an item, and sentences in which an itemset, must stand.
-MIN_DOCS, MIN_SUPPORT = 3, 8
-#: Least share of an item's documents that have the subject, and how many times the subject's own share that must be.
+MIN_DOCS, MIN_SUPPORT = 3, 5
+#: Least share of an itemset's sentences that have the subject, and how many times the subject's own share that must be.
 CONFIDENCE, LIFT = 0.4, 2.0
+#: Share of the subject's documents, by its own share, from which an item takes part in itemsets.
+HINT = 2.0
+#: How many times as telling as any part of its items a rule must be.
+GAIN = 1.25
 #: Share of a document's sentences that makes a subject.
 SHARE = 0.25
 
 # The hyphen stands first, so that the search runs from hyphen to hyphen.
 _HYPHEN = re.compile(r"-(?<=[^\W\d_]-)[^\S\n]*\n[^\S\n]*(?=[^\W\d_])")
-_INVISIBLE = re.compile("[​-‍⁠﻿­]")
-_ENDS = re.compile(r"([.!?])\s+|\n[^\S\n]*\n+|\x0c")
-_WORDS = re.compile(r"[^\W_]+")
+_INVISIBLE = re.compile("[\u200b-\u200d\u2060\ufeff\u00ad]")
+_TOKENS = re.compile(r"[^\W_]+|[.!?](?=\s|$)|\n[^\S\n]*\n|\x0c")
+#: Tokens that end a stretch: a sentence, or something else.
+_STOP = frozenset(".!?")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence: a stretch that ends with . ! or ? and has at least four words; headings and page lines are none."""
+def tokens(text: str | None) -> list[str]:
+    """Lower-cased words, with . ! and ? that end a sentence and breaks between blocks as tokens of their own."""
     if not text:
         return []
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    s = _HYPHEN.sub("", text.replace("\r\n", "\n"))
-    out = []
-    parts = _ENDS.split(s)  # stretches, with the mark that ends each, or None, between them
-    for part, mark in zip(parts[::2], [*parts[1::2], None]):
-        if mark or part.rstrip().endswith((".", "!", "?")):
-            ws = _WORDS.findall(part.lower())
-            if len(ws) >= 4:
-                out.append(ws)
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
+    if "-" in text:
+        text = _HYPHEN.sub("", text)
+    return _TOKENS.findall(text.lower())
+
+
+def sentences(text: str | None) -> list[list[str]]:
+    """Words of each sentence: a stretch that ends with . ! or ? and has at least four words; headings and page lines are none."""
+    out, start = [], 0
+    found = tokens(text)
+    for i, t in enumerate(found):
+        if not t[0].isalnum():
+            if t in _STOP and i - start >= 4:
+                out.append(found[start:i])
+            start = i + 1
     return out
 
 
@@ -75,6 +93,7 @@ def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     weights: list[list[float]] = []
     for b in batches:
         for t, w in zip(b.column(0), b.column(1).to_pylist()):
+            some = [(k, v) for k, v in enumerate(w) if v]
             for x in set().union(*map(items_of, sentences(t.as_py()))):
                 i = seen.setdefault(x, len(docs))
                 if i == len(docs):
@@ -82,29 +101,131 @@ def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     docs[i] += 1
                     own = weights[i]
-                    for k, v in enumerate(w):
-                        if v:
-                            own[k] += v
+                    for k, v in some:
+                        own[k] += v
     names = list(seen)
     for k in range(0, len(names), 50_000):
         yield pa.RecordBatch.from_pydict({"item": pa.array(names[k : k + 50_000]), "docs": pa.array(docs[k : k + 50_000], pa.int64()), "w": pa.array(weights[k : k + 50_000], pa.list_(pa.float64()))})
 
 
-def _baskets(sent):
-    """Per sentence its telling items, without words of a telling pair that holds them, and its document's subjects."""
+def _deal(sent, groups: int):
+    """(g, items, w): each sentence's items by rank, for each group up to the group's last one in it, with its document's weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, float] = sent.value
+        rank: dict[str, int] = sent.value
+        for b in batches:
+            gs, rows, ws = [], [], []
+            for t, w in zip(b.column(0), b.column(1).to_pylist()):
+                for said in sentences(t.as_py()):
+                    own = sorted(rank[x] for x in items_of(said) if x in rank)
+                    dealt = set()
+                    for k in range(len(own) - 1, -1, -1):
+                        g = own[k] % groups
+                        if g not in dealt:
+                            dealt.add(g)
+                            gs.append(g), rows.append(own[: k + 1]), ws.append(w)
+            yield pa.RecordBatch.from_pydict({"g": pa.array(gs, pa.int32()), "items": pa.array(rows, pa.list_(pa.int32())), "w": pa.array(ws, pa.list_(pa.float64()))})
+
+    return run
+
+
+class Tree:
+    """A frequent-pattern tree over (items by rank, count, weights); equal rows should come as one."""
+
+    def __init__(self, rows: list[tuple[tuple[int, ...], int, np.ndarray]]):
+        self.item, self.parent = [-1], [-1]
+        self.nodes: dict[int, list[int]] = {}
+        child: dict[tuple[int, int], int] = {}
+        ends, counts, weights = [], [], []
+        for items, n, w in rows:
+            at = 0
+            for x in items:
+                to = child.get((at, x))
+                if to is None:
+                    to = child[at, x] = len(self.item)
+                    self.item.append(x), self.parent.append(at)
+                    self.nodes.setdefault(x, []).append(to)
+                at = to
+            ends.append(at), counts.append(n), weights.append(w)
+        self.count = np.zeros(len(self.item), np.int64)
+        self.weight = np.zeros((len(self.item), len(rows[0][2]) if rows else 0))
+        np.add.at(self.count, ends, counts)
+        if rows:
+            np.add.at(self.weight, ends, np.stack(weights))
+        for k in range(len(self.item) - 1, 0, -1):  # children come after their parents
+            self.count[self.parent[k]] += self.count[k]
+            self.weight[self.parent[k]] += self.weight[k]
+
+    def path(self, node: int) -> tuple[int, ...]:
+        """Items above a node, from the root on."""
+        out, at = [], self.parent[node]
+        while at > 0:
+            out.append(self.item[at])
+            at = self.parent[at]
+        return tuple(out[::-1])
+
+
+def _once(rows) -> list[tuple[tuple[int, ...], int, np.ndarray]]:
+    """(items, count, weights) rows with equal items added up."""
+    out: dict[tuple[int, ...], list] = {}
+    for items, n, w in rows:
+        if (own := out.get(items)) is None:
+            out[items] = [n, w]
+        else:
+            own[0] += n
+            own[1] = own[1] + w
+    return [(items, n, w) for items, (n, w) in out.items()]
+
+
+def grow(tree: Tree, wanted, prior: np.ndarray, support: int, suffix: tuple[int, ...] = (), above: int = -1) -> Iterator[tuple[tuple[int, ...], int, np.ndarray]]:
+    """(items, count, weights) of the telling itemsets that end with an item for which `wanted` holds, by recursion over conditional trees.
+
+    An itemset of as many sentences as without its newest item tells the same
+    as without it, and so do all that hold it; one that no further item can
+    make GAIN times as telling has no rule beyond it.  Neither is grown on.
+    """
+    for x, nodes in tree.nodes.items():
+        if not wanted(x):
+            continue
+        n = int(tree.count[nodes].sum())
+        if n < support or n == above:
+            continue
+        w = tree.weight[nodes].sum(axis=0)
+        share = (w + prior) / (n + 1)
+        body = (x, *suffix)
+        if (share >= CONFIDENCE / GAIN).any():
+            yield body, n, w
+        if not ((share * GAIN < 1) & (w >= CONFIDENCE * support)).any():
+            continue
+        base = [(tree.path(k), int(tree.count[k]), tree.weight[k]) for k in nodes]
+        often: Counter = Counter()
+        for items, k, _ in base:
+            for y in items:
+                often[y] += k
+        keep = {y for y, k in often.items() if support <= k < n}
+        if keep:
+            yield from grow(Tree(_once((tuple(y for y in items if y in keep), k, v) for items, k, v in base)), lambda y: True, prior, support, body, n)
+
+
+def _mine(groups: int, prior: list[float]):
+    """Telling itemsets of each group; the groups' sentences come one group after another."""
+    prior = np.array(prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(g: int, rows: list) -> pa.RecordBatch:
+            got = list(grow(Tree(_once(rows)), lambda x: x % groups == g, prior, MIN_SUPPORT))
+            return pa.RecordBatch.from_pydict({"items": pa.array([b for b, _, _ in got], pa.list_(pa.int32())), "n": pa.array([n for _, n, _ in got], pa.int64()), "w": pa.array([w.tolist() for _, _, w in got], pa.list_(pa.float64()))})
+
+        at, rows = None, []
         for b in batches:
-            out = []
-            for t, c in zip(b.column(0), b.column(1).to_pylist()):
-                for ws in sentences(t.as_py()):
-                    got = [x for x in items_of(ws) if x in best]
-                    inside = {w for x in got if " " in x for w in x.split()}
-                    got = sorted((x for x in got if x not in inside), key=lambda x: (-best[x], x))
-                    if len(got) > 1:
-                        out.append(got + c)
-            yield pa.RecordBatch.from_pydict({"items": pa.array(out, pa.list_(pa.string()))})
+            for g, items, w in zip(*(c.to_pylist() for c in b.columns)):
+                if g != at and rows:
+                    yield found(at, rows)
+                    rows = []
+                at = g
+                rows.append((tuple(items), 1, np.array(w)))
+        if rows:
+            yield found(at, rows)
 
     return run
 
@@ -124,11 +245,58 @@ def clean_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
     return votes.select("doc_id", "subject", (F.col("v") / F.sum("v").over(doc)).alias("weight"))
 
 
+def prune(found: dict[tuple[str, ...], np.ndarray], prior: np.ndarray) -> dict[tuple[str, ...], np.ndarray]:
+    """The rules among itemsets with their shares of each subject: shares that are telling, and GAIN times those of every part of the items; other shares become 0.
+
+    A part that was not found tells less than any rule.
+    """
+    out = {}
+    for body, share in found.items():
+        fine = (share >= CONFIDENCE) & (share >= LIFT * prior)
+        for k in range(1, len(body)):
+            for part in combinations(body, k):
+                if fine.any() and (less := found.get(part)) is not None:
+                    fine &= share > GAIN * less
+        if fine.any():
+            out[body] = np.where(fine, share, 0.0) if len(body) > 1 else share
+    return out
+
+
+def _platt(evidence: np.ndarray, n: np.ndarray, hits: np.ndarray) -> tuple[float, float]:
+    """(slope, intercept) of the logistic curve through hits of n at each evidence, by Newton steps; the identity where too little was held out."""
+    if n.sum() < 200 or hits.sum() < 5 or (n - hits).sum() < 5:
+        return 1.0, 0.0
+    x, ab = np.stack([evidence, np.ones_like(evidence)], axis=1), np.array([1.0, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
+        slope = x.T @ (hits - n * p) - 1e-3 * (ab - [1.0, 0.0])
+        ab = ab + np.clip(np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), slope), -1, 1)
+    return (float(ab[0]), float(ab[1])) if ab[0] > 0.1 else (1.0, 0.0)
+
+
+def _held_out(sent):
+    """(e, n, hits): of held-out sentences, by their strongest evidence in tenths, how many there are and how many name a subject of their document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, seen = Scorer(sent.value), {}
+        for b in batches:
+            own = np.array(b.column(1).to_pylist(), dtype=float).reshape(b.num_rows, -1)
+            e, doc, _ = scorer.evidence(b.column(0).to_pylist())
+            best = e.argmax(axis=1)
+            for x, y in zip(np.round(e[np.arange(len(e)), best] * 10).astype(int).tolist(), (own[doc, best] > 0).tolist()):
+                k = seen.setdefault(x, [0, 0])
+                k[0] += 1
+                k[1] += y
+        yield pa.RecordBatch.from_pydict({"e": pa.array(list(seen), pa.int32()), "n": pa.array([v[0] for v in seen.values()], pa.int64()), "hits": pa.array([v[1] for v in seen.values()], pa.int64())})
+
+    return run
+
+
 def mine_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> dict:
-    """{"subjects": names, "prior": shares, "rules": {itemset: log-odds per subject}} from the labelled documents.
+    """{"subjects": names, "prior": shares, "rules": {itemset: log-odds per subject}, "curve": (slope, intercept)} from the labelled documents.
 
-    The rules come from at most about LABELLED documents and stand for words
-    of the subjects' vocabulary, so their number is bounded by that sample.
+    The rules come from at most about LABELLED documents, so their number is
+    bounded by that sample.
     """
     spark = docs.sparkSession
     clean = materialize(clean_labels(labels, subjects))
@@ -138,77 +306,135 @@ def mine_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> dict:
         clean = clean.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * LABELLED / n))
     # a document of two subjects counts for either with the root of its share
     share = [F.coalesce(F.sum(F.when(F.col("subject") == s, F.col("weight"))), F.lit(0.0)) for s in names]
-    per_doc = clean.groupBy("doc_id").agg(F.array(*[F.sqrt(x) for x in share]).alias("w"), F.array(*share).alias("share"), F.transform(F.array_sort(F.collect_set("subject")), lambda x: F.concat(F.lit("="), x)).alias("c"))
+    per_doc = clean.groupBy("doc_id").agg(F.array(*[F.sqrt(x) for x in share]).alias("w"), F.array(*share).alias("share"))
     text = docs.filter(F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", "text")
     text = materialize(text.join(F.broadcast(per_doc), "doc_id"))  # at most about LABELLED documents
+    held = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(HELD_OUT)) == 0
+    fit = text.filter(~held).select("text", "w")
     total, *shares = text.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.get("share", F.lit(i))), F.lit(0.0)) for i in range(len(names))]).first()
     prior = np.array(shares) / max(1, total)
+    model = {"subjects": names, "prior": prior.tolist(), "rules": {}, "curve": (1.0, 0.0)}
     if not total or not names:
-        return {"subjects": names, "prior": [0.0] * len(names), "rules": {}}
-    part = text.select("text", "w").mapInArrow(_count_items, "item string, docs long, w array<double>")
+        return model
+    part = fit.mapInArrow(_count_items, "item string, docs long, w array<double>")
     sums = part.groupBy("item").agg(F.sum("docs").alias("docs"), *[F.sum(F.get("w", F.lit(i))).alias(f"w{i}") for i in range(len(names))]).filter(F.col("docs") >= MIN_DOCS)
-    parts = [(F.col(f"w{i}") + float(p)) / (F.col("docs") + 1) for i, p in enumerate(prior)]
-    telling = F.lit(False)
-    for c, p in zip(parts, prior):
-        telling = telling | ((c >= CONFIDENCE) & (c >= LIFT * float(p)))
-    single = {r[0]: np.array(r[1]) for r in sums.filter(telling).select("item", F.array(*parts)).collect()}
-    rules = {(k,): v for k, v in single.items()}
-    # itemsets of several telling items, by parallel frequent-pattern growth over the sentences with their documents' subjects
-    sent = spark.sparkContext.broadcast({k: float(v.max()) for k, v in single.items()})
-    baskets = materialize(text.select("text", "c").mapInArrow(_baskets(sent), "items array<string>"))
-    rows = baskets.count()
-    if rows:
-        found = FPGrowth(itemsCol="items", minSupport=min(1.0, MIN_SUPPORT / rows), minConfidence=1.0, numPartitions=max(8, spark.sparkContext.defaultParallelism)).fit(baskets).freqItemsets
-        found = found.select(F.filter("items", lambda x: F.startswith(x, F.lit("="))).alias("c"), F.array_sort(F.filter("items", lambda x: ~F.startswith(x, F.lit("=")))).alias("body"), "freq").filter(F.size("body").between(2, 3) & (F.size("c") <= 1))
-        found = materialize(found)
-        bodies = found.filter(F.size("c") == 0).select("body", F.col("freq").alias("of"))
-        pairs = found.filter(F.size("c") == 1).select("body", F.element_at("c", 1).alias("c"), "freq").join(bodies, "body").filter(F.col("freq") >= CONFIDENCE * F.col("of"))
-        for r in pairs.toLocalIterator():
-            k = names.index(r.c[1:])
-            share = (r.freq + prior[k]) / (r.of + 1)
-            # redundant unless it tells clearly more than each of its items does
-            if share >= LIFT * prior[k] and share > 1.05 * max(single[x][k] for x in r.body):
-                rules.setdefault(tuple(r.body), np.zeros(len(names)))[k] = share
-    odds = lambda v: np.log(np.clip(v, 0.01, 0.97) / (1 - np.clip(v, 0.01, 0.97)))
-    return {"subjects": names, "prior": prior.tolist(), "rules": {k: odds(v).astype(np.float32) for k, v in rules.items()}}
+    hint = reduce(operator.or_, [F.col(f"w{i}") >= HINT * float(p) * F.col("docs") for i, p in enumerate(prior) if p > 0], F.lit(False))
+    ranked = [r[0] for r in sums.filter(hint).orderBy(F.desc("docs"), "item").select("item").collect()]
+    groups = max(32, 4 * shuffle_partitions(spark))
+    rank = spark.sparkContext.broadcast({x: i for i, x in enumerate(ranked)})
+    dealt = fit.mapInArrow(_deal(rank, groups), "g int, items array<int>, w array<double>")
+    mined = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_mine(groups, prior.tolist()), "items array<int>, n long, w array<double>")
+    found = {tuple(sorted(ranked[i] for i in r[0])): (np.array(r[2]) + prior) / (r[1] + 1) for r in mined.collect()}
+    odds = lambda v: np.log(np.clip(v, 0.01, 0.97) / (1 - np.clip(v, 0.01, 0.97))).astype(np.float32)
+    model["rules"] = {k: odds(v) for k, v in prune(found, prior).items()}
+    sent = spark.sparkContext.broadcast(model)
+    rest = text.filter(held).select("text", "w").mapInArrow(_held_out(sent), "e int, n long, hits long").groupBy("e").agg(F.sum("n"), F.sum("hits")).collect()
+    if rest:
+        e, n, hits = (np.array(c, dtype=float) for c in zip(*rest))
+        model["curve"] = _platt(e / 10, n, hits)
+    return model
 
 
 class Scorer:
-    """The rules, laid out for looking up."""
+    """The rules, laid out for looking up many sentences at a time."""
 
     def __init__(self, model: dict):
         self.subjects = model["subjects"]
         bodies = list(model["rules"])
-        self.odds = np.stack([model["rules"][b] for b in bodies] or [np.zeros(len(self.subjects), np.float32)]).astype(np.float32)
-        self.word: dict[str, int] = {}
-        self.pair: dict[str, dict[str, int]] = {}
-        self.longer: dict[str, list[tuple[tuple[str, ...], int]]] = {}
-        uses = Counter(x for b in bodies if len(b) > 1 for x in b)
-        for i, b in enumerate(bodies):
-            if len(b) > 1:  # kept under the item that fewest such rules have
-                self.longer.setdefault(min(b, key=lambda x: (uses[x], x)), []).append((b, i))
-            elif " " in b[0]:
-                first, second = b[0].split(" ")
-                self.pair.setdefault(first, {})[second] = i
+        slope, intercept = model["curve"]
+        self.odds = slope * np.stack([model["rules"][b] for b in bodies] or [np.zeros(len(self.subjects), np.float32)]).astype(np.float32) + np.float32(intercept)
+        # an item's number: its rule's, or beyond them for items that stand in longer rules only
+        single = {b[0]: i for i, b in enumerate(bodies) if len(b) == 1}
+        longer = [(b, i) for i, b in enumerate(bodies) if len(b) > 1]
+        for b, _ in longer:
+            for x in b:
+                single.setdefault(x, len(bodies) + len(single))
+        self.known, self.code = len(bodies), {}
+        words = {w for x in single for w in x.split(" ")}
+        self.code = {w: i + 1 for i, w in enumerate(sorted(words))}
+        self.code |= {t: -1 for t in _STOP}
+        size = self.size = len(words) + 1
+        self.word = np.full(size, -1)
+        pairs = []
+        for x, i in single.items():
+            if " " in x:
+                a, b = x.split(" ")
+                pairs.append((self.code[a] * size + self.code[b], i))
             else:
-                self.word[b[0]] = i
-        self.names = {i: b[0] for i, b in enumerate(bodies) if len(b) == 1}
-
-    def match(self, ws: list[str]) -> list[int]:
-        """Numbers of the rules whose items all stand in the sentence."""
-        word, pair = self.word.get, self.pair.get
-        hit = [i for i in map(word, ws) if i is not None]
-        for a, b in zip(ws, ws[1:]):
-            second = pair(a)
-            if second is not None:
-                i = second.get(b)
-                if i is not None:
-                    hit.append(i)
-        if len(hit) > 1 and self.longer:
-            its = {self.names[i] for i in hit}
-            for x in its & self.longer.keys():
-                hit += [i for body, i in self.longer[x] if its.issuperset(body)]
-        return hit
+                self.word[self.code[x]] = i
+        pairs.sort()
+        self.pair_key, self.pair = (np.array(c, np.int64) for c in (zip(*pairs) if pairs else ((), ())))
+        # longer rules are looked up under the item that fewest of them have
+        uses = Counter(x for b, _ in longer for x in b)
+        self.items = 1 + max(single.values(), default=0)
+        under: dict[int, list] = {}
+        for b, i in longer:
+            first = min(b, key=lambda x: (uses[x], x))
+            under.setdefault(single[first], []).append((i, [single[x] for x in b if x != first]))
+        self.under_key = np.array(sorted(under), np.int64)
+        flat = [r for k in sorted(under) for r in under[k]]
+        self.under_begin = np.cumsum([0, *(len(under[k]) for k in sorted(under))])
+        self.under_rule = np.array([i for i, _ in flat], np.int64)
+        width = max((len(r) for _, r in flat), default=0)
+        self.under_rest = np.array([r + [-1] * (width - len(r)) for _, r in flat], np.int64).reshape(len(flat), width)
+
+    def _longer(self, at: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, rule) of the rules of several items, all of which stand in a sentence."""
+        if not len(self.under_key):
+            return at[:0], at[:0]
+        key = np.unique(at * self.items + item)
+        at, item = key // self.items, key % self.items
+        place = np.minimum(np.searchsorted(self.under_key, item), len(self.under_key) - 1)
+        mine = self.under_key[place] == item
+        at, place = at[mine], place[mine]
+        begin, count = self.under_begin[place], np.diff(self.under_begin)[place]
+        row = np.repeat(np.arange(len(at)), count)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - begin, count)
+        fine = np.ones(len(row), bool)
+        for rest in self.under_rest[number].T:
+            want = at[row] * self.items + rest
+            fine &= (rest < 0) | (key[np.minimum(np.searchsorted(key, want), len(key) - 1)] == want)
+        return at[row[fine]], self.under_rule[number[fine]]
+
+    def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(odds per subject, text) of the sentences that any rule matches, and the number of sentences of each text."""
+        found = [tokens(t) for t in texts]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        get = self.code.get
+        # -1 ends a sentence, -2 (other breaks, and texts) ends something else
+        codes = np.full(int(size.sum()) + len(texts), -2, np.int64)
+        begin = np.cumsum(size + 1) - size - 1
+        if len(texts):
+            inside = np.ones(len(codes), bool)
+            inside[begin + size] = False
+            codes[inside] = np.fromiter((get(t, 0) if t[0] > " " else -2 for ts in found for t in ts), np.int64, int(size.sum()))
+        stop = np.flatnonzero(codes < 0)
+        start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
+        good = (codes[stop] == -1) & (stop - start >= 4)
+        doc_of = np.searchsorted(begin, start, "right") - 1
+        count = np.bincount(doc_of[good], minlength=len(texts))[: len(texts)] if len(texts) else np.zeros(0)
+        # hits: words, then pairs of neighbours
+        at = np.flatnonzero(codes > 0)
+        item = self.word[codes[at]]
+        two = at[:-1][np.diff(at) == 1] if len(at) else at
+        key = codes[two] * self.size + codes[two + 1] if len(two) else two
+        if len(self.pair_key) and len(key):
+            place = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+            same = self.pair_key[place] == key
+            at, item = np.concatenate([at, two[same]]), np.concatenate([item, self.pair[place[same]]])
+        at, item = at[item >= 0], item[item >= 0]
+        sentence = np.searchsorted(stop, at)
+        fine = good[sentence]
+        sentence, item = sentence[fine], item[fine]
+        more, rule = self._longer(sentence, item)
+        sure = item < self.known
+        sentence, rule = np.concatenate([sentence[sure], more]), np.concatenate([item[sure], rule])
+        order = np.argsort(sentence, kind="stable")
+        sentence, rule = sentence[order], rule[order]
+        if not len(rule):
+            return np.zeros((0, len(self.subjects)), np.float32), np.zeros(0, np.int64), count
+        first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+        return np.maximum.reduceat(self.odds[rule], first, axis=0), doc_of[sentence[first]], count
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """(texts, subjects): the share of each text's sentences about each subject, 0 without sentences.
@@ -219,23 +445,9 @@ class Scorer:
         the one that the document is about.
         """
         k, n = len(self.subjects), len(texts)
-        count = np.zeros(n)
-        rules, begin, doc = [], [], []
-        for d, t in enumerate(texts):
-            said = sentences(t)
-            count[d] = len(said)
-            for ws in said:
-                hit = self.match(ws)
-                if hit:
-                    begin.append(len(rules))
-                    doc.append(d)
-                    rules += hit
         out = np.zeros((n, k))
-        if not rules:
-            return out
-        e = np.maximum.reduceat(self.odds[np.array(rules)], np.array(begin), axis=0)
-        doc = np.array(doc)
-        top = e.max(axis=1)
+        e, doc, count = self.evidence(texts)
+        top = e.max(axis=1) if len(e) else np.zeros(0)
         strong = top >= math.log(CONFIDENCE / (1 - CONFIDENCE)) - 1e-6
         e, doc, top = e[strong], doc[strong], top[strong]
         if not len(doc):

@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from skein.llm import subjects as S
 from skein.sources.tables import table
 
@@ -60,13 +63,83 @@ def test_labels_agree_with_the_whole_table(spark, sf):
     assert sum(bool(got.get(d, set()) & s) for d, s in labels.items()) >= 0.6 * len(labels)
 
 
-def test_baskets_are_whole():
-    import types
-
-    import pyarrow as pa
-
-    words = [f"word{chr(97 + i)}" for i in range(10)]
-    batch = pa.RecordBatch.from_pydict({"text": [" ".join(words) + "."], "c": [["=x"]]})
-    best = {w: 0.5 + i / 100 for i, w in enumerate(words)}
-    (out,) = S._baskets(types.SimpleNamespace(value=best))(iter([batch]))
-    assert sorted(out.column(0).to_pylist()[0]) == sorted([*words, "=x"])
+def random_rows(seed, n=400, items=9, subjects=3):
+    r = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        k = r.randrange(subjects)
+        own = {x for x in range(items) if r.random() < (0.6 if x % subjects == k else 0.2)}
+        w = np.zeros(subjects)
+        w[k] = 1.0
+        rows.append((tuple(sorted(own)), 1, w))
+    return rows
+
+
+def test_growth_against_all_itemsets():
+    """Every telling itemset is found with its counts, but for those as large as without an item, and beyond saturated ones."""
+    rows, prior = random_rows(4), np.full(3, 1 / 3)
+    got = {}
+    for g in range(4):  # groups see sentences up to their last item only
+        cut = []
+        for items, n, w in rows:
+            last = max((k for k, x in enumerate(items) if x % 4 == g), default=None)
+            if last is not None:
+                cut.append((items[: last + 1], n, w))
+        for b, n, w in S.grow(S.Tree(S._once(cut)), lambda x, g=g: x % 4 == g, prior, 8):
+            assert tuple(sorted(b)) not in got
+            got[tuple(sorted(b))] = (n, w.tolist())
+    every = {}
+    for k in range(1, 7):
+        for body in itertools.combinations(range(9), k):
+            own = [w for items, _, w in rows if set(body) <= set(items)]
+            if len(own) >= 8:
+                every[body] = (len(own), np.sum(own, axis=0).tolist())
+    assert all(every[b] == v for b, v in got.items())
+    share = {b: (np.array(w) + prior) / (n + 1) for b, (n, w) in every.items()}
+    ours = S.prune({b: share[b] for b in got}, prior)
+    assert ours and set(ours) == set(S.prune(share, prior)) and len([b for b in ours if len(b) > 1]) > 3
+
+
+def test_repeated_long_sentences_do_not_explode():
+    w = np.array([0.7, 0.3])
+    rows = [(tuple(range(60)), 40, 40 * w), (tuple(range(30)), 10, 10 * w)]
+    assert len(list(S.grow(S.Tree(rows), lambda x: True, np.array([0.5, 0.5]), 8))) < 3_000
+
+
+def test_pruning_by_every_part():
+    prior = np.array([0.1, 0.1])
+    v = lambda a: np.array([a, 0.05])
+    found = {("a",): v(0.5), ("b",): v(0.42), ("a", "b"): v(0.7), ("c",): v(0.2), ("a", "c"): v(0.8), ("a", "b", "c"): v(0.81), ("b", "c"): v(0.55), ("d",): v(0.41), ("d", "e"): v(0.42)}
+    rules = S.prune(found, prior)
+    assert set(rules) == {("a",), ("b",), ("a", "b"), ("a", "c"), ("b", "c"), ("d",)}
+
+
+def test_curve_of_held_out_sentences():
+    e = np.linspace(-2, 4, 30)
+    n = np.full(30, 100.0)
+    a, b = S._platt(e, n, n / (1 + np.exp(-(0.5 * e - 0.3))))
+    assert abs(a - 0.5) < 0.02 and abs(b + 0.3) < 0.02
+    assert S._platt(e[:1], np.array([10.0]), np.array([4.0])) == (1.0, 0.0)
+
+
+def test_scorer_against_plain_matching():
+    r = random.Random(9)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "of", "in", "omega"]
+    rules = {("alpha",): [2.0, -1.0], ("alpha beta",): [3.0, 0.0], ("gamma", "of delta"): [0.0, 2.5], ("in omega", "beta", "delta"): [1.0, 1.5], ("omega",): [0.5, 0.6], ("delta", "omega"): [0.1, 3.0]}
+    model = {"subjects": ["x", "y"], "rules": {k: np.array(v, np.float32) for k, v in rules.items()}, "curve": (1.0, 0.0)}
+    texts = [None, "", "alpha beta"] + [" ".join(r.choices([*vocabulary, "7", ".", ". ", "\n\n", "! "], k=60)) + r.choice(["", "."]) for _ in range(80)]
+    e, doc, count = S.Scorer(model).evidence(texts)
+    want, where = [], []
+    for d, t in enumerate(texts):
+        for ws in S.sentences(t):
+            have = S.items_of(ws) | {w for w in ws}
+            hit = [v for b, v in rules.items() if set(b) <= have]
+            if hit:
+                want.append(np.max(hit, axis=0)), where.append(d)
+    assert np.allclose(e, want) and doc.tolist() == where and count.tolist() == [len(S.sentences(t)) for t in texts]
+
+
+def test_nothing_is_found_without_growth(spark, sf, monkeypatch):
+    """All rules, those of one item too, come from the trees."""
+    monkeypatch.setattr(S, "_mine", lambda groups, prior: lambda batches: iter(()))
+    assert S.p10_found(spark, sf).count() == 0
