@@ -18,10 +18,11 @@ import math
 import operator
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -109,22 +110,23 @@ def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal(sent, groups: int):
-    """(g, items, w): each sentence's items by rank, for each group up to the group's last one in it, with its document's weights."""
+    """(g, items, w, n): each sentence's items by rank, for each group up to the group's last one in it, with its document's weights; equal ones of a batch once, with their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank: dict[str, int] = sent.value
         for b in batches:
-            gs, rows, ws = [], [], []
+            seen: Counter = Counter()
             for t, w in zip(b.column(0), b.column(1).to_pylist()):
+                w = np.array(w).tobytes()
                 for said in sentences(t.as_py()):
                     own = sorted(rank[x] for x in items_of(said) if x in rank)
-                    dealt = set()
+                    packed, dealt = array("i", own).tobytes(), set()
                     for k in range(len(own) - 1, -1, -1):
                         g = own[k] % groups
                         if g not in dealt:
                             dealt.add(g)
-                            gs.append(g), rows.append(own[: k + 1]), ws.append(w)
-            yield pa.RecordBatch.from_pydict({"g": pa.array(gs, pa.int32()), "items": pa.array(rows, pa.list_(pa.int32())), "w": pa.array(ws, pa.list_(pa.float64()))})
+                            seen[g, packed[: 4 * k + 4], w] += 1
+            yield pa.RecordBatch.from_pydict({"g": pa.array([k[0] for k in seen], pa.int32()), "items": pa.array([k[1] for k in seen], pa.binary()), "w": pa.array([k[2] for k in seen], pa.binary()), "n": pa.array(list(seen.values()), pa.int32())})
 
     return run
 
@@ -212,20 +214,26 @@ def _mine(groups: int, prior: list[float]):
     prior = np.array(prior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(g: int, rows: list) -> pa.RecordBatch:
+        def found(g: int, seen: Counter) -> pa.RecordBatch:
+            known: dict[bytes, np.ndarray] = {}
+            rows = []
+            for (items, w), n in seen.items():
+                if w not in known:
+                    known[w] = np.frombuffer(w)
+                rows.append((tuple(array("i", items)), n, known[w] * n))
             got = list(grow(Tree(_once(rows)), lambda x: x % groups == g, prior, MIN_SUPPORT))
             return pa.RecordBatch.from_pydict({"items": pa.array([b for b, _, _ in got], pa.list_(pa.int32())), "n": pa.array([n for _, n, _ in got], pa.int64()), "w": pa.array([w.tolist() for _, _, w in got], pa.list_(pa.float64()))})
 
-        at, rows = None, []
+        at, seen = None, Counter()
         for b in batches:
-            for g, items, w in zip(*(c.to_pylist() for c in b.columns)):
-                if g != at and rows:
-                    yield found(at, rows)
-                    rows = []
+            for g, items, w, n in zip(*(c.to_pylist() for c in b.columns)):
+                if g != at and seen:
+                    yield found(at, seen)
+                    seen = Counter()
                 at = g
-                rows.append((tuple(items), 1, np.array(w)))
-        if rows:
-            yield found(at, rows)
+                seen[items, w] += n
+        if seen:
+            yield found(at, seen)
 
     return run
 
@@ -322,7 +330,7 @@ def mine_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> dict:
     ranked = [r[0] for r in sums.filter(hint).orderBy(F.desc("docs"), "item").select("item").collect()]
     groups = max(32, 4 * shuffle_partitions(spark))
     rank = spark.sparkContext.broadcast({x: i for i, x in enumerate(ranked)})
-    dealt = fit.mapInArrow(_deal(rank, groups), "g int, items array<int>, w array<double>")
+    dealt = fit.mapInArrow(_deal(rank, groups), "g int, items binary, w binary, n int")
     mined = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_mine(groups, prior.tolist()), "items array<int>, n long, w array<double>")
     found = {tuple(sorted(ranked[i] for i in r[0])): (np.array(r[2]) + prior) / (r[1] + 1) for r in mined.collect()}
     odds = lambda v: np.log(np.clip(v, 0.01, 0.97) / (1 - np.clip(v, 0.01, 0.97))).astype(np.float32)
@@ -335,6 +343,21 @@ def mine_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> dict:
     return model
 
 
+class _Codes(dict):
+    """Numbers of the words in rules; 0 of other words, -1 of what ends a sentence, -2 of other breaks."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.known = known
+
+    def __missing__(self, t: str) -> int:
+        if len(self) > len(self.known) + 500_000:  # other words are kept only to be found fast
+            self.clear()
+            self.update(self.known)
+        code = self[t] = self.known.get(t) or (-1 if t in _STOP else -2 if t[0] <= " " else 0)
+        return code
+
+
 class Scorer:
     """The rules, laid out for looking up many sentences at a time."""
 
@@ -349,10 +372,9 @@ class Scorer:
         for b, _ in longer:
             for x in b:
                 single.setdefault(x, len(bodies) + len(single))
-        self.known, self.code = len(bodies), {}
+        self.known = len(bodies)
         words = {w for x in single for w in x.split(" ")}
-        self.code = {w: i + 1 for i, w in enumerate(sorted(words))}
-        self.code |= {t: -1 for t in _STOP}
+        self.code = _Codes({w: i + 1 for i, w in enumerate(sorted(words))})
         size = self.size = len(words) + 1
         self.word = np.full(size, -1)
         pairs = []
@@ -400,14 +422,13 @@ class Scorer:
         """(odds per subject, text) of the sentences that any rule matches, and the number of sentences of each text."""
         found = [tokens(t) for t in texts]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        get = self.code.get
         # -1 ends a sentence, -2 (other breaks, and texts) ends something else
         codes = np.full(int(size.sum()) + len(texts), -2, np.int64)
         begin = np.cumsum(size + 1) - size - 1
         if len(texts):
             inside = np.ones(len(codes), bool)
             inside[begin + size] = False
-            codes[inside] = np.fromiter((get(t, 0) if t[0] > " " else -2 for ts in found for t in ts), np.int64, int(size.sum()))
+            codes[inside] = np.fromiter(map(self.code.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
         stop = np.flatnonzero(codes < 0)
         start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
         good = (codes[stop] == -1) & (stop - start >= 4)
