@@ -2,11 +2,12 @@
 
 Names are indexed by the suffixes of their tokens, and of the tokens read
 backwards, so that one typing error leaves a suffix of either kind intact.  A
-suffix that many names share is refined with other fields of the name (the
-initials of its other parts) before anything is compared; a key that is still
-common is cut into tiles, so every pair that shares a key is compared by some
-task and no task holds a whole common key.  Pairs are accepted by the ratio
-of the longest common subsequence of their tokens.
+suffix that many names share is refined with other fields of the name: the
+initials of its other parts, then their beginnings and ends.  What is common
+even then is discarded, as names that mean the same share rarer suffixes, too;
+only of a person's nearly whole surname all pairs are compared, in tiles.
+Pairs are accepted by the ratio of the longest common subsequence of their
+tokens.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import materialize
+from skein.operators.skew import join_classes
+from skein.session import materialize, shuffle_partitions
 from skein.sources.tables import table
 
 #: Shortest suffix that is indexed.
 MIN_SUFFIX = 3
-#: Names under one suffix above which it is refined, and names of one tile.
+#: Names under one suffix above which it is refined and at last discarded, and names of one tile.
 COMMON, TILE = 64, 128
+#: Letters that a suffix may lack of a surname to be nearly the whole of it, which is never discarded.
+NEARLY = 3
 #: Least ratio of the longest common subsequence of two tokens that mean the same.
 RATIO = 0.8
 
@@ -217,34 +221,60 @@ def same_organisation(a: dict, b: dict) -> bool:
     return len(few) > 1 or len(left) <= 1
 
 
-def _keys(kind: str, name: str) -> list[tuple[str, str, str]]:
-    """(suffix key, refinement, next letter) of a name: each suffix of each word that can tell names apart, with the letters by which the other words can meet their variants, and the letter that would lengthen the suffix."""
+def _keys(kind: str, name: str) -> list[tuple[str, str, bool, tuple[str, ...], tuple[str, ...]]]:
+    """(suffix key, next letter, kept, refinements, finer ones) of a name.
+
+    One for each suffix of each word that can tell names apart: the letter
+    that would lengthen the suffix, whether it is never discarded, and by what
+    the name's other words can meet those of its variants.
+    """
+    rows = []
     if kind == "PERSON":
         heads: dict[str, set[str]] = {}
         for s, gs, _ in person(name):
             # same_given accepts swapped first letters, so the second counts, too
             heads.setdefault(s, set()).update(*({g[0], *(g[1] if len(g) >= 4 else "")} | {f[0] for f in _FULL.get(g, ())} for g in gs[:1]))
-        heads = {s: hs or {""} for s, hs in heads.items()}
+        rows = [(s, hs or {""}, {""}) for s, hs in heads.items()]
     else:
-        o = organisation(name)
-        heads = {w: {x[0] for x in o["words"] if x is not w} or {""} for w in o["words"] if len(w) >= 5}
-        # a name may lack its other words, so it is also found without them
-        heads = {w: hs | {""} for w, hs in heads.items()}
+        ws = organisation(name)["words"]
+        for w in dict.fromkeys(ws):
+            if len(w) >= 5:
+                others = [x for x in ws if x is not w]
+                rows.append((w, {x[0] for x in others} or {""}, {y for x in others for y in (f"{x[:3]}-", f"-{x[-3:]}")} or {""}))
     out = []
-    for w, refine in heads.items():
+    for w, refine, finer in rows:
         for form, v in (("+", w), ("-", w[::-1])):
             for n in range(min(MIN_SUFFIX, len(v)), len(v) + 1):
-                out += [(f"{kind[0]}{form}{v[len(v) - n:]}", r, v[len(v) - n - 1 : len(v) - n]) for r in refine]
-    return list(dict.fromkeys(out))
+                out.append((f"{kind[0]}{form}{v[len(v) - n:]}", v[len(v) - n - 1 : len(v) - n], kind == "PERSON" and n >= len(v) - NEARLY, tuple(sorted(refine)), tuple(sorted(finer))))
+    return out
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "longer", "kept", "refine", "finer"]
+    kinds = [pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
     for b in batches:
-        reps, keys, refinements, longer = [], [], [], []
+        reps, rows = [], []
         for rep, kind, name in zip(*(c.to_pylist() for c in b.columns)):
-            for k, r, x in _keys(kind, name):
-                reps.append(rep), keys.append(k), refinements.append(r), longer.append(x)
-        yield pa.RecordBatch.from_pydict({"rep": pa.array(reps, pa.int64()), "key": pa.array(keys, pa.string()), "refine": pa.array(refinements, pa.string()), "longer": pa.array(longer, pa.string())})
+            own = _keys(kind, name)
+            reps += [rep] * len(own)
+            rows += own
+        cols = zip(*rows) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), *(pa.array(list(c), k) for c, k in zip(cols, kinds))], names=["rep", *names])
+
+
+def _blocks(index: DataFrame) -> DataFrame:
+    """(key, rep, longer, n): names under keys that at least two and, but for kept ones, at most COMMON share; more common keys by their refinements instead."""
+    out, left = None, index
+    for more in ("refine", "finer", None):
+        counts = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        sized = join_classes(left, counts, ["key"], "n")
+        fine = F.col("n") <= COMMON
+        own = sized.filter(fine | (F.col("kept") if more is None else F.lit(False))).select("key", "rep", "longer", "n")
+        out = own if out is None else out.unionByName(own)
+        if more:
+            left = sized.filter(~fine).select("rep", "longer", "kept", "refine", "finer", F.explode(F.transform(more, lambda r: F.concat_ws("|", "key", r))).alias("key"))
+            left = materialize(left)
+    return out
 
 
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,14 +295,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the same letter lengthens both, they meet under the longer suffix, too.
     """
 
+    read: dict[tuple[str, str], object] = {}
+
+    def parsed(kind: str, name: str):
+        if (kind, name) not in read:
+            if len(read) > 200_000:
+                read.clear()
+            read[kind, name] = person(name) if kind == "PERSON" else organisation(name)
+        return read[kind, name]
+
     def tile(rows: list[tuple]) -> tuple[list[int], list[int]]:
         a_out, b_out = [], []
-        parsed = [(rep, side, longer, kind, person(name) if kind == "PERSON" else organisation(name)) for rep, side, longer, kind, name in rows]
-        for i, (ra, sa, la, ka, pa_) in enumerate(parsed):
-            for rb, sb, lb, kb, pb in parsed[i + 1 :]:
+        rows = [(rep, side, longer, kind, parsed(kind, name)) for rep, side, longer, kind, name in rows]
+        for i, (ra, sa, la, ka, pa_) in enumerate(rows):
+            same = same_person if ka == "PERSON" else same_organisation
+            for rb, sb, lb, kb, pb in rows[i + 1 :]:
                 if (la and la == lb) or ra == rb or ka != kb or (sa == sb and sa != 0):
                     continue
-                if (same_person if ka == "PERSON" else same_organisation)(pa_, pb):
+                if same(pa_, pb):
                     a_out.append(min(ra, rb)), b_out.append(max(ra, rb))
         return a_out, b_out
 
@@ -303,19 +343,14 @@ def variant_classes(names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Null, blank and letterless names and null ids take no part.  Classes are
     compared, not rows, so a spelling that a third of all rows share counts
-    once.  All pairs of classes that share a key are compared, but for persons
-    under a common key whose first given names can't be one.
+    once.  Classes are compared if they share a key that is not discarded.
     """
     src = names.filter(F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("kind").isin("PERSON", "ORGANIZATION"))
     folded = materialize(src.select(F.col("id").cast("long").alias("id"), "kind", "name").mapInArrow(_fold_batches, "id long, kind string, name string"))
-    classes = materialize(folded.groupBy("kind", "name").agg(F.min("id").alias("rep")))
-    members = folded.join(classes, ["kind", "name"]).select("id", F.col("rep").alias("class_id"))
-    index = materialize(classes.select("rep", "kind", "name").mapInArrow(_index, "rep long, key string, refine string, longer string"))
-    common = index.groupBy("key").agg(F.count_distinct("rep").alias("n"))
-    refined = index.join(common.filter("n > 1"), "key")
-    refined = refined.withColumn("key", F.when(F.col("n") > COMMON, F.concat_ws("|", "key", "refine")).otherwise(F.col("key"))).select("key", "rep", "longer").distinct()
-    sizes = refined.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
-    placed = refined.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
+    classes = materialize(folded.groupBy("kind", "name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")))
+    members = join_classes(folded, classes, ["kind", "name"]).select("id", F.col("rep").alias("class_id"))
+    index = materialize(classes.select("rep", "kind", "name").repartition(shuffle_partitions(names.sparkSession)).mapInArrow(_index, "rep long, key string, longer string, kept boolean, refine array<string>, finer array<string>"))
+    placed = materialize(_blocks(index)).withColumn("tiles", F.when(F.col("n") > COMMON, F.ceil(F.col("n") / TILE)).otherwise(1).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     # tile (i, j) compares block i with block j: a row of block i goes to every tile that names i
     dealt = placed.select("rep", "key", "longer", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
     tile = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))

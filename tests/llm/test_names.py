@@ -79,5 +79,18 @@ def test_swapped_first_letters_under_a_common_surname(spark):
 @pytest.mark.parametrize("a,b", [("Mila", "Imla"), ("William", "Iwlliam"), ("Bill", "Iwlliam"), ("R", "Bob"), ("Sam", "Samantha")])
 def test_refinements_keep_what_may_be_one_given_name(a, b):
     assert N.same_given(a.lower(), b.lower())
-    refinements = [{r for k, r, _ in N._keys("PERSON", f"{x} Zorbrook") if k == "P+zorbrook"} for x in (a, b)]
+    refinements = [{r for k, _, _, refine, _ in N._keys("PERSON", f"{x} Zorbrook") if k == "P+zorbrook" for r in refine} for x in (a, b)]
     assert refinements[0] & refinements[1]
+
+
+def test_common_words_of_organisations(spark):
+    """A word that very many names share is refined and at last discarded; variants meet under their other words, and no key keeps more than COMMON names."""
+    parts = [a + b for a in ("zif", "vus", "pik", "lof", "tun", "gle", "kas", "dro", "mur", "wen") for b in ("bral", "dent", "gosk", "hilm", "jurt", "nask", "pomb", "qued", "silt", "vork")]
+    rows = [(i, "ORGANIZATION", f"{x} Acoustics {k}") for i, (x, k) in enumerate(itertools.product(parts, ["Group", "Institute", "Trust"]))]
+    rows += [(1000 + i, "ORGANIZATION", f"The Acoustics Inst. of {x[:5]}{x[6:]}") for i, x in enumerate(parts)]
+    df = spark.createDataFrame(rows, "id long, kind string, name string")
+    _, links = N.variant_classes(df)
+    assert {tuple(r) for r in links.collect()} == brute(rows)
+    index = df.withColumnRenamed("id", "rep").mapInArrow(N._index, "rep long, key string, longer string, kept boolean, refine array<string>, finer array<string>")
+    sizes = [r[0] for r in N._blocks(index).groupBy("key").count().select("count").collect()]
+    assert max(sizes) <= N.COMMON
