@@ -259,14 +259,21 @@ def prune(found: dict[tuple[str, ...], np.ndarray], prior: np.ndarray) -> dict[t
     A part that was not found tells less than any rule.
     """
     out = {}
-    for body, share in found.items():
-        fine = (share >= CONFIDENCE) & (share >= LIFT * prior)
-        for k in range(1, len(body)):
-            for part in combinations(body, k):
-                if fine.any() and (less := found.get(part)) is not None:
-                    fine &= share > GAIN * less
-        if fine.any():
-            out[body] = np.where(fine, share, 0.0) if len(body) > 1 else share
+    shares = np.stack(list(found.values())) if found else np.zeros((0, len(prior)))
+    telling = (shares >= CONFIDENCE) & (shares >= LIFT * prior)
+    for body, share, fine in zip(found, shares, telling):
+        if not fine.any():
+            continue
+        if len(body) == 1:
+            out[body] = share
+            continue
+        for part in chain.from_iterable(combinations(body, k) for k in range(1, len(body))):
+            if (less := found.get(part)) is not None:
+                fine &= share > GAIN * less
+                if not fine.any():
+                    break
+        else:
+            out[body] = np.where(fine, share, 0.0)
     return out
 
 
@@ -332,7 +339,9 @@ def mine_rules(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> dict:
     rank = spark.sparkContext.broadcast({x: i for i, x in enumerate(ranked)})
     dealt = fit.mapInArrow(_deal(rank, groups), "g int, items binary, w binary, n int")
     mined = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_mine(groups, prior.tolist()), "items array<int>, n long, w array<double>")
-    found = {tuple(sorted(ranked[i] for i in r[0])): (np.array(r[2]) + prior) / (r[1] + 1) for r in mined.collect()}
+    got = mined.toArrow()
+    share_of = (got.column("w").combine_chunks().flatten().to_numpy().reshape(got.num_rows, len(names)) + prior) / (got.column("n").to_numpy()[:, None] + 1)
+    found = {tuple(sorted(ranked[i] for i in items)): v for items, v in zip(got.column("items").to_pylist(), share_of)}
     odds = lambda v: np.log(np.clip(v, 0.01, 0.97) / (1 - np.clip(v, 0.01, 0.97))).astype(np.float32)
     model["rules"] = {k: odds(v) for k, v in prune(found, prior).items()}
     sent = spark.sparkContext.broadcast(model)
@@ -386,6 +395,9 @@ class Scorer:
                 self.word[self.code[x]] = i
         pairs.sort()
         self.pair_key, self.pair = (np.array(c, np.int64) for c in (zip(*pairs) if pairs else ((), ())))
+        self.mask = (1 << max(10, 4 + len(pairs).bit_length())) - 1
+        self.maybe = np.zeros(self.mask + 1, bool)
+        self.maybe[self.pair_key * 0x9E3779B1 >> 12 & self.mask] = True
         # longer rules are looked up under the item that fewest of them have
         uses = Counter(x for b, _ in longer for x in b)
         self.items = 1 + max(single.values(), default=0)
@@ -429,7 +441,8 @@ class Scorer:
             inside = np.ones(len(codes), bool)
             inside[begin + size] = False
             codes[inside] = np.fromiter(map(self.code.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
-        stop = np.flatnonzero(codes < 0)
+        ends = codes < 0
+        stop = np.flatnonzero(ends)
         start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
         good = (codes[stop] == -1) & (stop - start >= 4)
         doc_of = np.searchsorted(begin, start, "right") - 1
@@ -440,11 +453,13 @@ class Scorer:
         two = at[:-1][np.diff(at) == 1] if len(at) else at
         key = codes[two] * self.size + codes[two + 1] if len(two) else two
         if len(self.pair_key) and len(key):
+            maybe = self.maybe[key * 0x9E3779B1 >> 12 & self.mask]  # most pairs are no items
+            two, key = two[maybe], key[maybe]
             place = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
             same = self.pair_key[place] == key
             at, item = np.concatenate([at, two[same]]), np.concatenate([item, self.pair[place[same]]])
         at, item = at[item >= 0], item[item >= 0]
-        sentence = np.searchsorted(stop, at)
+        sentence = np.cumsum(ends)[at]
         fine = good[sentence]
         sentence, item = sentence[fine], item[fine]
         more, rule = self._longer(sentence, item)
