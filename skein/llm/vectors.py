@@ -1,7 +1,7 @@
 """Nearest neighbours of vectors by additive quantisation.
 
-A vector is approximated by a sum of full-dimensional codewords: one of a
-coarse codebook, whose number is also the vector's list, and one of each of
+A vector is approximated by a sum of full-dimensional codewords: one or two of
+coarse codebooks, whose numbers are also the vector's list, and one of each of
 BOOKS codebooks of 256 trained on what the ones before leave over.  The codes
 come from a beam search.  A query's inner products with all codewords form
 a look-up table; the sum of a row's table entries, scaled by a stored norm,
@@ -35,6 +35,8 @@ DIM = 384
 K = 5
 #: Codebooks are fitted on about this many vectors, chosen by a hash of their ids; every vector is indexed.
 TRAIN = 16_384
+#: Vectors of the sample for each word of the first coarse codebook, at least; what lists are wanted beyond comes from the second one.
+PER_WORD = 8
 BOOKS, WORDS, BEAM = 7, 256, 4
 #: Lists in which each row is entered; a query looks into the one it is nearest to.
 ENTRIES = 4
@@ -50,15 +52,39 @@ TILE = 8_192
 
 @dataclass
 class Books:
-    coarse: np.ndarray  # lists x dim
+    """The codebooks.  A list's codeword is the sum of one of top and one of sub, so a bounded sample gives any number of lists."""
+
+    top: np.ndarray
+    sub: np.ndarray  # a single zero while top has enough words
     fine: np.ndarray  # BOOKS * WORDS x dim
     gram: np.ndarray  # of fine with fine
-    cross: np.ndarray  # of coarse with fine
     blocks: np.ndarray  # tiles' width of each list, then of each dense group, for about TILE rows or queries each
     dense: np.ndarray  # the dense lists, group by group
     begin: np.ndarray  # where each group begins there
     group: np.ndarray  # of each list, or -1
 
+    def __post_init__(self):
+        self.lists = len(self.top) * len(self.sub)
+        self.half = self.fit(np.zeros((1, self.top.shape[1]), np.float32))[0] * -1  # half the codewords' squared lengths
+
+    def word(self, lists: np.ndarray) -> np.ndarray:
+        return self.top[lists // len(self.sub)] + self.sub[lists % len(self.sub)]
+
+    @property
+    def coarse(self) -> np.ndarray:
+        return self.word(np.arange(self.lists))
+
+    def fit(self, x: np.ndarray) -> np.ndarray:
+        """(vectors, lists): product with the list's codeword, less half its squared length."""
+        parts = [x @ w.T - 0.5 * (w * w).sum(1) for w in (self.top, self.sub)]
+        return (parts[0][:, :, None] + (parts[1][:, None, :] - self.top @ self.sub.T)).reshape(len(x), self.lists)
+
+    def cross(self, lists: np.ndarray) -> np.ndarray:
+        """Products of codewords with fine words."""
+        if not hasattr(self, "_cross"):
+            self._cross = self.top @ self.fine.T, self.sub @ self.fine.T
+        return self._cross[0][lists // len(self.sub)] + self._cross[1][lists % len(self.sub)]
+
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     r = np.random.default_rng(seed)
@@ -75,16 +101,17 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c
 
 
-def _dense_groups(coarse: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _dense_groups(books: Books, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(dense, begin, group) of Books; a codeword's length tells how near the unit vectors that it is the mean of are."""
-    group = np.full(len(coarse), -1)
-    dense = np.flatnonzero((coarse * coarse).sum(1) >= 1 - DENSE**2)
+    group = np.full(books.lists, -1)
+    # lists that no vector of the sample is at home in are no means of any
+    dense = np.flatnonzero((2 * books.half >= 1 - DENSE**2) & (share > 0))
     dense = dense[np.argsort(-share[dense], kind="stable")]
     groups = 0
     for c in dense:
         if group[c] < 0:
             free = dense[group[dense] < 0]
-            group[free[((coarse[free] - coarse[c]) ** 2).sum(1) <= MERGED**2]] = groups
+            group[free[((books.word(free) - books.word(c)) ** 2).sum(1) <= MERGED**2]] = groups
             groups += 1
     dense = dense[np.argsort(group[dense], kind="stable")]
     return dense, np.searchsorted(group[dense], np.arange(groups)), group
@@ -105,31 +132,44 @@ def in_dense(fit: np.ndarray, home: np.ndarray, books: Books, least: float) -> t
 
 
 def train(sample: np.ndarray, lists: int, n: int, seed: int = 7, least: float = 0.85) -> Books:
-    """Codebooks of unit vectors: the coarse one, then one after another on the residuals."""
-    coarse = _kmeans(sample, lists, 6, seed)
-    left = sample - coarse[np.argmax(sample @ coarse.T - 0.5 * (coarse * coarse).sum(1), axis=1)]
+    """Codebooks of unit vectors: top, with a word for every PER_WORD vectors at most, sub on its residuals if more lists are wanted, then one after another on what is left."""
+    words = max(1, min(lists, len(sample) // PER_WORD))
+    nearest = lambda x, c: np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
+    top = _kmeans(sample, words, 6, seed).astype(np.float32)
+    sub = np.zeros((1, sample.shape[1]), np.float32)
+    if lists > words:
+        sub = _kmeans(sample - top[nearest(sample, top)], -(-lists // words), 6, seed).astype(np.float32)
+    none = np.zeros(0, np.int64)
+    books = Books(top, sub, np.zeros((BOOKS * WORDS, sample.shape[1]), np.float32), none, none, none, none, none)
+    step = max(64, (1 << 22) // books.lists)
+    near = [books.fit(sample[k : k + step]) for k in range(0, len(sample), step)]
+    home = np.concatenate([np.argmax(x, axis=1) for x in near])
+    left = sample - books.word(home)
     fine = []
     for m in range(BOOKS):
         c = _kmeans(left, WORDS, 5, seed + m + 1)
         if len(c) < WORDS:
             c = np.concatenate([c, np.zeros((WORDS - len(c), c.shape[1]), c.dtype)])
-        left = left - c[np.argmax(left @ c.T - 0.5 * (c * c).sum(1), axis=1)]
+        left = left - c[nearest(left, c)]
         fine.append(c)
-    fine = np.concatenate(fine).astype(np.float32)
-    near = sample @ coarse.T - 0.5 * (coarse * coarse).sum(1)
-    home = np.argmax(near, axis=1)
-    share = np.bincount(home, minlength=len(coarse)) / max(1, len(sample))
-    books = Books(coarse.astype(np.float32), fine, fine @ fine.T, coarse @ fine.T, np.zeros(0), *_dense_groups(coarse, share))
-    once = list({r.tobytes(): i for i, r in enumerate(sample)}.values())  # equal vectors meet once
-    meets = in_dense(near[once], home[once], books, least)[1].sum(axis=0) / max(1, len(sample))
-    books.blocks = np.maximum(1, np.ceil(np.concatenate([share, meets]) * n / TILE)).astype(np.int32)
+    books.fine = np.concatenate(fine).astype(np.float32)
+    books.gram = books.fine @ books.fine.T
+    share = np.bincount(home, minlength=books.lists) / max(1, len(sample))
+    books.dense, books.begin, books.group = _dense_groups(books, share)
+    once = set({r.tobytes(): i for i, r in enumerate(sample)}.values())  # equal vectors meet once
+    meets = np.zeros(len(books.begin))
+    for k, x in zip(range(0, len(sample), step), near):
+        own = [i - k for i in range(k, k + len(x)) if i in once]
+        if own and len(books.begin):
+            meets += in_dense(x[own], home[k : k + len(x)][own], books, least)[1].sum(axis=0)
+    books.blocks = np.maximum(1, np.ceil(np.concatenate([share, meets / max(1, len(sample))]) * n / TILE)).astype(np.int32)
     return books
 
 
 def beam_codes(x: np.ndarray, home: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray]:
     """(codes, scale): the beam search's best codes of x - coarse[home], and what makes their product with a query an estimate without bias."""
     n = len(x)
-    dots = x @ books.fine.T - books.cross[home]  # of the residual
+    dots = x @ books.fine.T - books.cross(home)  # of the residual
     half = 0.5 * (books.fine * books.fine).sum(1)
     score = np.zeros((n, 1), np.float32)
     used = np.zeros((n, 1, BOOKS * WORDS), np.float32)
@@ -149,7 +189,7 @@ def beam_codes(x: np.ndarray, home: np.ndarray, books: Books) -> tuple[np.ndarra
     best = np.argmax(score, axis=1)
     codes = codes[np.arange(n), best]
     own = dots[np.arange(n)[:, None], codes + np.arange(BOOKS) * WORDS].sum(1)  # residual . its approximation
-    rest = 1.0 - 2 * (x * books.coarse[home]).sum(1) + (books.coarse[home] ** 2).sum(1)  # |residual|^2
+    rest = 1.0 - 2 * (x * books.word(home)).sum(1) + 2 * books.half[home]  # |residual|^2
     scale = np.where(own > 1e-6, rest / np.maximum(own, 1e-6), 0.0)
     return codes.astype(np.uint8), np.clip(scale, 0.0, 50.0).astype(np.float32)
 
@@ -162,7 +202,7 @@ def estimate(q: np.ndarray, home: np.ndarray, codes: np.ndarray, scale: np.ndarr
         out += np.take(lut[:, m * WORDS : (m + 1) * WORDS], codes[:, m], axis=1)
     out *= scale
     lists, at = np.unique(home, return_inverse=True)
-    out += np.take(q @ books.coarse[lists].T, at, axis=1)
+    out += np.take(q @ books.word(lists).T, at, axis=1)
     return out
 
 
@@ -250,11 +290,12 @@ def _enter(sent, entries: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books: Books = sent.value
-        near = min(entries, len(books.coarse))
+        near = min(entries, books.lists)
+        step = max(64, min(1000, (1 << 22) // books.lists))
         seen: set[int] = set()
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                ids, x, h = _usable(whole.slice(start, 1000))
+            for start in range(0, whole.num_rows, step):
+                ids, x, h = _usable(whole.slice(start, step))
                 new = []
                 for i, k in enumerate(h[:, 0].tolist()):  # equal vectors once per task
                     if k not in seen:
@@ -264,15 +305,15 @@ def _enter(sent, entries: int, least: float):
                     continue
                 ids, raw, h = ids[new], x[new], h[new]
                 x = _unit(raw)
-                fit = x @ books.coarse.T - 0.5 * (books.coarse * books.coarse).sum(1)
+                fit = books.fit(x)
                 home = np.argmax(fit, axis=1)
                 own, meets = in_dense(fit, home, books, least)
                 at = np.flatnonzero(own >= 0)
                 if len(at):
-                    yield rows(len(books.coarse) + own[at], True, ids[at], h[at], home[at], [raw[i].tobytes() for i in at], books)
+                    yield rows(books.lists + own[at], True, ids[at], h[at], home[at], [raw[i].tobytes() for i in at], books)
                 at, groups = np.nonzero(meets)
                 if len(at):
-                    yield rows(len(books.coarse) + groups, False, ids[at], h[at], np.where(own[at] < 0, -1, home[at]), [raw[i].tobytes() for i in at], books)
+                    yield rows(books.lists + groups, False, ids[at], h[at], np.where(own[at] < 0, -1, home[at]), [raw[i].tobytes() for i in at], books)
                 rest = np.flatnonzero(own < 0)
                 if not len(rest):
                     continue
@@ -282,7 +323,7 @@ def _enter(sent, entries: int, least: float):
                 yield rows(home, True, ids, h, home, [r.tobytes() for r in x.astype(np.float16)], books)
                 row = np.repeat(np.arange(len(x)), near)
                 lists = top.ravel()
-                signs, length = _signs(x[row], books.coarse[lists])
+                signs, length = _signs(x[row], books.word(lists))
                 blob = np.concatenate([codes[row], scale[row, None].view(np.uint8), length.astype(np.float32)[:, None].view(np.uint8), signs], axis=1)
                 yield rows(lists, False, ids[row], h[row], home[row], [r.tobytes() for r in blob], books)
 
@@ -315,7 +356,7 @@ def _search(sent, least: float, k: int):
         xs = {r[2]: r for r in rows if not r[0]}
         if not qs or not xs:
             return None
-        if rows[0][4] >= len(books.coarse):
+        if rows[0][4] >= books.lists:
             return dense(list(qs.values()), list(xs.values()))
         qid, xid = (np.array([r[1] for r in d.values()]) for d in (qs, xs))
         qh, xh = (np.array([r[2] for r in d.values()]) for d in (qs, xs))
@@ -323,7 +364,7 @@ def _search(sent, least: float, k: int):
         blob = np.frombuffer(b"".join(r[5] for r in xs.values()), np.uint8).reshape(len(xs), -1)
         codes, (scale, length) = blob[:, :BOOKS], blob[:, BOOKS : BOOKS + 8].copy().view(np.float32).T
         home = np.array([r[3] for r in xs.values()])
-        base = books.coarse[rows[0][4]]
+        base = books.word(rows[0][4])
         q_signs, q_length = _signs(q, base)
         pack = lambda m: np.pad(m, ((0, 0), (0, -m.shape[1] % 8))).view(np.uint64)
         q_signs, x_signs = pack(q_signs), pack(np.ascontiguousarray(blob[:, BOOKS + 8 :]))
@@ -420,7 +461,7 @@ def fit(rows: DataFrame, n: int, seed: int = 7, sample: int = TRAIN, least: floa
     got = [_usable(b)[1] for b in part.select("id", "v").toArrow().to_batches() if b.num_rows]
     x = _unit(np.concatenate(got)) if sum(map(len, got)) else np.eye(1, DIM, dtype=np.float32)
     lists = 1 << max(0, round(math.log2(2 * math.sqrt(max(1, n)))))
-    return train(x, max(1, min(lists, len(x) // 8)), n, least=least)
+    return train(x, lists if len(x) >= 8 else 1, n, least=least)
 
 
 def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, k: int = K) -> tuple[DataFrame, DataFrame]:

@@ -125,3 +125,28 @@ def test_nearest_among_a_third_of_near_copies(spark):
     s[np.arange(len(s)), np.arange(len(s)) * 20] = -2
     want = {(20 * i, n + 1): int(b) for i, row in enumerate(s) for n, b in enumerate(np.lexsort((np.arange(len(x)), -row))[:5])}
     assert got == want
+
+
+def test_more_lists_than_words_of_one_codebook(spark, sf, monkeypatch):
+    """The second coarse codebook, which production sizes beyond two million rows need, finds the same."""
+    rows = [(r.id, r.embedding) for r in table(spark, sf, "chunks").select("id", "embedding").collect()]
+    want = brute(rows, 0.85)
+    monkeypatch.setattr(V, "PER_WORD", 40)
+    sizes = []
+    train = V.train
+    monkeypatch.setattr(V, "train", lambda *a, **k: sizes.append(train(*a, **k)) or sizes[-1])
+    got = {tuple(r) for r in V.p6_found(spark, sf).collect()}
+    assert len(sizes[0].sub) >= 4 and sizes[0].lists == len(sizes[0].top) * len(sizes[0].sub)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_summed_codewords():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(500, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = V.train(x, 200, 500)
+    lists = np.arange(books.lists)
+    c = books.coarse
+    assert len(books.top) == 62 and len(books.sub) == 4 and len(c) == 248
+    assert np.allclose(books.fit(x), x @ c.T - 0.5 * (c * c).sum(1), atol=1e-5)
+    assert np.allclose(books.cross(lists), c @ books.fine.T, atol=1e-5) and np.allclose(2 * books.half, (c * c).sum(1), atol=1e-5)
