@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.text import STOP_WORDS
+from skein.operators.gold import contained, terms_of
+from skein.session import materialize
 
 MAX_CANDIDATES, MAX_LIKE = 100, 30
 
@@ -41,12 +43,16 @@ def seed_exact(candidates: DataFrame, entities: DataFrame, limit: int) -> DataFr
 
 
 def seed_like(candidates: DataFrame, entities: DataFrame, exact: DataFrame, limit: int) -> DataFrame:
-    """(query_id, entity_id, rank): where exact matches leave room, entities whose name contains a candidate, as ILIKE does (_ and % in a candidate match anything)."""
+    """(query_id, entity_id, rank): where exact matches leave room, entities whose name contains a candidate, as ILIKE does (_ and % in a candidate match anything).
+
+    The candidates are a stated set; all names are scanned once for them.
+    """
     left = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
     c = candidates.join(left, "query_id", "left").filter(F.coalesce("have", F.lit(0)) < limit).select("query_id", "candidate", (F.lit(limit) - F.coalesce("have", F.lit(0))).alias("room"))
-    names = entities.select(F.col("id").alias("entity_id"), F.length("canonical_name").alias("len"), "canonical_name", "display_name")
-    like = F.expr("canonical_name ILIKE concat('%', candidate, '%') OR display_name ILIKE concat('%', candidate, '%')")
-    hit = names.join(c, like).join(exact.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti").select("query_id", "entity_id", "len", "room").distinct()
+    names = entities.select(F.col("id").alias("entity_id"), F.explode(F.array("canonical_name", "display_name")).alias("name"))
+    found = contained(names, "entity_id", "name", c.select("query_id", F.col("candidate").alias("name")), like=True)
+    hit = found.withColumnRenamed("chunk_id", "entity_id").join(exact.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
+    hit = hit.join(c.select("query_id", "room").distinct(), "query_id").join(entities.select(F.col("id").alias("entity_id"), F.length("canonical_name").alias("len")), "entity_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("len"), "entity_id")
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("room")).select("query_id", "entity_id", "rank")
 
@@ -58,35 +64,53 @@ def named_edges(edges: DataFrame, entities: DataFrame, allowed: DataFrame) -> Da
     return seen.join(name("source"), "source_entity_id").join(name("target"), "target_entity_id").select("id", "source_entity_id", "source_name", "relationship_type", "target_entity_id", "target_name", "document_id", "chunk_id", "page_number")
 
 
-def incident(edges: DataFrame, seeds: DataFrame, limit: int | None, exclude: DataFrame | None = None) -> DataFrame:
-    """Per query the first `limit` edges, by id, with an end among its seeds (query_id, entity_id).
+def with_names(found: DataFrame, entities: DataFrame | None) -> DataFrame:
+    """Edges with the canonical names of their ends; edges of unknown entities are dropped.  Without entities the edges have names already."""
+    if entities is None:
+        return found
+    name = lambda side: entities.select(F.col("id").alias(f"{side}_entity_id"), F.col("canonical_name").alias(f"{side}_name"))
+    return found.join(name("source"), "source_entity_id").join(name("target"), "target_entity_id")
+
+
+def first_edges(edges: DataFrame, ends: DataFrame, limit: int) -> DataFrame:
+    """(entity_id, edge): of each entity among `ends` (entity_id) its first `limit` edges by id.
+
+    The cut happens before the shuffle, too, so an entity that holds a third
+    of all edges sends no more than `limit` from any task.
+    """
+    both = edges.select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("entity_id"), *edges.columns)
+    near = both.join(ends.select("entity_id").distinct(), "entity_id", "left_semi")
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy("entity_id").orderBy("id"))).filter(F.col("_n") <= limit).drop("_n")
+
+
+def incident(edges: DataFrame, seeds: DataFrame, limit: int, exclude: DataFrame | None = None, excluded: int = 0) -> DataFrame:
+    """Per query the first `limit` edges, by id, with an end among its seeds (query_id, entity_id), without those of `exclude`, which has at most `excluded` a query.
 
-    The "source or target" condition runs as two equal joins, so no edge is
-    compared with every seed; the id cut happens map-side.
+    A query's first edges are among the first ones of its seeds, so no seed's
+    edges are joined beyond those.
     """
-    parts = [edges.join(seeds.select("query_id", F.col("entity_id").alias(f"{side}_entity_id")), f"{side}_entity_id") for side in ("source", "target")]
-    cols = ["query_id", *edges.columns]
-    hit = parts[0].select(*cols).unionByName(parts[1].select(*cols)).dropDuplicates(["query_id", "id"])
+    hit = first_edges(edges, seeds, limit + excluded).join(seeds.select("query_id", "entity_id"), "entity_id").select("query_id", *edges.columns).dropDuplicates(["query_id", "id"])
     if exclude is not None:
         hit = hit.join(exclude.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    if limit is None:
-        return hit
     return hit.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("_n") <= limit).drop("_n")
 
 
-def hop1(edges: DataFrame, seeds: DataFrame, max_results: int) -> DataFrame:
-    """The seeds' edges with their path and, per edge, the end that is not a seed (null if both are)."""
-    got = incident(edges, seeds, max_results)
+def _fact() -> Column:
+    return F.concat("source_name", F.lit(" --["), "relationship_type", F.lit("]--> "), "target_name")
+
+
+def hop1(edges: DataFrame, seeds: DataFrame, max_results: int, entities: DataFrame | None = None) -> DataFrame:
+    """The seeds' edges with their path and, per edge, the end that is not a seed (null if both are).  Names come with the edges, or for the edges found from `entities`."""
+    got = with_names(incident(edges, seeds, max_results), entities)
     s = seeds.select("query_id", F.col("entity_id").alias("target_entity_id"), F.lit(True).alias("_t"))
     o = seeds.select("query_id", F.col("entity_id").alias("source_entity_id"), F.lit(True).alias("_s"))
     got = got.join(o, ["query_id", "source_entity_id"], "left").join(s, ["query_id", "target_entity_id"], "left")
     near = F.when(F.col("_s").isNull(), F.col("source_entity_id")).when(F.col("_t").isNull(), F.col("target_entity_id"))
-    path = F.concat("source_name", F.lit(" --["), "relationship_type", F.lit("]--> "), "target_name")
-    return got.select("query_id", "id", "source_entity_id", "source_name", "relationship_type", "target_entity_id", "target_name", "document_id", "chunk_id", "page_number", path.alias("path"), near.alias("neighbour"))
+    return got.select("query_id", "id", "source_entity_id", "source_name", "relationship_type", "target_entity_id", "target_name", "document_id", "chunk_id", "page_number", _fact().alias("path"), near.alias("neighbour"))
 
 
-def hop2(edges: DataFrame, seeds: DataFrame, first: DataFrame, max_results: int, per_anchor: int = 5) -> DataFrame:
-    """Edges one step beyond the neighbours of `first`, within the budget that hop 1 left.
+def hop2(edges: DataFrame, seeds: DataFrame, first: DataFrame, max_results: int, per_anchor: int = 5, entities: DataFrame | None = None) -> DataFrame:
+    """Edges one step beyond the neighbours of `first`, within the budget that hop 1 left; lead is the fact that leads to the anchor.
 
     A batch of edges by id is cut first, then edges back to a seed or to the
     anchor's own parent are dropped, then each anchor keeps its first
@@ -95,10 +119,11 @@ def hop2(edges: DataFrame, seeds: DataFrame, first: DataFrame, max_results: int,
     used = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("used"))
     parents = first.filter(F.col("neighbour").isNotNull()).groupBy("query_id", "neighbour").agg(F.min_by(F.struct(F.col("path").alias("parent_path"), F.when(F.col("neighbour") == F.col("source_entity_id"), F.col("target_entity_id")).otherwise(F.col("source_entity_id")).alias("parent")), "id").alias("p"))
     near = parents.select("query_id", F.col("neighbour").alias("entity_id"), "p.parent_path", "p.parent")
-    got = incident(edges, near.select("query_id", "entity_id"), None, first).join(used, "query_id")
+    got = incident(edges, near.select("query_id", "entity_id"), 100, first, max_results).join(used, "query_id")
     got = got.withColumn("budget", F.lit(max_results) - F.col("used")).filter("budget > 0")
     batch = F.least(F.greatest(2 * F.col("budget"), F.lit(50)), F.lit(100))
     got = got.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("_n") <= batch)
+    got = with_names(got, entities)
     a = near.select("query_id", F.col("entity_id").alias("source_entity_id"), F.struct("parent_path", "parent").alias("_sa"))
     b = near.select("query_id", F.col("entity_id").alias("target_entity_id"), F.struct("parent_path", "parent").alias("_ta"))
     got = got.join(a, ["query_id", "source_entity_id"], "left").join(b, ["query_id", "target_entity_id"], "left")
@@ -109,23 +134,39 @@ def hop2(edges: DataFrame, seeds: DataFrame, first: DataFrame, max_results: int,
     got = got.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("_n") <= F.col("budget"))
     far = F.when(F.col("anchor") == F.col("source_entity_id"), F.col("target_name")).otherwise(F.col("source_name"))
     path = F.concat("_p.parent_path", F.lit(" -> "), "relationship_type", F.lit(" -> "), far)
-    return got.select("query_id", "id", "source_entity_id", "source_name", "relationship_type", "target_entity_id", "target_name", "document_id", "chunk_id", "page_number", path.alias("path"), "anchor")
+    return got.select("query_id", "id", "source_entity_id", "source_name", "relationship_type", "target_entity_id", "target_name", "document_id", "chunk_id", "page_number", path.alias("path"), "anchor", _fact().alias("fact"), F.col("_p.parent_path").alias("lead"))
+
 
+def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 1, max_results: int = 50, entities: DataFrame | None = None) -> DataFrame:
+    """(query_id, hop, id, path, fact, lead, ...) of one or two hops; another depth, or no room for a result, raises.
 
-def traverse(edges: DataFrame, seeds: DataFrame, depth: int = 1, max_results: int = 50) -> DataFrame:
-    """(query_id, hop, id, path, ...) of one or two hops; another depth, or no room for a result, raises."""
+    fact is the edge itself; of a second hop, lead is the edge before it.
+    """
     if depth not in (1, 2):
         raise ValueError("depth must be 1 or 2")
     if max_results <= 0:
         raise ValueError("max_results must be positive")
-    first = hop1(edges, seeds, max_results)
-    cols = ["query_id", "id", "source_entity_id", "relationship_type", "target_entity_id", "document_id", "chunk_id", "page_number", "path"]
-    out = first.select(*cols, F.lit(1).alias("hop"))
+    first = hop1(edges, seeds, max_results, entities)
+    cols = ["query_id", "id", "source_entity_id", "source_name", "relationship_type", "target_entity_id", "target_name", "document_id", "chunk_id", "page_number", "path"]
+    if depth == 2:
+        first = materialize(first)
+    out = first.select(*cols, F.col("path").alias("fact"), F.lit(None).cast("string").alias("lead"), F.lit(1).alias("hop"))
     if depth == 2:
-        out = out.unionByName(hop2(edges, seeds, first, max_results).select(*cols, F.lit(2).alias("hop")))
+        out = out.unionByName(hop2(edges, seeds, first, max_results, entities=entities).select(*cols, "fact", "lead", F.lit(2).alias("hop")))
     return out
 
 
+def retrieval_status(queries: DataFrame, seeds: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, status, seed_count, relationship_count, connected_entity_count, source_chunk_count, document_count) of every query (query_id, text): empty_query, no_seed_entities_found or success."""
+    n = seeds.groupBy("query_id").agg(F.count_distinct("entity_id").alias("seed_count"))
+    r = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("relationship_count"), F.count_distinct("chunk_id").alias("source_chunk_count"), F.count_distinct("document_id").alias("document_count"))
+    c = connected(found, seeds).groupBy("query_id").agg(F.count(F.lit(1)).alias("connected_entity_count"))
+    counts = ("seed_count", "relationship_count", "connected_entity_count", "source_chunk_count", "document_count")
+    j = queries.select("query_id", (F.length(F.trim(F.coalesce("text", F.lit("")))) == 0).alias("_blank")).join(n, "query_id", "left").join(r, "query_id", "left").join(c, "query_id", "left")
+    status = F.when(F.col("_blank"), "empty_query").when(F.col("seed_count").isNull(), "no_seed_entities_found").otherwise("success")
+    return j.select("query_id", status.alias("status"), *[F.when(F.col("_blank"), 0).otherwise(F.coalesce(x, F.lit(0))).cast("long").alias(x) for x in counts])
+
+
 def connected(found: DataFrame, seeds: DataFrame) -> DataFrame:
     """(query_id, entity_id): ends of found edges that are no seeds."""
     ends = found.select("query_id", F.explode(F.array("source_entity_id", "target_entity_id")).alias("entity_id")).distinct()
@@ -149,9 +190,7 @@ def link_aliases(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     q = queries.select("query_id", F.lower("text").alias("text"))
     codes = q.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([a-z0-9]+(?:-[a-z0-9]+)+)"), 1))).alias("term"))
     by_code = codes.join(aliases, "term").select("query_id", "canonical", F.lit("code_alias").alias("method"), F.lit(1.0).alias("score"), F.length("term").alias("len"), F.lit(0).alias("prio"))
-    symbol = F.col("term").rlike("[^a-z ]")
-    quoted = F.concat(F.lit(r"\b\Q"), "term", F.lit(r"\E\b"))
-    hit = aliases.join(q, F.when(symbol, F.contains("text", "term")).otherwise(F.contains("text", "term") & F.expr(r"regexp_like(text, concat('\\b\\Q', term, '\\E\\b'))")))
+    hit = terms_of(queries, aliases.select("term", "canonical")).filter(F.col("whole") | F.col("term").rlike("[^a-z ]"))
     exact = F.col("term") == F.col("canonical")
     by_term = hit.select("query_id", "canonical", F.when(exact, "exact").otherwise("alias").alias("method"), F.when(exact, 1.0).otherwise(0.98).alias("score"), F.length("term").alias("len"), F.when(exact, 1).otherwise(2).alias("prio"))
     order = Window.partitionBy("query_id", "canonical").orderBy("prio", F.desc("len"))

@@ -91,7 +91,7 @@ _H1 = f"{_SEED}, {_NAMED}, h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PA
 
 def _graph_row(spark, d):
     seeds = _seeds(spark, d)
-    hop = materialize(graph_query.hop1(_edges(spark, d), seeds, 20))
+    hop = materialize(graph_query.hop1(_edges(spark, d), seeds, 20, table(spark, d, "entities")))
     g = hop.filter("chunk_id IS NOT NULL").groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("graph"))
     keys = hop.groupBy("query_id").agg(F.collect_set(F.concat_ws("|", F.lower(F.trim("source_name")), "relationship_type", F.lower(F.trim("target_name")))).alias("edges"))
     n = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("seeds"))
@@ -140,10 +140,10 @@ def generation_metrics(spark, d):
     return j.select("query_id", *evaluation.generation_metrics(F.col("expected_answer"), F.col("expected_entities"), F.col("ctx"), F.col("none")))
 
 
-@query("SELECT e.id AS query_id, c.id AS chunk_id FROM (SELECT DISTINCT id, lower(unnest(expected_entities)) AS name FROM eval_questions) e JOIN chunks c ON contains(lower(c.content), e.name) WHERE length(e.name) >= 5 GROUP BY ALL")
+@query("SELECT e.id AS query_id, c.id AS chunk_id FROM (SELECT DISTINCT id, lower(unnest(expected_entities)) AS name FROM eval_questions) e JOIN chunks c ON contains(lower(c.content), e.name) WHERE length(e.name) > 0 GROUP BY ALL")
 def gold_mapping(spark, d):
     """Chunks that hold an expected entity: the questions' names, a stated set, are looked up in every chunk by one automaton per worker."""
     from skein.operators.gold import contained
 
     q = table(spark, d, "eval_questions").select(F.col("id").alias("query_id"), F.explode("expected_entities").alias("name"))
-    return contained(table(spark, d, "chunks"), "id", "content", q.filter(F.length("name") >= 5))
+    return contained(table(spark, d, "chunks"), "id", "content", q)

@@ -34,7 +34,8 @@ def _entity_candidates(spark, d):
 
 
 def _edges(spark, d):
-    return graph_query.named_edges(table(spark, d, "relationships"), table(spark, d, "entities"), allowed_documents(spark, d))
+    """Edges of documents that the caller may see, without names."""
+    return table(spark, d, "relationships").select("id", "source_entity_id", "relationship_type", "target_entity_id", "document_id", "chunk_id", "page_number").join(allowed_documents(spark, d), "document_id", "left_semi")
 
 
 # Seeds: the source of the first relationship of each question's document, which always exists.
@@ -91,20 +92,20 @@ def _seeds(spark, d):
 
 
 def _hops(spark, d):
-    edges, seeds = materialize(_edges(spark, d)), _seeds(spark, d)
-    first = materialize(graph_query.hop1(edges, seeds, 20))
+    edges, seeds = _edges(spark, d), _seeds(spark, d)
+    first = materialize(graph_query.hop1(edges, seeds, 20, table(spark, d, "entities")))
     return edges, seeds, first
 
 
 @query(f"WITH {_HOP1} SELECT query_id, id, path, neighbour FROM hop1")
 def hop1_edges(spark, d):
-    return graph_query.hop1(_edges(spark, d), _seeds(spark, d), 20).select("query_id", "id", "path", "neighbour")
+    return graph_query.hop1(_edges(spark, d), _seeds(spark, d), 20, table(spark, d, "entities")).select("query_id", "id", "path", "neighbour")
 
 
 @query(f"WITH {_HOP2} SELECT query_id, id, path, anchor FROM hop2")
 def hop2_edges_capped(spark, d):
     edges, seeds, first = _hops(spark, d)
-    return graph_query.hop2(edges, seeds, first, 50).select("query_id", "id", "path", "anchor")
+    return graph_query.hop2(edges, seeds, first, 50, entities=table(spark, d, "entities")).select("query_id", "id", "path", "anchor")
 
 
 @query(f"WITH {_HOP1}, ends AS (SELECT DISTINCT query_id, unnest([source_entity_id, target_entity_id]) AS entity_id FROM hop1) SELECT query_id, entity_id FROM ends WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = ends.query_id AND s.entity_id = ends.entity_id)")
@@ -179,7 +180,7 @@ def model_usage(spark, d):
     return graph_query.type_histogram(table(spark, d, "chunk_progress"), "model_used")
 
 
-_ALIAS = "al AS (SELECT DISTINCT lower(display_name) AS term, lower(canonical_name) AS canonical FROM entities WHERE length(trim(display_name)) >= 5 UNION SELECT DISTINCT lower(canonical_name), lower(canonical_name) FROM entities WHERE length(trim(canonical_name)) >= 5)"
+_ALIAS = "al AS (SELECT DISTINCT lower(display_name) AS term, lower(canonical_name) AS canonical FROM entities WHERE length(trim(display_name)) > 0 UNION SELECT DISTINCT lower(canonical_name), lower(canonical_name) FROM entities WHERE length(trim(canonical_name)) > 0)"
 
 
 @query(f"""WITH {_SEED}, {_ALIAS}, q AS (SELECT s.query_id, lower('Who works with ' || e.display_name || '?') AS text FROM seeds s JOIN entities e ON e.id = s.entity_id),
@@ -192,7 +193,7 @@ def alias_linking(spark, d):
     asked = _seeds(spark, d).join(table(spark, d, "entities").select(F.col("id").alias("entity_id"), "display_name"), "entity_id").select("query_id", F.concat(F.lit("Who works with "), "display_name", F.lit("?")).alias("text"))
     e = table(spark, d, "entities")
     names = e.select(F.lower("display_name").alias("term"), F.lower("canonical_name").alias("canonical")).unionByName(e.select(F.lower("canonical_name").alias("term"), F.lower("canonical_name").alias("canonical")))
-    return graph_query.link_aliases(asked, names.filter(F.length(F.trim("term")) >= 5).distinct())
+    return graph_query.link_aliases(asked, names.filter(F.length(F.trim("term")) > 0).distinct())
 
 
 @query(f"WITH {_SEED} SELECT DISTINCT s.query_id, s.entity_id FROM seeds s WHERE EXISTS (SELECT 1 FROM relationships r JOIN documents d ON d.doc_id = r.document_id WHERE {ACL} AND (r.source_entity_id = s.entity_id OR r.target_entity_id = s.entity_id))")
