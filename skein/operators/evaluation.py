@@ -78,9 +78,9 @@ def verdict(h3: Column, v3: Column, h5: Column, v5: Column, hm: Column, vm: Colu
     return F.when((h3 > v3) | (h5 > v5) | (hm > vm) | (unique > 0), "hybrid_won").when((v3 > h3) | (v5 > h5) | (vm > hm), "vector_won").otherwise("tie")
 
 
-def summary(per_question: DataFrame, group: str, metrics: list[str]) -> DataFrame:
-    """Means per group and over all (group null), rounded to four places, from one rollup."""
-    return per_question.rollup(group).agg(F.count(F.lit(1)).alias("questions"), *[F.round(F.avg(m), 4).alias(m) for m in metrics])
+def summary(per_question: DataFrame, group: str, metrics: list[str], verdict: str | None = None, verdicts: tuple[str, ...] = ()) -> DataFrame:
+    """Means per group and over all (group null), rounded to four places, and how often each verdict fell, from one rollup."""
+    return per_question.rollup(group).agg(F.count(F.lit(1)).alias("questions"), *[F.round(F.avg(m), 4).alias(m) for m in metrics], *[F.count_if(F.col(verdict) == v).alias(v) for v in verdicts])
 
 
 def macro_average(per_question: DataFrame, suite: str, metrics: list[str]) -> DataFrame:

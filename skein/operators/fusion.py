@@ -35,15 +35,17 @@ def rrf(lists: Sequence[tuple[str, DataFrame]], k: int = RRF_K, top_k: int | Non
 def fuse_evidence(vector: DataFrame, graph: DataFrame, allowed: DataFrame) -> DataFrame:
     """(query_id, id, source, retrieved_by, vector_rank, graph_rank) of what either branch found and the caller may see.
 
-    An item of both branches counts once, as hybrid_graph_vector.
+    An item of both branches counts once, as hybrid_graph_vector.  Where the
+    graph branch has facts, they come along.
     """
+    more = ["facts"] if "facts" in graph.columns else []
     v = vector.select("query_id", "id", F.col("rank").alias("vector_rank")).dropDuplicates(["query_id", "id"])
-    g = graph.select("query_id", "id", F.col("rank").alias("graph_rank")).dropDuplicates(["query_id", "id"])
+    g = graph.select("query_id", "id", F.col("rank").alias("graph_rank"), *more).dropDuplicates(["query_id", "id"])
     both = v.join(g, ["query_id", "id"], "full_outer").join(allowed.select(F.col(allowed.columns[0]).alias("id")), "id", "left_semi")
     has_v, has_g = F.col("vector_rank").isNotNull(), F.col("graph_rank").isNotNull()
     source = F.when(has_v & has_g, "hybrid_graph_vector").when(has_v, "vector").otherwise("graph")
     by = F.array_join(F.array_compact(F.array(F.when(has_v, F.lit("vector")), F.when(has_g, F.lit("graph")))), ",")
-    return both.select("query_id", "id", source.alias("source"), by.alias("retrieved_by"), "vector_rank", "graph_rank")
+    return both.select("query_id", "id", source.alias("source"), by.alias("retrieved_by"), "vector_rank", "graph_rank", *more)
 
 
 def fusion_stats(fused: DataFrame) -> DataFrame:

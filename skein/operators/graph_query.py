@@ -22,9 +22,12 @@ def keywords(c: Column) -> Column:
     capital = F.transform(F.regexp_extract_all(c, F.lit(r"([A-Z0-9][a-zA-Z0-9_\-./]*(?:\s+[A-Z0-9][a-zA-Z0-9_\-./]*)*)"), 1), trim)
     words = F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}_\s\-./]", " "), r"\s+"), lambda w: w != "")
     runs = []
+
+    def slices(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.slice(words, i, n))
+
     for n in range(1, 5):
-        ok = F.sequence(F.lit(0), F.size(words) - n)
-        grams = F.when(F.size(words) >= n, F.transform(ok, lambda i, n=n: F.slice(words, i + 1, n))).otherwise(F.array().cast("array<array<string>>"))
+        grams = F.when(F.size(words) >= n, slices(n)).otherwise(F.array().cast("array<array<string>>"))
         kept = F.filter(grams, lambda g: F.exists(g, lambda w: ~F.array_contains(stop, F.lower(w))))
         runs.append(F.transform(kept, lambda g: trim(F.array_join(g, " "))))
     every = F.array_distinct(F.concat(quoted, capital, *runs))
@@ -57,6 +60,16 @@ def seed_like(candidates: DataFrame, entities: DataFrame, exact: DataFrame, limi
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("room")).select("query_id", "entity_id", "rank")
 
 
+def find_seeds(candidates: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
+    """(query_id, entity_id) of candidates (query_id, pos, candidate), pos being their order: exact names of the first MAX_CANDIDATES, then, where there is room, names that contain one of the first MAX_LIKE short ones (3 to 35 characters, up to three words)."""
+    order = Window.partitionBy("query_id").orderBy("pos", "candidate")
+    first = candidates.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MAX_CANDIDATES).drop("_n")
+    exact = materialize(seed_exact(first, entities, limit))
+    short = F.length("candidate").between(3, 35) & (F.size(F.filter(F.split("candidate", r"\s+"), lambda w: w != "")) <= 3)
+    few = candidates.filter(short).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MAX_LIKE)
+    return exact.unionByName(seed_like(few.select("query_id", "candidate"), entities, exact, limit)).select("query_id", "entity_id")
+
+
 def named_edges(edges: DataFrame, entities: DataFrame, allowed: DataFrame) -> DataFrame:
     """Edges of documents that the caller may see, with their ends' names."""
     name = lambda side: entities.select(F.col("id").alias(f"{side}_entity_id"), F.col("canonical_name").alias(f"{side}_name"))

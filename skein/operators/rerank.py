@@ -22,6 +22,12 @@ def graph_context(edges: DataFrame, key: str = "chunk_id") -> DataFrame:
     return lines.select("id", F.concat(F.lit("[GRAPH PATH]\n"), F.array_join("lines", "\n")).alias("header"))
 
 
+def header(facts: str) -> Column:
+    """Heading of a candidate's own facts, equal ones once, in their order; empty without any."""
+    lines = F.array_distinct(F.coalesce(facts, F.array().cast("array<string>")))
+    return F.when(F.size(lines) > 0, F.concat(F.lit("[GRAPH PATH]\n"), F.array_join(lines, "\n"))).otherwise("")
+
+
 def candidate_text(content: Column, header: Column, graph_aware: bool) -> Column:
     """What the scorer reads: the content, led by the graph header if there is one and the mode asks for it."""
     if not graph_aware:
@@ -45,11 +51,19 @@ def model_score(model: Callable[[list[tuple[str, str]]], list[float]]) -> Callab
     return score
 
 
-def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_score, top_k: int = TOP) -> DataFrame:
-    """(query_id, id, reranker_score, rank, initial_rank) of (query_id, query, id, text, rank): scores are rounded before they are sorted, ties keep their order."""
-    scored = candidates.select("query_id", "id", F.col("rank").alias("initial_rank"), F.round(scorer(F.col("query"), F.col("text")), 6).alias("reranker_score"))
+def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_score, top_k: int = TOP, mode: str = "baseline", telemetry: bool = False) -> DataFrame:
+    """(query_id, id, reranker_score, rank, initial_rank) of (query_id, query, id, text, rank): scores are rounded before they are sorted, ties keep their order.
+
+    In mode graph_aware the scorer reads the candidate's header, if there is a
+    column of that name, before its text.  With telemetry come the mode, the
+    lengths of what was read and of the text, and whether they differ.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = candidate_text(text, F.col("header"), mode == "graph_aware") if "header" in candidates.columns else text
+    more = [F.lit(mode).alias("reranking_mode"), F.length(own).alias("input_char_length"), F.length(text).alias("base_char_length"), (own != text).alias("graph_augmented")] if telemetry else []
+    scored = candidates.select("query_id", "id", F.col("rank").alias("initial_rank"), F.round(scorer(F.col("query"), own), 6).alias("reranker_score"), *more)
     order = Window.partitionBy("query_id").orderBy(F.desc("reranker_score"), "initial_rank", "id")
     ranked = scored.withColumn("rank", F.row_number().over(order))
     if top_k and top_k > 0:
         ranked = ranked.filter(F.col("rank") <= top_k)
-    return ranked.select("query_id", "id", "reranker_score", "rank", "initial_rank")
+    return ranked.select("query_id", "id", "reranker_score", "rank", "initial_rank", *scored.columns[4:])

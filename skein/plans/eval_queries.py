@@ -113,16 +113,6 @@ def graph_metrics(spark, d):
     return j.select("query_id", *evaluation.graph_metrics(F.col("found"), F.col("graph"), F.col("gold"), F.col("seeds"), F.col("wanted"), F.col("edges")))
 
 
-@query(f"""WITH {cosine(10, False)}, {bm25(10, False)}, {_GOLD}, {_sql_found('vec')}, v AS (SELECT query_id, {_METRICS} FROM f),
-    f2 AS (SELECT g.query_id, g.category, g.gold, coalesce(l.found, []) AS found FROM gold g LEFT JOIN (SELECT query_id, list(id ORDER BY rank) AS found FROM bm25 GROUP BY query_id) l USING (query_id)), h AS (SELECT query_id, {_METRICS} FROM f2)
-    SELECT query_id, CASE WHEN h.recall_at_3 > v.recall_at_3 OR h.recall_at_5 > v.recall_at_5 OR h.mrr > v.mrr THEN 'hybrid_won' WHEN v.recall_at_3 > h.recall_at_3 OR v.recall_at_5 > h.recall_at_5 OR v.mrr > h.mrr THEN 'vector_won' ELSE 'tie' END AS verdict FROM v JOIN h USING (query_id)""")
-def verdicts(spark, d):
-    """Two systems side by side: dense against lexical candidates."""
-    one = lambda found, p: _with_found(spark, d, found).select("query_id", *[c.alias(f"{p}_{n}") for c, n in ((evaluation.recall_at(F.col("found"), F.col("gold"), 3), "r3"), (evaluation.recall_at(F.col("found"), F.col("gold"), 5), "r5"), (evaluation.mrr(F.col("found"), F.col("gold")), "mrr"))])
-    j = one(_vector(spark, d, 10, False), "v").join(one(_bm25(spark, d, 10, False), "h"), "query_id")
-    return j.select("query_id", evaluation.verdict(F.col("h_r3"), F.col("v_r3"), F.col("h_r5"), F.col("v_r5"), F.col("h_mrr"), F.col("v_mrr"), F.lit(0)).alias("verdict"))
-
-
 _LOW = "lower(trim(expected_answer, ' '))"
 _SAID = f"list_filter(list_transform(string_split_regex({_LOW}, '[.!?\\n]'), lambda s: trim(s, ' ')), lambda s: length(s) > 15)"
 _W = "list_filter(regexp_extract_all(s, '[\\p{L}\\p{N}_]+'), lambda w: length(w) > 3)"

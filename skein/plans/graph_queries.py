@@ -63,13 +63,6 @@ def seed_ilike(spark, d):
     return graph_query.seed_like(_entity_candidates(spark, d), table(spark, d, "entities"), _exact(spark, d), SEEDS)
 
 
-@query()
-def query_keywords(spark, d):
-    """(query_id, pos, keyword) of every question."""
-    k = questions(spark, d).select("query_id", F.posexplode(graph_query.keywords(F.col("text"))).alias("pos", "keyword"))
-    return k
-
-
 _NAMED = f"edges AS (SELECT r.id, r.source_entity_id, s.canonical_name AS source_name, r.relationship_type, r.target_entity_id, t.canonical_name AS target_name, r.document_id, r.chunk_id, r.page_number FROM relationships r JOIN entities s ON s.id = r.source_entity_id JOIN entities t ON t.id = r.target_entity_id WHERE r.document_id IN (SELECT doc_id FROM documents WHERE {ACL}))"
 _HOP1 = f"""{_SEED}, {_NAMED}, h1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM (SELECT DISTINCT s.query_id, e.* FROM edges e JOIN seeds s ON s.entity_id = e.source_entity_id OR s.entity_id = e.target_entity_id)) WHERE n <= 20),
     hop1 AS (SELECT h1.query_id, h1.id, source_entity_id, relationship_type, target_entity_id, document_id, chunk_id, page_number, source_name, target_name, source_name || ' --[' || relationship_type || ']--> ' || target_name AS path,

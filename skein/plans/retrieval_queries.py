@@ -249,25 +249,6 @@ def provenance_badges(spark, d):
     return table(spark, d, "citations").select("query_id", "chunk_id", context.provenance_badge(F.col("retrieved_by")).alias("badge")).distinct()
 
 
-def _evidence(spark, d):
-    """(query_id, id, rank): the fused lexical and dense candidates, then what only the graph branch finds."""
-    found = fusion.rrf([("vector", _vector(spark, d)), ("bm25", _bm25(spark, d))], top_k=rerank.CANDIDATES)
-    fused = fusion.fuse_evidence(found, _graph_branch(spark, d), allowed_chunks(spark, d))
-    return fused.select("query_id", "id", F.coalesce("vector_rank", F.lit(rerank.CANDIDATES) + F.col("graph_rank")).alias("rank"))
-
-
-@query()
-def rag_answer(spark, d):
-    """The whole path: lexical, dense and graph candidates, reranking, packing, and the stand-in answer or the refusal, for every question."""
-    r = _reranked(spark, d, _evidence(spark, d)).select("query_id", F.col("id").alias("chunk_id"), "rank")
-    c = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "page_number", "section", "content")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "filename")
-    k = r.join(c, "chunk_id").join(docs, "document_id")
-    head = context.block(F.col("rank"), F.col("filename"), F.col("page_number"), F.col("section"), F.col("chunk_id"), F.lit(None).cast("array<string>"), F.lit(""))
-    packed = context.pack(k.select("query_id", "rank", "chunk_id", head.alias("head"), "content"))
-    return context.answer(questions(spark, d).withColumnRenamed("text", "query"), context.contexts(packed))
-
-
 _STRIPS = "regexp_replace({}, '^[\\t\\n\\x0b\\f\\r ]+|[\\t\\n\\x0b\\f\\r ]+$', '', 'g')"
 
 
