@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions import ontology, text
-from skein.operators import graph_build, graph_query, skew
+from skein.operators import graph_build, graph_query, skew, store
 from skein.plans.common import ACL, allowed_documents, questions
 from skein.session import materialize
 from skein.sources.tables import table
@@ -276,3 +276,22 @@ def extracted_entity_counts(spark, d):
     x = _extractions(spark, d)
     kept = graph_build.unique_entities(graph_build.extracted_entities(x))
     return kept.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_entities"))
+
+
+@query(f"WITH {_JUDGED}, c AS (SELECT DISTINCT chunk_id FROM r) SELECT c.chunk_id, (SELECT count(*) FROM ends WHERE ends.chunk_id = c.chunk_id) AS entities_upserted, (SELECT count(*) FROM j WHERE j.chunk_id = c.chunk_id AND (why IS NULL OR why = 'self_referential')) AS relationships_inserted FROM c")
+def chunk_graph_counts(spark, d):
+    """What each chunk's extraction result would store."""
+    return store.chunk_graph(_results(spark, d))[2]
+
+
+@query(f"WITH {_JUDGED} SELECT DISTINCT chunk_id, trim(a.canonical_name, ' ') AS source, relationship_type, trim(b.canonical_name, ' ') AS target FROM j JOIN entities a ON a.id = j.s JOIN entities b ON b.id = j.t WHERE why IS NULL OR why = 'self_referential'")
+def chunk_graph_facts(spark, d):
+    """The facts after all extraction results are stored in empty tables."""
+    e, r = store.apply_chunk_graph(store.empty_like(table(spark, d, "entities")), store.empty_like(table(spark, d, "relationships")), _results(spark, d))
+    name = lambda side: e.select(F.col("id").alias(f"{side}_entity_id"), F.col("canonical_name").alias(side))
+    return r.join(name("source"), "source_entity_id").join(name("target"), "target_entity_id").select("chunk_id", "source", "relationship_type", "target").distinct()
+
+
+def _results(spark, d):
+    c = table(spark, d, "chunks").select(F.col("id").alias("chunk_id"), "document_id", "page_number")
+    return _extractions(spark, d).join(c, "chunk_id")

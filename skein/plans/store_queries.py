@@ -36,13 +36,42 @@ def entity_upsert(spark, d):
     return out.select("id", "canonical_name", "entity_type", "display_name", F.coalesce(F.array_join(F.array_sort(F.map_keys("metadata")), ","), F.lit("")).alias("keys"))
 
 
-@query("""WITH u AS (SELECT *, 0 AS gen FROM (SELECT id, source_entity_id, target_entity_id, relationship_type, chunk_id, document_id FROM relationships) UNION ALL SELECT id + 10000000, source_entity_id, target_entity_id, relationship_type, chunk_id, document_id, 1 FROM relationships WHERE id % 3 = 0)
-    SELECT id, source_entity_id, target_entity_id, relationship_type, chunk_id, document_id FROM (SELECT *, row_number() OVER (PARTITION BY source_entity_id, target_entity_id, relationship_type, chunk_id ORDER BY gen, id) AS n FROM u WHERE chunk_id IS NOT NULL) WHERE n = 1
-    UNION ALL SELECT id, source_entity_id, target_entity_id, relationship_type, chunk_id, document_id FROM u WHERE chunk_id IS NULL""")
+@query("""WITH u AS (SELECT id, source_entity_id AS s, target_entity_id AS t, relationship_type AS y, chunk_id AS c, document_id, page_number, metadata, created_at, updated_at, 0 AS gen, FALSE AS again FROM relationships
+        UNION ALL SELECT id + 10000000, source_entity_id, target_entity_id, relationship_type, chunk_id, document_id, page_number, metadata, created_at, updated_at + INTERVAL 1 DAY, 1, TRUE FROM relationships WHERE id % 3 = 0),
+    kv AS (SELECT id, s, t, y, c, gen, CASE WHEN again AND e.key = 'batch' THEN NULL ELSE e.key END AS k, e.value AS v FROM (SELECT *, unnest(map_entries(metadata)) AS e FROM u) UNION ALL SELECT id, s, t, y, c, gen, 'batch', '2' FROM u WHERE again),
+    l AS (SELECT id, s, t, y, c, gen, k, v FROM kv WHERE k IS NOT NULL),
+    m AS (SELECT s, t, y, c, string_agg(k || '=' || coalesce(v, ''), ';' ORDER BY k) AS metadata FROM (SELECT * FROM l WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY s, t, y, c, k ORDER BY gen DESC, id DESC) = 1) GROUP BY ALL),
+    f AS (SELECT id, string_agg(k || '=' || coalesce(v, ''), ';' ORDER BY k) AS metadata FROM l WHERE c IS NULL GROUP BY id),
+    o AS (SELECT *, row_number() OVER (PARTITION BY s, t, y, c ORDER BY gen, id) AS n, max(updated_at) OVER (PARTITION BY s, t, y, c) AS latest FROM u WHERE c IS NOT NULL)
+    SELECT id, s AS source_entity_id, t AS target_entity_id, y AS relationship_type, c AS chunk_id, document_id, page_number, coalesce(m.metadata, '') AS metadata, epoch_us(created_at) AS created_us, epoch_us(latest) AS updated_us FROM o LEFT JOIN m USING (s, t, y, c) WHERE n = 1
+    UNION ALL SELECT u.id, s, t, y, c, document_id, page_number, coalesce(f.metadata, ''), epoch_us(created_at), epoch_us(updated_at) FROM u LEFT JOIN f ON f.id = u.id WHERE c IS NULL""")
 def relationship_upsert(spark, d):
+    """A third of the facts stored again under new ids, a day later and with an entry more."""
     r = table(spark, d, "relationships")
-    again = r.filter("id % 3 = 0").withColumn("id", F.col("id") + 10_000_000)
-    return store.upsert_relationships(r, again).select("id", "source_entity_id", "target_entity_id", "relationship_type", "chunk_id", "document_id")
+    meta = F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: k != "batch"), F.create_map(F.lit("batch"), F.lit("2")))
+    again = r.filter("id % 3 = 0").withColumn("id", F.col("id") + 10_000_000).withColumn("metadata", meta).withColumn("updated_at", F.col("updated_at") + F.expr("INTERVAL 1 DAY"))
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";")
+    return store.upsert_relationships(r, again).select("id", "source_entity_id", "target_entity_id", "relationship_type", "chunk_id", "document_id", "page_number", text.alias("metadata"), F.unix_micros("created_at").alias("created_us"), F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query("SELECT id, document_id, replace(CASE WHEN id % 3 = 0 THEN coalesce(content, '') WHEN id % 3 = 1 THEN coalesce('~' || content, '') ELSE '' END, chr(0), '') AS content, CASE WHEN id % 2 = 0 THEN coalesce(page_number, 7) ELSE 7 END AS page_number, coalesce(section, 'top') AS section, CASE WHEN id % 5 = 0 THEN 0 ELSE chunk_index END AS chunk_index FROM chunks WHERE embedding IS NULL OR len(embedding) = 384")
+def insert_chunks(spark, d):
+    """Chunk records whose fields stand in their metadata, beside it, or nowhere."""
+    c = table(spark, d, "chunks").filter(F.col("embedding").isNull() | (F.size("embedding") == 384))
+    records = c.select("id", "document_id", F.when(F.col("id") % 3 == 0, F.col("content")).alias("text"), F.when(F.col("id") % 3 == 1, F.concat(F.lit("~"), "content")).alias("content"), F.struct(F.when(F.col("id") % 2 == 0, F.col("page_number")).alias("page_number"), "section").alias("metadata"), F.lit(7).alias("page_number"), F.lit("top").alias("section"), F.when(F.col("id") % 5 != 0, F.col("chunk_index")).alias("chunk_index"), "embedding", "created_at")
+    return store.insert_chunks(records).select("id", "document_id", "content", "page_number", "section", "chunk_index")
+
+
+@query("""WITH r AS (SELECT 'doc_' || c.document_id AS document_key, c.id, CASE WHEN c.document_id % 4 != 0 THEN d.filename END AS name, CASE WHEN c.document_id % 3 = 0 THEN d.document_type END AS kind, CASE WHEN c.document_id % 2 = 0 THEN d.department END AS department, d.access_level, d.status FROM chunks c JOIN documents d ON d.doc_id = c.document_id),
+    f AS (SELECT *, count(*) OVER (PARTITION BY document_key) AS n FROM r QUALIFY row_number() OVER (PARTITION BY document_key ORDER BY id) = 1)
+    SELECT document_key, id AS first_position, n AS n_chunks, coalesce(name, document_key || '.txt') AS filename, coalesce(kind, regexp_extract(coalesce(name, document_key || '.txt'), '\\.([^./]+)$', 1)) AS document_type, replace(document_key, 'doc_', '') AS content_hash, coalesce(department, 'public') AS department, coalesce(access_level, 'public') AS access_level, coalesce(status, 'active') AS status FROM f""")
+def processed_documents(spark, d):
+    """Documents with the attributes of their first chunk record."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "filename", "document_type", "department", "access_level", "status")
+    odd = lambda k, c: F.when(F.col("document_id") % k == 0, F.col(c))
+    meta = F.struct(F.when(F.col("document_id") % 4 != 0, F.col("filename")).alias("document_name"), odd(3, "document_type").alias("file_type"), odd(2, "department").alias("department"), "access_level", "status")
+    r = table(spark, d, "chunks").select("id", "document_id").join(docs, "document_id").select("id", F.concat(F.lit("doc_"), F.col("document_id").cast("string")).alias("document_id"), meta.alias("metadata"))
+    return store.processed_documents(r, "id")
 
 
 @query("""WITH keep AS (SELECT id FROM entities WHERE entity_type != 'DATE')
