@@ -23,7 +23,7 @@ from skein.sources.tables import table
 RUN = 12
 #: Edits (words inserted, dropped or replaced) that a window may have; the window is split into one piece more.
 ERRORS = 1
-#: Test items are held by every worker; more than this many characters of them raise an error.
+#: Characters of test items that every worker holds at a time; more are taken in parts, with a pass over the documents for each.
 MAX_ITEM_CHARS = 64_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -208,17 +208,21 @@ def leaks(docs: DataFrame, items: DataFrame, texts: list[str], run: int = RUN, e
     docs has doc_id and text, items has id and the columns named in texts.
     Null and blank texts and items never match; repeated documents each
     give their rows, an item filed under two ids is reported under both.
-    Every document is read whole, in one pass without a shuffle; the items
-    are the side whose size is checked (MAX_ITEM_CHARS) before it is sent to
-    the workers.
+    Every document is read whole, without a shuffle, once for each part of
+    the items (MAX_ITEM_CHARS).
     """
     spark = docs.sparkSession
-    size = items.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c) for c in texts]).first()
-    if sum(size) > MAX_ITEM_CHARS:
-        raise ValueError(f"test items of {sum(size)} characters; call leaks once per part of at most {MAX_ITEM_CHARS}")
-    rows = [(r[0], words(t)) for r in items.filter(F.col("id").isNotNull()).select(F.col("id").cast("string"), *texts).collect() for t in r[1:]]
-    sent = spark.sparkContext.broadcast(prepare(rows, run, errors))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_worker(sent, run, errors, exact), "doc_id long, item_id string")
+    long = items.filter(F.col("id").isNotNull()).select(F.col("id").cast("string").alias("id"), *texts)
+    size = long.agg(*[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c) for c in texts]).first()
+    parts = sum(size) // MAX_ITEM_CHARS + 1
+    src, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), None
+    for i in range(parts):
+        part = long if parts == 1 else long.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)
+        rows = [(r[0], words(t)) for r in part.collect() for t in r[1:]]
+        sent = spark.sparkContext.broadcast(prepare(rows, run, errors))
+        found = src.mapInArrow(_worker(sent, run, errors, exact), "doc_id long, item_id string")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 TEXTS = ["question", "expected_answer"]
@@ -235,3 +239,21 @@ def p9_edited(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p9_found": p9_found, "p9_edited": p9_edited}
+
+_SPACE = r"[\t\x0b\x0c \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+_JOIN = rf"'({_LETTER})-{_SPACE}\n{_SPACE}({_LETTER})', '\1\2', 'g'"
+
+
+def _sql_runs(text: str) -> str:
+    """SQL for all runs of 12 words of a text; twice, as neighbouring hyphens may share a letter."""
+    lines = f"replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    ws = f"regexp_extract_all(lower(regexp_replace(regexp_replace({lines}, {_JOIN}), {_JOIN})), '[\\p{{L}}\\p{{N}}]+')"
+    return f"(SELECT list_transform(range(1, len(ws) - {RUN - 2}), lambda i: array_to_string(ws[i:i + {RUN - 1}], ' ')) FROM (SELECT {ws} AS ws))"
+
+
+SQL = {
+    "p9_found": f"""WITH g AS (SELECT doc_id, unnest({_sql_runs('text')}) AS r FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT DISTINCT id, unnest({_sql_runs('t')}) AS r FROM (SELECT id, unnest([question, expected_answer]) AS t FROM eval_questions) WHERE t IS NOT NULL)
+        SELECT DISTINCT g.doc_id, i.id AS item_id FROM g JOIN i USING (r)""",
+}

@@ -451,3 +451,14 @@ def p7_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes}
+
+_SETS = f"""w AS (SELECT id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS ws FROM chunks WHERE id IS NOT NULL),
+    s AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS b FROM w WHERE len(ws) >= {MIN_WORDS})"""
+_PAIRS = "SELECT x.id AS id_a, y.id AS id_b, x.n + y.n AS n, count(*) AS m FROM u x JOIN u y ON x.g = y.g AND x.id < y.id GROUP BY ALL"
+
+SQL = {
+    "p7_found": f"WITH {_SETS}, u AS (SELECT id, len(b) AS n, unnest(b) AS g FROM s), p AS ({_PAIRS}) SELECT id_a, id_b FROM p WHERE m / (n - m)::DOUBLE >= {SIMILARITY}",
+    "p7_classes": f"""WITH {_SETS}, c AS (SELECT id, b, min(id) OVER (PARTITION BY b) AS class_id FROM s), u AS (SELECT id, len(b) AS n, unnest(b) AS g FROM c WHERE id = class_id), p AS ({_PAIRS}),
+        l AS (SELECT unnest([id_a, id_b]) AS class_id FROM p WHERE m / (n - m)::DOUBLE >= {SIMILARITY}), k AS (SELECT class_id, count(*) AS n FROM l GROUP BY class_id)
+        SELECT c.id AS chunk_id, c.class_id, coalesce(k.n, 0) AS n_links FROM c LEFT JOIN k USING (class_id)""",
+}
