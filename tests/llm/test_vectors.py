@@ -150,3 +150,38 @@ def test_summed_codewords():
     assert len(books.top) == 62 and len(books.sub) == 4 and len(c) == 248
     assert np.allclose(books.fit(x), x @ c.T - 0.5 * (c * c).sum(1), atol=1e-5)
     assert np.allclose(books.cross(lists), c @ books.fine.T, atol=1e-5) and np.allclose(2 * books.half, (c * c).sum(1), atol=1e-5)
+
+
+def recall(got, rows, k=5):
+    ids = np.array([i for i, _ in rows])
+    x = np.stack([np.array(v, np.float64) for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    mine = {}
+    for r in got:
+        mine.setdefault(r.query_id, set()).add(r.id)
+    hits = n = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -2
+        hits += len(mine[ids[i]] & set(ids[np.argsort(-s)[:k]].tolist()))
+        n += k
+    return hits / n
+
+
+def test_nearest_by_lists_over_many_regions(spark, monkeypatch):
+    """Tables of scale 0.01 in tiles far smaller than in production, so that queries meet a part of the rows."""
+    monkeypatch.setattr(V, "TILE", 256)
+    chunks = table(spark, "/root/testdata/sf0.01", "chunks")
+    rows = [(r.id, r.embedding) for r in chunks.select("id", "embedding").collect() if r.embedding is not None and len(r.embedding) == V.DIM and any(r.embedding)]
+    got = V.nearest_by_lists(chunks, "id", "embedding", chunks["id"] % 20 == 0).collect()
+    assert len(got) == len({(r.query_id, r.id) for r in got}) == len({(r.query_id, r.rank) for r in got}) and recall(got, rows) >= 0.9
+
+
+def test_nearest_by_lists_among_a_third_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(V, "TILE", 512)
+    rows = [r for r in near_copies(4500, 1 / 3, 0.93) if r[0] < 1500]
+    noise = np.random.default_rng(4).normal(size=(30, V.DIM))
+    rows += [(i, [float(y) for y in v]) for i, v in enumerate(noise[np.arange(3000) % 30] + 0.5 * np.random.default_rng(5).normal(size=(3000, V.DIM)), 1500)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(8)
+    assert recall(V.nearest_by_lists(df, "id", "embedding", df["id"] % 20 == 0).collect(), rows) >= 0.9
+    assert V.nearest_by_lists(df.limit(0), "id", "embedding", df["id"] == 1).count() == 0
