@@ -194,9 +194,10 @@ def match(texts: list[str | None], items: Items, run: int = RUN, errors: int = E
 
 def _worker(items, run: int, errors: int, exact: bool):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Items(**items.value)
         for b in batches:
             keys = b.column(0).to_pylist()
-            found = match(b.column(1).to_pylist(), items.value, run, errors, exact)
+            found = match(b.column(1).to_pylist(), own, run, errors, exact)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([keys[i] for i, _ in found], pa.int64()), "item_id": pa.array([x for _, x in found], pa.string())})
 
     return go
@@ -219,7 +220,7 @@ def leaks(docs: DataFrame, items: DataFrame, texts: list[str], run: int = RUN, e
     for i in range(parts):
         part = long if parts == 1 else long.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == i)
         rows = [(r[0], words(t)) for r in part.collect() for t in r[1:]]
-        sent = spark.sparkContext.broadcast(prepare(rows, run, errors))
+        sent = spark.sparkContext.broadcast(vars(prepare(rows, run, errors)))  # as plain values, for workers without this package
         found = src.mapInArrow(_worker(sent, run, errors, exact), "doc_id long, item_id string")
         out = found if out is None else out.unionAll(found)
     return out

@@ -69,6 +69,10 @@ class Books:
         self.lists = len(self.top) * len(self.sub)
         self.half = self.fit(np.zeros((1, self.top.shape[1]), np.float32))[0] * -1  # half the codewords' squared lengths
 
+    def plain(self) -> tuple[np.ndarray, ...]:
+        """What a worker without this package can read, and open with Books(*plain)."""
+        return self.top, self.sub, self.fine, self.gram, self.blocks, self.dense, self.begin, self.group
+
     def word(self, lists: np.ndarray) -> np.ndarray:
         return self.top[lists // len(self.sub)] + self.sub[lists % len(self.sub)]
 
@@ -291,7 +295,7 @@ def _enter(sent, entries: int, least: float):
         return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.full(len(at), query)), pa.array(ids[at]), pa.array(h[at, 0]), pa.array(home[at].astype(np.int32)), pa.array(lists[at].astype(np.int32)), pa.array([data[i] for i in at], pa.binary())], schema=_ROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: Books = sent.value
+        books = Books(*sent.value)
         near = min(entries, books.lists)
         step = max(64, min(1000, (1 << 22) // books.lists))
         seen: set[int] = set()
@@ -352,8 +356,7 @@ def _search(sent, least: float, k: int):
             a.append(xid[asks[i]]), b.append(qid[j]), c.append(s)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(m)) for m in (a, b, c)], names=names)
 
-    def tile(rows: list[tuple]) -> pa.RecordBatch | None:
-        books: Books = sent.value
+    def tile(books: Books, rows: list[tuple]) -> pa.RecordBatch | None:
         qs = {r[2]: r for r in rows if r[0]}  # equal vectors from several tasks once
         xs = {r[2]: r for r in rows if not r[0]}
         if not qs or not xs:
@@ -404,15 +407,16 @@ def _search(sent, least: float, k: int):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.float64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        books, key, rows = None, None, []
         for b in batches:
+            books = books or Books(*sent.value)
             for at, *r in zip(*(c.to_pylist() for c in b.columns)):
                 if at != key:
-                    if rows and (out := tile(rows)) is not None:
+                    if rows and (out := tile(books, rows)) is not None:
                         yield out
                     key, rows = at, []
                 rows.append(tuple(r))
-        if rows and (out := tile(rows)) is not None:
+        if rows and (out := tile(books, rows)) is not None:
             yield out
 
     return run
@@ -477,7 +481,7 @@ def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, k:
     classes = hashed.groupBy("h0", "h1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
     first = hashed.withColumn("position", F.row_number().over(Window.partitionBy("h0", "h1").orderBy("id"))).filter(F.col("position") <= K + 1).select("id", "position")
     members = materialize(hashed.join(classes, ["h0", "h1"]).select("id", "class_id", "size").join(first, "id", "left"))
-    sent = spark.sparkContext.broadcast(fit(rows, members.count(), least=least))
+    sent = spark.sparkContext.broadcast(fit(rows, members.count(), least=least).plain())
     entered = rows.mapInArrow(_enter(sent, entries, least), _ROW_SQL)
     found = materialize(entered.repartition("tile").sortWithinPartitions("tile").mapInArrow(_search(sent, least, k), "q long, x long, s double"))
     cls = members.select(F.col("id"), "class_id")
@@ -591,7 +595,8 @@ def _to_tiles(sent, probe: float):
     """Each row in one tile of its list's region; each query in all tiles of the regions that hold any of its nearest lists, a share `probe` of all, or of its dense group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, region, first = sent.value
+        plain, region, first = sent.value
+        books = Books(*plain)
         near = min(books.lists, max(64, math.ceil(probe * books.lists)))
         step = max(64, min(1000, (1 << 22) // books.lists))
         for whole in batches:
@@ -641,7 +646,7 @@ def nearest_by_lists(vectors: DataFrame, key: str, vector: str, asked, k: int =
     n = rows.count()
     books = fit(rows, n)
     region, first = _regions(books, n)
-    sent = spark.sparkContext.broadcast((books, region, first))
+    sent = spark.sparkContext.broadcast((books.plain(), region, first))
     dealt = rows.mapInArrow(_to_tiles(sent, probe), "tile int, query boolean, id long, data binary").repartitionById(int(first[-1]), "tile")
     best = dealt.mapInArrow(_block(k), "query_id long, id long, similarity double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("similarity", 6).desc(), "id")))
