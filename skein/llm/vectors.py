@@ -48,8 +48,8 @@ DENSE, MERGED = 0.5, 0.75
 ERROR = 5e-5
 #: Queries and rows that one tile holds; larger lists are split into tiles.
 TILE = 8_192
-#: Share of the lists that a query for its nearest rows asks.
-PROBE = 0.125
+#: Share of the lists that a query for its nearest rows asks, and rows of one tile then; a query goes to many tiles, so they are larger.
+PROBE, KNN_TILE = 0.125, 32_768
 
 
 @dataclass
@@ -580,15 +580,15 @@ def nearest(vectors: DataFrame, key: str, vector: str, asked, k: int = K, dim: i
 
 
 def _regions(books: Books, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(region of each list, first tile of each region and the number of tiles): lists whose codewords are near each other, and tiles of about TILE rows."""
+    """(region of each list, first tile of each region and the number of tiles): lists whose codewords are near each other, and tiles of about KNN_TILE rows."""
     lists = np.arange(books.lists)
     share = books.share
-    wanted = max(1, -(-n // TILE))
+    wanted = max(1, -(-n // KNN_TILE))
     words = books.word(lists)
     seeds = _kmeans(words[share > 0] if (share > 0).any() else words, min(wanted, books.lists), 8, 11)
     region = np.argmax(words @ seeds.T - 0.5 * (seeds * seeds).sum(1), axis=1)
     size = np.bincount(region, weights=share, minlength=len(seeds)) * n
-    return region, np.concatenate([[0], np.cumsum(np.maximum(1, np.ceil(size / TILE)).astype(np.int64))])
+    return region, np.concatenate([[0], np.cumsum(np.maximum(1, np.ceil(size / KNN_TILE)).astype(np.int64))])
 
 
 def _to_tiles(sent, probe: float):

@@ -170,7 +170,7 @@ def recall(got, rows, k=5):
 
 def test_nearest_by_lists_over_many_regions(spark, monkeypatch):
     """Tables of scale 0.01 in tiles far smaller than in production, so that queries meet a part of the rows."""
-    monkeypatch.setattr(V, "TILE", 256)
+    monkeypatch.setattr(V, "KNN_TILE", 256)
     chunks = table(spark, "/root/testdata/sf0.01", "chunks")
     rows = [(r.id, r.embedding) for r in chunks.select("id", "embedding").collect() if r.embedding is not None and len(r.embedding) == V.DIM and any(r.embedding)]
     got = V.nearest_by_lists(chunks, "id", "embedding", chunks["id"] % 20 == 0).collect()
@@ -178,7 +178,7 @@ def test_nearest_by_lists_over_many_regions(spark, monkeypatch):
 
 
 def test_nearest_by_lists_among_a_third_of_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(V, "TILE", 512)
+    monkeypatch.setattr(V, "KNN_TILE", 512)
     rows = [r for r in near_copies(4500, 1 / 3, 0.93) if r[0] < 1500]
     noise = np.random.default_rng(4).normal(size=(30, V.DIM))
     rows += [(i, [float(y) for y in v]) for i, v in enumerate(noise[np.arange(3000) % 30] + 0.5 * np.random.default_rng(5).normal(size=(3000, V.DIM)), 1500)]
