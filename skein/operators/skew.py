@@ -24,8 +24,11 @@ def tree_aggregate(df: DataFrame, keys: Sequence[str], first: Mapping[str, Colum
     """
     parts = max(1, df.rdd.getNumPartitions())
     state = df.withColumn("_slot", F.spark_partition_id()).groupBy(*keys, "_slot").agg(*[c.alias(n) for n, c in first.items()])
-    for _ in range(max(1, math.ceil(math.log(parts, fan_in))) if parts > 1 else 1):
-        state = state.withColumn("_slot", F.floor(F.col("_slot") / fan_in).cast("int")).groupBy(*keys, "_slot").agg(*[MERGE[merge[n]](n).alias(n) for n in first])
+    rounds = max(1, math.ceil(math.log(parts, fan_in))) if parts > 1 else 1
+    for i in range(rounds):
+        # the last round takes what is left, also if the plan had more partitions than were counted
+        slot = F.floor(F.col("_slot") / fan_in).cast("int") if i + 1 < rounds else F.lit(0)
+        state = state.withColumn("_slot", slot).groupBy(*keys, "_slot").agg(*[MERGE[merge[n]](n).alias(n) for n in first])
     return state.drop("_slot")
 
 
