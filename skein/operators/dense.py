@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 DIM = 384
-#: Most query vectors of one call; they are held by every worker.
+#: About how many query vectors every worker holds at a time.
 MAX_QUERIES = 16_384
 
 
@@ -21,9 +23,9 @@ def norm(a: Column) -> Column:
 def cosine_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int, allowed: DataFrame | None = None, dim: int = DIM) -> DataFrame:
     """(query_id, id, distance, similarity, rank): for each query vector its k nearest, by exact scan.
 
-    The queries are a stated set: their number is checked, then they are sent
-    to the scan, where each batch of rows is one matrix product and only its
-    k best rows per query go on.  Ties go to the smaller id; null, zero and
+    The queries are a stated set, sent to the scan in parts of about
+    MAX_QUERIES; each few rows are one matrix product, and only the k best
+    rows of a batch per query go on.  Ties go to the smaller id; null, zero and
     wrong-sized vectors take no part; k <= 0 gives no rows.
     """
     spark = vectors.sparkSession
@@ -33,16 +35,20 @@ def cosine_topk(vectors: DataFrame, key: str, vector: str, queries: DataFrame, q
         on = "id" if allowed.columns[0] == key else allowed.columns[0]
         base = base.join(allowed.select(F.col(allowed.columns[0]).alias(on)), on, "left_semi")
     asked = queries.filter(F.col(query_vector).isNotNull() & (F.size(query_vector) == dim)).select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("v"))
-    if asked.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; call once per part")
-    rows = [r for r in asked.collect() if any(r.v)]
-    names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("query_id", asked.schema["query_id"].dataType)]))
+    parts = asked.count() // MAX_QUERIES + 1
+    each = [asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    return reduce(DataFrame.unionByName, [_nearest(spark, base, [r for r in x.collect() if any(r.v)], asked.schema["query_id"].dataType, k, dim) for x in each])
+
+
+def _nearest(spark: SparkSession, base: DataFrame, rows: list, query_kind: T.DataType, k: int, dim: int) -> DataFrame:
+    names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], T.StructType([T.StructField("_q", T.IntegerType()), T.StructField("query_id", query_kind)]))
     sent = spark.sparkContext.broadcast(np.array([r.v for r in rows], np.float64).reshape(len(rows), dim))
 
     def run(batches):
         q = sent.value
         q = q / np.linalg.norm(q, axis=1)[:, None] if len(q) else q
-        for b in batches:
+        step = max(256, (1 << 24) // max(1, len(q)))  # rows whose distances are held at a time
+        for b in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             n = np.sqrt(np.einsum("ij,ij->i", x, x))
             good = np.flatnonzero(n > 0)

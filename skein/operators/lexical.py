@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from skein.functions.text import tokens
 from skein.session import materialize
 
 K1, B = 1.5, 0.75
-#: Most terms, over all queries, of one call, and most cells of the table of terms by queries; every worker holds them.
+#: About how many terms of queries, and cells of the table of terms by queries, every worker holds at a time.
 MAX_QUERY_TERMS, MAX_CELLS = 200_000, 1 << 25
 
 
@@ -99,19 +100,23 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key:
 
     Statistics are over the whole corpus; `allowed` (ids) narrows the
     candidates only.  Ties go to the smaller id.  Blank queries, unknown
-    terms and k <= 0 give no rows.  The queries are a stated set whose size is
-    checked; each text is read once and leaves its counts of the queries'
-    terms, and only each batch's k best texts per query are shuffled.
+    terms and k <= 0 give no rows.  The queries are a stated set, taken in
+    parts of a bounded size (MAX_QUERY_TERMS, MAX_CELLS).  For each part every
+    text is read once and leaves its counts of the queries' terms, and only
+    each batch's k best texts per query are shuffled.
     """
-    spark = corpus.sparkSession
     terms = query_terms(queries, query_key, query_text)
-    rows = [] if k <= 0 else terms.limit(MAX_QUERY_TERMS + 1).collect()
-    if len(rows) > MAX_QUERY_TERMS:
-        raise ValueError(f"more than {MAX_QUERY_TERMS} query terms; call once per part")
+    n, t, q = terms.agg(F.count(F.lit(1)), F.count_distinct("term"), F.count_distinct("query_id")).first()
+    parts = max(n // MAX_QUERY_TERMS, t * q // MAX_CELLS) + 1
+    kind = queries.schema[query_key].dataType
+    each = [terms if parts == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    return reduce(DataFrame.unionByName, [_bm25_part(corpus, key, text, x.collect() if k > 0 else [], kind, k, allowed, k1, b) for x in each])
+
+
+def _bm25_part(corpus: DataFrame, key: str, text: str, rows: list, query_kind, k: int, allowed: DataFrame | None, k1: float, b: float) -> DataFrame:
+    spark = corpus.sparkSession
     number = {t: i for i, t in enumerate(dict.fromkeys(r.term for r in rows))}
     names = {q: i for i, q in enumerate(dict.fromkeys(r.query_id for r in rows))}
-    if len(number) * len(names) > MAX_CELLS:
-        raise ValueError(f"{len(number)} terms by {len(names)} queries; call once per part")
     kind = corpus.schema[key].dataType.simpleString()
     src = corpus if rows else corpus.limit(0)
     counted = materialize(src.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_count(spark.sparkContext.broadcast(number)), f"id {kind}, dl int, terms array<int>, tfs array<int>"))
@@ -128,5 +133,5 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     sent = spark.sparkContext.broadcast((weight, asked, max(total / max(1, n), 1e-9)))
     found = counted.select("id", "dl", "terms", "tfs").mapInArrow(_score(sent, max(k, 1), k1, b), f"q int, id {kind}, raw double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("raw", 9).desc(), "id"))).filter(F.col("rank") <= k)
-    back = spark.createDataFrame([(i, q) for q, i in names.items()], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", queries.schema[query_key].dataType)]))
+    back = spark.createDataFrame([(i, q) for q, i in names.items()], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", query_kind)]))
     return ranked.join(F.broadcast(back), "q").select("query_id", "id", F.round("raw", 4).alias("score"), "rank")

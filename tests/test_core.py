@@ -269,3 +269,19 @@ def test_service(spark, sf):
     q = spark.createDataFrame([("1", "What did the audit say about the release?"), ("2", "zzzz")], "query_id string, text string")
     rows = {r.query_id: r.grounded for r in c.answer(q, None, AccessContext("engineering", "employee")).collect()}
     assert rows == {"1": True, "2": False}
+
+
+def test_query_sets_in_parts_find_the_same(spark, sf, monkeypatch):
+    """Queries beyond what a worker holds at a time are taken in parts."""
+    from skein.plans import common, retrieval_queries
+
+    sorted_rows = lambda df: sorted(map(tuple, df.collect()))
+    lexical_, dense_ = (sorted_rows(f(spark, sf, 5, False)) for f in (retrieval_queries._bm25, retrieval_queries._vector))
+    linked = lambda: sorted_rows(graph_query.link_aliases(common.questions(spark, sf), spark.createDataFrame([("passage store", "x"), ("gradient", "y")], "term string, canonical string")))
+    hits = linked()
+    monkeypatch.setattr(lexical, "MAX_QUERY_TERMS", 900)
+    monkeypatch.setattr(dense, "MAX_QUERIES", 50)
+    monkeypatch.setattr(gold, "MAX_NAME_CHARS", 10_000)
+    assert lexical_ and sorted_rows(retrieval_queries._bm25(spark, sf, 5, False)) == lexical_
+    assert dense_ and sorted_rows(retrieval_queries._vector(spark, sf, 5, False)) == dense_
+    assert hits and linked() == hits
