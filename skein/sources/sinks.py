@@ -29,6 +29,13 @@ def markdown_table(rows: list[dict]) -> str:
     return "\n".join(lines) + "\n"
 
 
+def suite_matrix(suites: dict[str, DataFrame], metrics: list[str]) -> list[dict]:
+    """One row per suite, from its one-row summary, and the unweighted mean of the suites' metrics."""
+    rows = [{"suite": name} | {m: row.get(m) for m in metrics} for name, df in suites.items() for row in report_rows(df, 1)]
+    mean = lambda m: round(sum(v) / len(v), 4) if (v := [r[m] for r in rows if r[m] is not None]) else None
+    return [*rows, {"suite": "macro average"} | {m: mean(m) for m in metrics}]
+
+
 def write_report(title: str, sections: dict[str, DataFrame], folder: str) -> dict[str, str]:
     """<folder>/report.json and report.md of small aggregated tables; the paths written."""
     out = Path(folder)

@@ -285,3 +285,52 @@ def test_query_sets_in_parts_find_the_same(spark, sf, monkeypatch):
     assert lexical_ and sorted_rows(retrieval_queries._bm25(spark, sf, 5, False)) == lexical_
     assert dense_ and sorted_rows(retrieval_queries._vector(spark, sf, 5, False)) == dense_
     assert hits and linked() == hits
+
+
+def test_graph_branch_of_the_service(spark, sf):
+    """A question that names an entity and shares no word with any text is answered from the edges around that entity."""
+    docs, chunks, edges, entities = (table(spark, sf, t) for t in ("documents", "chunks", "relationships", "entities"))
+    admin = AccessContext("hr", "admin", True)
+    r = edges.filter("chunk_id IS NOT NULL").orderBy("id").first()
+    name = "Zzqxv Qqzzx"
+    renamed = entities.withColumn("canonical_name", F.when(F.col("id") == r.source_entity_id, name).otherwise(F.col("canonical_name")))
+    q = spark.createDataFrame([("1", name), ("2", "qqqq zzzz"), ("3", "  ")], "query_id string, text string")
+    got = Corpus(docs, chunks, edges, renamed).ask(q, None, admin, mode="graph_aware")
+    d = {x.query_id: x for x in got.diagnostics.collect()}
+    assert (d["1"].status, d["1"].graph_status, d["1"].graph_seed_count) == ("success", "success", 1) and d["1"].graph_candidates > 0 == d["1"].vector_candidates
+    assert (d["2"].status, d["2"].graph_status) == ("no_evidence", "no_seed_entities_found") and (d["3"].status, d["3"].graph_status, d["3"].graph_seed_count) == ("empty_query", "empty_query", 0)
+    assert {x.query_id: x.grounded for x in got.answers.collect()} == {"1": True, "2": False, "3": False}
+    cited = got.citations.collect()
+    assert {x.query_id for x in cited} == {"1"} and {x.retrieved_by for x in cited} == {"graph"} and len(cited) == d["1"].evidence_count
+    none = Corpus(docs, chunks, edges, renamed).ask(q, None, AccessContext("nowhere", "public")).diagnostics.filter("query_id = '1'").first()
+    allowed = {x.doc_id for x in docs.filter(acl_predicate(AccessContext("nowhere", "public"))).collect()}
+    own = [x for x in edges.filter(f"source_entity_id = {r.source_entity_id} OR target_entity_id = {r.source_entity_id}").collect() if x.document_id in allowed]
+    assert none.graph_seed_count == 1 and (none.graph_relationship_count > 0) == bool(own)
+
+
+def test_reranking_reads_facts_only_in_graph_mode(spark):
+    c = spark.createDataFrame([("q", "alpha beta", 1, "alpha here", "", 1), ("q", "alpha beta", 2, "nothing", "[GRAPH PATH]\nalpha --[R]--> beta", 2)], "query_id string, query string, id int, text string, header string, rank int")
+    best = lambda mode: [(r.id, r.graph_augmented, r.reranking_mode) for r in rerank.rerank(c, mode=mode, telemetry=True).orderBy("rank").collect()]
+    assert best("graph_aware") == [(2, True, "graph_aware"), (1, False, "graph_aware")] and best("baseline") == [(1, False, "baseline"), (2, False, "baseline")]
+
+
+def test_chunk_graphs(spark):
+    kind = "chunk_id long, document_id long, page_number int, x struct<entities:array<struct<name:string,canonical_name:string,entity_type:string,description:string,confidence:double>>,relationships:array<struct<source:string,target:string,relationship_type:string,evidence:string,confidence:double>>>"
+    e = [("BERT", "Bert", "MODEL", None, 0.9), ("bert", "BERT-large", "MODEL", "d", 0.5), ("Atlas", "", "PRODUCT", None, None)]
+    rows = [(1, 7, 2, (e, [(" BERT ", "atlas", "USES", "ev", 0.4), ("Bert", "ATLAS", "USES", None, 0.4), ("BERT", "unknown", "USES", None, 0.1)])), (2, 7, 3, ([e[2]], [("Atlas", "atlas", "RELATED_TO", None, 1.0)])), (3, 7, 3, None), (4, 7, 3, ([], []))]
+    x = spark.createDataFrame(rows, kind)
+    entities, relationships, counts = store.chunk_graph(x)
+    assert {(r.chunk_id, r.entities_upserted, r.relationships_inserted) for r in counts.collect()} == {(1, 3, 2), (2, 1, 1), (3, 0, 0), (4, 0, 0)}
+    assert {(r.source.canonical_name, r.target.canonical_name) for r in relationships.filter("chunk_id = 1").collect()} == {("BERT-large", "Atlas")}  # the last one of that name
+    old = spark.createDataFrame([(5, "Atlas", "PRODUCT", "ATLAS", {"k": "v"}, None, None)], "id long, canonical_name string, entity_type string, display_name string, metadata map<string,string>, created_at timestamp, updated_at timestamp")
+    edges = spark.createDataFrame([], "id long, source_entity_id long, target_entity_id long, relationship_type string, document_id long, chunk_id long, page_number int, metadata map<string,string>, created_at timestamp, updated_at timestamp")
+    after, facts = store.apply_chunk_graph(old, edges, x)
+    atlas = after.filter("canonical_name = 'Atlas'").first()
+    assert atlas.id == 5 and atlas.display_name == "Atlas" and atlas.metadata["k"] == "v" and after.count() == 3 and facts.count() == 2
+    again, same = store.apply_chunk_graph(after, facts, x)
+    assert {r.id for r in again.collect()} == {r.id for r in after.collect()} and {r.id for r in same.collect()} == {r.id for r in facts.collect()}
+
+
+def test_suite_matrix(spark):
+    one = lambda r: spark.createDataFrame([(r, 0.5)], "recall double, mrr double")
+    assert sinks.suite_matrix({"a": one(0.2), "b": one(0.4)}, ["recall", "mrr"]) == [{"suite": "a", "recall": 0.2, "mrr": 0.5}, {"suite": "b", "recall": 0.4, "mrr": 0.5}, {"suite": "macro average", "recall": 0.3, "mrr": 0.5}]
