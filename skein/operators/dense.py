@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -72,10 +73,11 @@ def semantic_argmax(vectors: DataFrame, key: str, vector: str, queries: DataFram
     return best.filter(F.col("similarity") >= threshold).select("query_id", "id", "similarity")
 
 
-def vector_consistency(vectors: DataFrame, vector: str, dim: int = DIM) -> DataFrame:
-    """One row: how many vectors there are, null, of another length, all zero, not of unit length, and whether all that are not null have the dimension."""
+def vector_consistency(vectors: DataFrame, vector: str, dim: int = DIM, same: Sequence[str] = ()) -> DataFrame:
+    """One row: how many vectors there are, null, of another length, all zero, not of unit length, and whether all that are not null have the dimension and, where such columns are named, one provider, model and the like."""
     v = F.col(vector)
     n = norm(v)
+    kinds = F.count_distinct(F.when(v.isNotNull(), F.to_json(F.struct(*same)))) if same else F.lit(1)
     return vectors.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("nulls"), F.count_if(F.size(v) != dim).alias("other_length"), F.count_if(n == 0).alias("zeros"), F.count_if(F.abs(n - 1) > 0.001).alias("not_unit"),
-    ).withColumn("consistent", F.col("other_length") == 0)
+        F.count(F.lit(1)).alias("rows"), F.count_if(v.isNull()).alias("nulls"), F.count_if(F.size(v) != dim).alias("other_length"), F.count_if(n == 0).alias("zeros"), F.count_if(F.abs(n - 1) > 0.001).alias("not_unit"), kinds.alias("_kinds"),
+    ).withColumn("consistent", (F.col("other_length") == 0) & (F.col("_kinds") <= 1)).drop("_kinds")

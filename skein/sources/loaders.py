@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.text import document_key
+from skein.functions.text import document_key, normalize_text
 
 SUPPORTED = ("txt", "md", "pdf")
 # Kinds of question.
@@ -54,10 +54,15 @@ def load_pdf(spark: SparkSession, path: str) -> DataFrame:
                 names.append(n), sizes.append(size)
             yield pa.RecordBatch.from_pydict({"filename": pa.array(names, pa.string()), "file_size": pa.array(sizes, pa.int64()), "text": pa.array(texts, pa.string())})
 
-    f = _files(spark, path, "pdf").mapInArrow(run, "filename string, file_size long, text string")
+    f = _files(spark, path, "pdf").mapInArrow(run, "filename string, file_size long, text string").withColumn("text", _pages(F.col("text")))
     return f.select(document_key(F.col("text")).alias("document_key"), "filename", F.regexp_replace("filename", r"\.[^.]*$", "").alias("title"), F.lit("pdf").alias("document_type"), "text", F.length("text").alias("n_chars"), "file_size")
 
 
+def _pages(c: Column) -> Column:
+    """Each page's text normalised by itself; blank pages stay, so that pages keep their numbers."""
+    return F.array_join(F.transform(F.split(c, "\f"), normalize_text), "\f")
+
+
 def load_documents(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("txt", "md")) -> DataFrame:
     """All files of the given kinds in a folder; an unsupported kind raises."""
     readers = {"txt": load_text, "md": load_markdown, "pdf": load_pdf}

@@ -334,3 +334,19 @@ def test_chunk_graphs(spark):
 def test_suite_matrix(spark):
     one = lambda r: spark.createDataFrame([(r, 0.5)], "recall double, mrr double")
     assert sinks.suite_matrix({"a": one(0.2), "b": one(0.4)}, ["recall", "mrr"]) == [{"suite": "a", "recall": 0.2, "mrr": 0.5}, {"suite": "b", "recall": 0.4, "mrr": 0.5}, {"suite": "macro average", "recall": 0.3, "mrr": 0.5}]
+
+
+def test_headings_of_the_packer_and_of_expressions_agree(spark, sf):
+    p = table(spark, sf, "documents").filter("text IS NOT NULL").select(F.explode(text.paragraphs(F.col("text"))).alias("p")).distinct()
+    rows = p.select("p", text.heading(F.col("p")).alias("h")).collect()
+    assert len([r for r in rows if r.h]) > 20 and [r for r in rows if chunking.title_of(r.p) != r.h] == []
+
+
+def test_vectors_of_two_models_are_not_consistent(spark):
+    df = spark.createDataFrame([([1.0, 0.0], "a", "m"), ([0.0, 1.0], "a", "n"), (None, "b", None)], "v array<float>, provider string, model string")
+    said = lambda *same: dense.vector_consistency(df, "v", 2, same).first().consistent
+    assert said() and said("provider") and not said("provider", "model")
+
+
+def test_pages_are_normalised_one_by_one(spark):
+    assert col(spark, loaders._pages, "one test-\ncase\x07\n\n\n\nx\f\fJul. 25, 2023") == ["one testcase\n\nx\f\fJuly 25, 2023 (Jul. 25, 2023)"]
