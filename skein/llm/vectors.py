@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.operators.skew import join_classes
 from skein.session import materialize
 from skein.sources.tables import table
 
@@ -478,9 +479,9 @@ def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, k:
     """
     spark = rows.sparkSession
     hashed = materialize(rows.mapInArrow(_hash, "id long, h0 long, h1 long"))
-    classes = hashed.groupBy("h0", "h1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    classes = materialize(hashed.groupBy("h0", "h1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")))
     first = hashed.withColumn("position", F.row_number().over(Window.partitionBy("h0", "h1").orderBy("id"))).filter(F.col("position") <= K + 1).select("id", "position")
-    members = materialize(hashed.join(classes, ["h0", "h1"]).select("id", "class_id", "size").join(first, "id", "left"))
+    members = materialize(join_classes(hashed, classes, ["h0", "h1"]).select("id", "class_id", "size").join(first, "id", "left"))
     sent = spark.sparkContext.broadcast(fit(rows, members.count(), least=least).plain())
     entered = rows.mapInArrow(_enter(sent, entries, least), _ROW_SQL)
     found = materialize(entered.repartition("tile").sortWithinPartitions("tile").mapInArrow(_search(sent, least, k), "q long, x long, s double"))
