@@ -35,8 +35,8 @@ from skein.sources.tables import table
 
 #: Labelled documents that rules are mined from; with more, a hash of the id chooses about so many.  One in HELD_OUT of them is for calibration.
 LABELLED, HELD_OUT = 20_000, 5
-#: Documents in which an item, and sentences in which an itemset, must stand.
-MIN_DOCS, MIN_SUPPORT = 3, 5
+#: Documents and sentences in which an item, and sentences in which several items together must stand.
+MIN_DOCS, MIN_SUPPORT, LONGER_SUPPORT = 3, 5, 8
 #: Least share of an itemset's sentences that have the subject, and how many times the subject's own share that must be.
 CONFIDENCE, LIFT = 0.4, 2.0
 #: Share of the subject's documents, by its own share, from which an item takes part in itemsets.
@@ -179,8 +179,8 @@ def _once(rows) -> list[tuple[tuple[int, ...], int, np.ndarray]]:
     return [(items, n, w) for items, (n, w) in out.items()]
 
 
-def grow(tree: Tree, wanted, prior: np.ndarray, support: int, suffix: tuple[int, ...] = (), above: int = -1) -> Iterator[tuple[tuple[int, ...], int, np.ndarray]]:
-    """(items, count, weights) of the telling itemsets that end with an item for which `wanted` holds, by recursion over conditional trees.
+def grow(tree: Tree, wanted, prior: np.ndarray, support: int, longer: int, suffix: tuple[int, ...] = (), above: int = -1) -> Iterator[tuple[tuple[int, ...], int, np.ndarray]]:
+    """(items, count, weights) of the telling itemsets that end with an item for which `wanted` holds, by recursion over conditional trees; of at least `support` sentences, those of several items of `longer`.
 
     An itemset of as many sentences as without its newest item tells the same
     as without it, and so do all that hold it; one that no further item can
@@ -197,16 +197,16 @@ def grow(tree: Tree, wanted, prior: np.ndarray, support: int, suffix: tuple[int,
         body = (x, *suffix)
         if (share >= CONFIDENCE / GAIN).any():
             yield body, n, w
-        if not ((share * GAIN < 1) & (w >= CONFIDENCE * support)).any():
+        if not ((share * GAIN < 1) & (w >= CONFIDENCE * longer)).any():
             continue
         base = [(tree.path(k), int(tree.count[k]), tree.weight[k]) for k in nodes]
         often: Counter = Counter()
         for items, k, _ in base:
             for y in items:
                 often[y] += k
-        keep = {y for y, k in often.items() if support <= k < n}
+        keep = {y for y, k in often.items() if longer <= k < n}
         if keep:
-            yield from grow(Tree(_once((tuple(y for y in items if y in keep), k, v) for items, k, v in base)), lambda y: True, prior, support, body, n)
+            yield from grow(Tree(_once((tuple(y for y in items if y in keep), k, v) for items, k, v in base)), lambda y: True, prior, longer, longer, body, n)
 
 
 def _mine(groups: int, prior: list[float]):
@@ -221,7 +221,7 @@ def _mine(groups: int, prior: list[float]):
                 if w not in known:
                     known[w] = np.frombuffer(w)
                 rows.append((tuple(array("i", items)), n, known[w] * n))
-            got = list(grow(Tree(_once(rows)), lambda x: x % groups == g, prior, MIN_SUPPORT))
+            got = list(grow(Tree(_once(rows)), lambda x: x % groups == g, prior, MIN_SUPPORT, LONGER_SUPPORT))
             return pa.RecordBatch.from_pydict({"items": pa.array([b for b, _, _ in got], pa.list_(pa.int32())), "n": pa.array([n for _, n, _ in got], pa.int64()), "w": pa.array([w.tolist() for _, _, w in got], pa.list_(pa.float64()))})
 
         at, seen = None, Counter()

@@ -85,7 +85,7 @@ def test_growth_against_all_itemsets():
             last = max((k for k, x in enumerate(items) if x % 4 == g), default=None)
             if last is not None:
                 cut.append((items[: last + 1], n, w))
-        for b, n, w in S.grow(S.Tree(S._once(cut)), lambda x, g=g: x % 4 == g, prior, 8):
+        for b, n, w in S.grow(S.Tree(S._once(cut)), lambda x, g=g: x % 4 == g, prior, 8, 8):
             assert tuple(sorted(b)) not in got
             got[tuple(sorted(b))] = (n, w.tolist())
     every = {}
@@ -103,7 +103,7 @@ def test_growth_against_all_itemsets():
 def test_repeated_long_sentences_do_not_explode():
     w = np.array([0.7, 0.3])
     rows = [(tuple(range(60)), 40, 40 * w), (tuple(range(30)), 10, 10 * w)]
-    assert len(list(S.grow(S.Tree(rows), lambda x: True, np.array([0.5, 0.5]), 8))) < 3_000
+    assert len(list(S.grow(S.Tree(rows), lambda x: True, np.array([0.5, 0.5]), 8, 8))) < 3_000
 
 
 def test_pruning_by_every_part():
