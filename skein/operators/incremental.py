@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import materialize, shared_dir
+from skein.session import materialize, scratch_dir
 
 LEAF_BITS = 6
 FAN_BITS = 6
@@ -105,13 +105,14 @@ class MerkleStore:
     A version counts once the pointer file names it, and the pointer is
     replaced by one atomic rename.  A run that dies earlier leaves the old
     version in force, so its records are taken again, once; of one that dies
-    later the output is published, and `outputs` finds it.  Versions form a
-    chain; folders outside of it, of runs that died, are never read.
+    later the output is published, and `output` finds it.  Versions form a
+    chain; folders outside of it, of runs that died, are never read.  Without
+    a path the store is a temporary one.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or f"{shared_dir(spark)}/merkle/{uuid.uuid4().hex}"
+        self.path = path or scratch_dir(spark)
 
     def _fs(self):
         jvm = self.spark._jvm

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import context, store
-from skein.session import materialize, shared_dir
+from skein.session import materialize, scratch_dir
 from skein.sources import loaders, sinks
 from skein.sources.tables import table
 from skein.streaming import ingest
@@ -26,10 +24,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/skein/{uuid.uuid4().hex}"
-
-
 _WS = "[\\t\\n\\x0b\\f\\r ]"
 _STRIP = "regexp_replace({}, '^" + _WS + "+|" + _WS + "+$', '', 'g')"
 _PARAGRAPHS = f"list_filter(list_transform(string_split_regex(text, '\\n{_WS}*\\n'), lambda x: {_STRIP.format('x')}), lambda x: length(x) > 0)"
@@ -94,7 +88,7 @@ def chunks_of_document(spark, d):
 @query("SELECT id, question, lower(trim(category, ' ')) AS category, expected_answer, len(expected_entities) AS n_entities, len(expected_relationships) AS n_relationships, len(expected_source_chunks) AS n_chunks, len(expected_pages) AS n_pages, notes FROM eval_questions")
 def questions_loaded(spark, d):
     """The questions, written as an evaluation set and read again."""
-    path = _folder(spark)
+    path = scratch_dir(spark)
     q = table(spark, d, "eval_questions").withColumn("category", F.lower(F.trim("category")))
     q.agg(F.collect_list(F.struct(*q.columns)).alias("questions")).write.json(path)
     got = loaders.load_questions(spark, path)
@@ -104,7 +98,7 @@ def questions_loaded(spark, d):
 @query("SELECT 'c' || id AS chunk_id, 'doc_' || document_id AS document_id, content AS text, page_number, section, chunk_index, length(content) AS char_count FROM chunks")
 def chunks_written(spark, d):
     """The chunks, written as JSON objects and read again."""
-    path = _folder(spark)
+    path = scratch_dir(spark)
     c = table(spark, d, "chunks")
     meta = F.struct(F.lit(None).cast("string").alias("document_name"), F.lit("md").alias("file_type"), "page_number", "section", "chunk_index", F.length("content").alias("char_count"), F.lit(0).alias("word_count"))
     sinks.write_chunks(c.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.concat(F.lit("doc_"), F.col("document_id").cast("string")).alias("document_id"), F.col("content").alias("text"), meta.alias("metadata"), "embedding"), path)
@@ -115,7 +109,7 @@ def chunks_written(spark, d):
 @query("SELECT id AS chunk_id, document_id, length(content) AS n_chars FROM chunks WHERE content IS NOT NULL AND length(trim(content, ' ')) > 0")
 def stream_ingest(spark, d):
     """Chunks taken by a stream in one run, and none by a second run over the same files."""
-    path = _folder(spark)
+    path = scratch_dir(spark)
     table(spark, d, "chunks").select("id", "document_id", "content", "page_number").write.parquet(f"{path}/in")
     take = lambda b: b.filter("content IS NOT NULL AND length(trim(content)) > 0").select(F.col("id").alias("chunk_id"), "document_id", F.length("content").alias("n_chars"))
     for _ in range(2):

@@ -44,6 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one, which `release` removes."""
+    path = f"{shared_dir(spark)}/skein/{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
@@ -51,16 +58,15 @@ def materialize(df: DataFrame, *, partition_by: list[str] | None = None) -> Data
     whatever depends on the partitioning (spark_partition_id, sampling).
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein/{uuid.uuid4().hex}"
+    path = scratch_dir(spark)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Folders that materialize has written and release has not yet removed.
+#: Folders for intermediate tables that release has not yet removed.
 _written: list[tuple[SparkSession, str]] = []
 
 
