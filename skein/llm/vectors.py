@@ -666,9 +666,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p6_found": p6_found, "p6_knn": p6_knn}
 
+_VECTORS = f"v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM chunks WHERE id IS NOT NULL AND len(embedding) = {DIM} AND list_max(list_transform(embedding, lambda x: abs(x))) > 0)"
+
 SQL = {
-    "p6_found": f"""WITH v AS (SELECT id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM chunks WHERE id IS NOT NULL AND len(embedding) = {DIM} AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
-        s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.id != b.id),
+    "p6_found": f"""WITH {_VECTORS}, s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.id != b.id),
         r AS (SELECT a, b, s FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= {K})
         SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE s >= 0.85""",
+    "p6_knn": f"""WITH {_VECTORS}, s AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.id != b.id WHERE a.id % 20 = 0)
+        SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s QUALIFY rank <= {K}""",
 }
