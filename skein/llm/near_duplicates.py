@@ -402,13 +402,14 @@ def near_duplicate_classes(texts: DataFrame, key: str, text: str, similarity: fl
     """(members, links): members (id, class_id) puts texts with equal sets into one class, named after its smallest id; links (a, b, similarity) joins classes.
 
     Null, blank and short texts (fewer than min_words words) take no part.
-    Ids must be unique and not null; rows with a null id are dropped.  No
-    class, however large, is expanded.  Every text is read whole.
+    Rows with a null id are dropped, repeated rows count once; an id must
+    stand for one text.  No class, however large, is expanded.  Every text is
+    read whole.
     """
     spark = texts.sparkSession
     src = texts.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = materialize(src.mapInArrow(_sketch(min_words, shingle, PERMUTATIONS, tables), f"id long, h0 long, h1 long, {_SKETCH}, keys binary, prints binary"))
-    ids = sketched.select("id", "h0", "h1")
+    ids = sketched.select("id", "h0", "h1").distinct()
     sets = materialize(ids.groupBy("h0", "h1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")))
     members = materialize(join_classes(ids, sets, ["h0", "h1"]).select("id", "class_id"))
     copies = materialize(members.filter("id != class_id").select("id"))
@@ -420,12 +421,12 @@ def near_duplicate_classes(texts: DataFrame, key: str, text: str, similarity: fl
     pairs = dealt.repartitionById(tasks, F.col("task").cast("int")).select("entries").mapInArrow(_compare(threshold), "a long, b long").distinct()
     side = lambda c, p: classes.select(F.col("rep").alias(c), *[F.col(f"s{k}").alias(f"{p}{k}") for k in range(SKETCH_WORDS)])
     differ = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(SKETCH_WORDS)), F.lit(0))
-    pairs = materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(differ <= sketch_limit(similarity)).select("a", "b"))
+    pairs = materialize(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(differ <= sketch_limit(similarity)).select("a", "b").distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts_ = materialize(src.join(wanted, "id", "left_semi"))
+    texts_ = materialize(src.join(wanted, "id", "left_semi").distinct())
     both = pairs.join(texts_.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts_.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     links = both.select("a", "b", "x", "y").mapInArrow(_verify(similarity, shingle), "a long, b long, similarity double")
-    return members, links
+    return members, links.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -435,7 +436,7 @@ def row_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     across = links.join(m("a"), "a").join(m("b"), "b").select("id_a", "id_b")
     inside = m("a").withColumnRenamed("a", "c").join(m("b").withColumnRenamed("b", "c"), "c").filter("id_a < id_b").select("id_a", "id_b")
     pairs = across.unionAll(inside)
-    return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    return pairs.filter("id_a != id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -122,3 +122,13 @@ def test_pairs_near_the_threshold(spark):
     got = found(spark, rows)
     assert set(got) <= {(2 * k, 2 * k + 1) for k in range(600)}
     assert len(got) >= 0.97 * 600, len(got)
+
+
+def test_repeated_rows_count_once(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(20):
+        base = [f"v{r.randrange(3000)}" for _ in range(60)]
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, edited(r, base, 3)), (3 * k + 2, " ".join(base))]
+    once = found(spark, rows)
+    assert len(once) == 60 and found(spark, rows + rows[::2]) == once
