@@ -478,7 +478,7 @@ def neighbour_classes(rows: DataFrame, least: float, entries: int = ENTRIES, k:
     members have none.  A class of any size takes part once in the search.
     """
     spark = rows.sparkSession
-    hashed = materialize(rows.mapInArrow(_hash, "id long, h0 long, h1 long"))
+    hashed = materialize(rows.mapInArrow(_hash, "id long, h0 long, h1 long").distinct())  # repeated rows once
     classes = materialize(hashed.groupBy("h0", "h1").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")))
     first = hashed.withColumn("position", F.row_number().over(Window.partitionBy("h0", "h1").orderBy("id"))).filter(F.col("position") <= K + 1).select("id", "position")
     members = materialize(join_classes(hashed, classes, ["h0", "h1"]).select("id", "class_id", "size").join(first, "id", "left"))
@@ -524,7 +524,8 @@ def _block(k: int):
     """The k best rows of each query of a tile, and what equals the last in 6 digits, of all its rows."""
 
     def tile(rows: list[tuple]) -> pa.RecordBatch | None:
-        qs, xs = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+        # repeated rows once; they are in the same tile
+        qs, xs = (list({r[1]: r for r in rows if r[0] is query}.values()) for query in (True, False))
         if not qs or not xs:
             return None
         q, x = (_unit64([r[2] for r in part]) for part in (qs, xs))

@@ -185,3 +185,11 @@ def test_nearest_by_lists_among_a_third_of_near_copies(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(8)
     assert recall(V.nearest_by_lists(df, "id", "embedding", df["id"] % 20 == 0).collect(), rows) >= 0.9
     assert V.nearest_by_lists(df.limit(0), "id", "embedding", df["id"] == 1).count() == 0
+
+
+def test_repeated_rows_count_once(spark, odd):
+    rows, df = odd
+    twice = df.unionByName(df.filter("id % 3 = 0"))
+    pairs = lambda x: sorted(tuple(r) for r in V.similar_pairs(x, "id", "embedding", 0.85).collect())
+    near = lambda x: sorted(tuple(r) for r in V.nearest_by_lists(x, "id", "embedding", x["id"] % 20 == 0).collect())
+    assert pairs(twice) == pairs(df) and near(twice) == near(df)
