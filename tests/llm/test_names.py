@@ -94,3 +94,9 @@ def test_common_words_of_organisations(spark):
     index = df.withColumnRenamed("id", "rep").mapInArrow(N._index, "rep long, key string, longer string, kept boolean, refine array<string>, finer array<string>")
     sizes = [r[0] for r in N._blocks(index).groupBy("key").count().select("count").collect()]
     assert max(sizes) <= N.COMMON
+
+
+def test_repeated_rows_count_once(spark):
+    rows = [(1, "PERSON", "Goran Mistralfen"), (2, "PERSON", "Mistralfen, G."), (3, "PERSON", "Goran Mistralfen")]
+    members, links = N.variant_classes(spark.createDataFrame(rows * 2, "id long, kind string, name string"))
+    assert sorted(tuple(r) for r in members.collect()) == [(1, 1), (2, 2), (3, 1)] and [tuple(r) for r in links.collect()] == [(1, 2)]
