@@ -342,9 +342,9 @@ def variant_classes(names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links) of (id, kind, name), kind PERSON or ORGANIZATION: members (id, class_id) puts equal folded spellings into one class, links (a, b) joins classes.
 
     Null, blank and letterless names and null ids take no part, repeated rows
-    count once.  Classes are
-    compared, not rows, so a spelling that a third of all rows share counts
-    once.  Classes are compared if they share a key that is not discarded.
+    count once.  Classes are compared, not rows, so a spelling that a third of
+    all rows share counts once; they are compared if they share a key that is
+    not discarded.
     """
     src = names.filter(F.col("id").isNotNull() & F.col("name").isNotNull() & F.col("kind").isin("PERSON", "ORGANIZATION"))
     folded = materialize(src.select(F.col("id").cast("long").alias("id"), "kind", "name").mapInArrow(_fold_batches, "id long, kind string, name string").distinct())
