@@ -49,6 +49,8 @@ DENSE, MERGED = 0.5, 0.75
 ERROR = 5e-5
 #: Queries and rows that one tile holds; larger lists are split into tiles.
 TILE = 8_192
+#: Products of vectors with words that training holds at once; all of a sample's would be hundreds of MB where there are many lists.
+PART = 1 << 22
 #: Share of the lists that a query for its nearest rows asks, and rows of one tile then; a query goes to many tiles, so they are larger.
 PROBE, KNN_TILE = 0.125, 32_768
 
@@ -93,11 +95,23 @@ class Books:
         return self._cross[0][lists // len(self.sub)] + self._cross[1][lists % len(self.sub)]
 
 
+def _parts(n: int, words: int) -> Iterator[slice]:
+    """Slices of n vectors, of about PART products with so many words each."""
+    step = max(64, PART // words)
+    return (slice(k, k + step) for k in range(0, n, step))
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Number of the word of c that each vector is nearest to."""
+    half = 0.5 * (c * c).sum(1)
+    return np.concatenate([np.argmax(x[s] @ c.T - half, axis=1) for s in _parts(len(x), len(c))])
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     r = np.random.default_rng(seed)
     c = x[r.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        at = np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
+        at = _nearest(x, c)
         n = np.bincount(at, minlength=len(c))
         order = np.argsort(at, kind="stable")
         begin = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -141,34 +155,30 @@ def in_dense(fit: np.ndarray, home: np.ndarray, books: Books, least: float) -> t
 def train(sample: np.ndarray, lists: int, n: int, seed: int = 7, least: float = 0.85) -> Books:
     """Codebooks of unit vectors: top, with a word for every PER_WORD vectors at most, sub on its residuals if more lists are wanted, then one after another on what is left."""
     words = max(1, min(lists, len(sample) // PER_WORD))
-    nearest = lambda x, c: np.argmax(x @ c.T - 0.5 * (c * c).sum(1), axis=1)
     top = _kmeans(sample, words, 6, seed).astype(np.float32)
     sub = np.zeros((1, sample.shape[1]), np.float32)
     if lists > words:
-        sub = _kmeans(sample - top[nearest(sample, top)], -(-lists // words), 6, seed).astype(np.float32)
+        sub = _kmeans(sample - top[_nearest(sample, top)], -(-lists // words), 6, seed).astype(np.float32)
     none = np.zeros(0, np.int64)
     books = Books(top, sub, np.zeros((BOOKS * WORDS, sample.shape[1]), np.float32), none, none, none, none, none)
-    step = max(64, (1 << 22) // books.lists)
-    near = [books.fit(sample[k : k + step]) for k in range(0, len(sample), step)]
-    home = np.concatenate([np.argmax(x, axis=1) for x in near])
+    home = np.concatenate([np.argmax(books.fit(sample[s]), axis=1) for s in _parts(len(sample), books.lists)])
     left = sample - books.word(home)
     fine = []
     for m in range(BOOKS):
         c = _kmeans(left, WORDS, 5, seed + m + 1)
         if len(c) < WORDS:
             c = np.concatenate([c, np.zeros((WORDS - len(c), c.shape[1]), c.dtype)])
-        left = left - c[nearest(left, c)]
+        left = left - c[_nearest(left, c)]
         fine.append(c)
     books.fine = np.concatenate(fine).astype(np.float32)
     books.gram = books.fine @ books.fine.T
     share = books.share = np.bincount(home, minlength=books.lists) / max(1, len(sample))
     books.dense, books.begin, books.group = _dense_groups(books, share)
-    once = set({r.tobytes(): i for i, r in enumerate(sample)}.values())  # equal vectors meet once
     meets = np.zeros(len(books.begin))
-    for k, x in zip(range(0, len(sample), step), near):
-        own = [i - k for i in range(k, k + len(x)) if i in once]
-        if own and len(books.begin):
-            meets += in_dense(x[own], home[k : k + len(x)][own], books, least)[1].sum(axis=0)
+    if len(books.begin):
+        once = np.array(sorted({r.tobytes(): i for i, r in enumerate(sample)}.values()))  # equal vectors meet once
+        for s in _parts(len(once), books.lists):
+            meets += in_dense(books.fit(sample[once[s]]), home[once[s]], books, least)[1].sum(axis=0)
     books.blocks = np.maximum(1, np.ceil(np.concatenate([share, meets / max(1, len(sample))]) * n / TILE)).astype(np.int32)
     return books
 
@@ -465,8 +475,8 @@ def usable(vectors: DataFrame, key: str, vector: str, dim: int = DIM, *more: str
 def fit(rows: DataFrame, n: int, seed: int = 7, sample: int = TRAIN, least: float = 0.85) -> Books:
     """Codebooks from about `sample` rows; the number of lists grows as the root of n."""
     part = rows if n <= sample else rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
-    got = [_usable(b)[1] for b in part.select("id", "v").toArrow().to_batches() if b.num_rows]
-    x = _unit(np.concatenate(got)) if sum(map(len, got)) else np.eye(1, DIM, dtype=np.float32)
+    got = [_unit(_usable(b)[1]) for b in part.select("id", "v").toArrow().to_batches() if b.num_rows]
+    x = np.concatenate(got) if sum(map(len, got)) else np.eye(1, DIM, dtype=np.float32)
     lists = 1 << max(0, round(math.log2(2 * math.sqrt(max(1, n)))))
     return train(x, lists if len(x) >= 8 else 1, n, least=least)
 

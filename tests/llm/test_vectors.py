@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -152,6 +154,17 @@ def test_summed_codewords():
     assert np.allclose(books.cross(lists), c @ books.fine.T, atol=1e-5) and np.allclose(2 * books.half, (c * c).sum(1), atol=1e-5)
 
 
+def test_training_holds_few_products_at_once():
+    """As many lists as tables of many GB have; all products of this sample with them are 537 MB."""
+    x = np.random.default_rng(6).normal(size=(8192, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    books = V.train(x, 16_384, 26_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert books.lists == 16_384 and len(books.begin) and peak < 150e6
+
+
 def recall(got, rows, k=5):
     ids = np.array([i for i, _ in rows])
     x = np.stack([np.array(v, np.float64) for _, v in rows])
